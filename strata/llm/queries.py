@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bytebpe, packing, simhash
+from strata.llm import ann, bytebpe, licences, maxscore, packing, quality, shards, simhash, toxicity, urlfilter
 from strata.llm.common import table
+from strata.llm.labelled import held_out
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +25,64 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest rows found for every row whose id is divisible by 100."""
+    return ann.search_table(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document: its own line's, or that of the nearest ancestor directory.
+
+    A document's path is its source, its thousand and its fifty: source/k/c/doc_id.
+    """
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000), part(50), F.col("doc_id").cast("string"))
+    return licences.scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty highest integer inner products for every row whose id is divisible by 20."""
+    return maxscore.search_table(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document, learned from two thirds of the labels."""
+    out = held_out(3, 1)
+    found = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out, ["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to fixed-stride shards in training order: the index of the sequences."""
+    return shards.materialise_table(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: The rules of the URL filter's query.
+URL_RULES = [
+    urlfilter.Rule("block", "com", "/en/"), urlfilter.Rule("allow", "example.com", "/en/7"), urlfilter.Rule("allow", "net", "/de/"),
+    urlfilter.Rule("block", "example.net", "/de/8"), urlfilter.Rule("block", "org", "/es/"),
+]
+
+
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by rule or else by the models."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    out = held_out(5, 0)
+    found = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out, ["doc_id"])
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_permutation_index, op4_licences, op5_maxscore, op6_toxicity, op7_shards, op8_urlfilter, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

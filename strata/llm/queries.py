@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import ann, bytebpe, licences, maxscore, packing, quality, shards, simhash, toxicity, urlfilter
-from strata.llm.common import table
+from strata.llm.common import ship_package, table
 from strata.llm.labelled import held_out
 
 
@@ -81,8 +82,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_permutation_index, op4_licences, op5_maxscore, op6_toxicity, op7_shards, op8_urlfilter, op9_quality, op10_byte_bpe)}
+    every = (op1_packing, op2_simhash, op3_permutation_index, op4_licences, op5_maxscore, op6_toxicity, op7_shards, op8_urlfilter, op9_quality, op10_byte_bpe)
+    return {f.__name__: _ready(f) for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,9 @@ group of its own, so no task gathers an unbounded list and nothing is capped.
 From each group only a spanning forest of its links leaves, not all pairs: the
 components are the same. Components are joined by stars on Spark.
 
+:func:`near_duplicates` links fingerprints; :func:`similar_documents` uses the same
+index to find texts whose shingle sets are similar, and compares those exactly.
+
 Defined results: null text counts as empty; texts without words have
 fingerprint zero and link like any other; fewer than ``words`` words make one
 shingle; repeated rows are repeated in the result; null ids get the component of
@@ -36,6 +39,7 @@ from strata.llm.common import written
 from strata.llm.components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
 
@@ -81,22 +85,31 @@ def position_triples() -> list[tuple[int, int, int]]:
     return out
 
 
-def _forest(fps: np.ndarray, side: np.ndarray | None, bits: int, step: int = 512) -> list[tuple[int, int]]:
-    """Spanning forest of the links among ``fps``; with ``side``, of those between its two sides."""
-    parent = list(range(len(fps)))
+class _Sets:
+    """Union-find over positions."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    out, minimum = [], 8 - bits
-    octets = fps.view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(fps), step):
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.parent[j] = i
+        return i != j
+
+
+def _forest(octets: np.ndarray, side: np.ndarray | None, minimum: int, bits: int, step: int = 512) -> list[tuple[int, int]]:
+    """Spanning forest of the links among fingerprints (a row of bytes each); with ``side``, of those between its two sides."""
+    sets, out = _Sets(len(octets)), []
+    for at in range(0, len(octets), step):
         part = slice(at, at + step)
-        shared = np.zeros((len(fps[part]), len(fps) - at), np.uint8)
-        for p in range(8):
+        shared = np.zeros((len(octets[part]), len(octets) - at), np.uint8)
+        for p in range(octets.shape[1]):
             shared += octets[part, p, None] == octets[None, at:, p]
         i, j = np.nonzero(shared >= minimum)
         i, j = i + at, j + at
@@ -104,56 +117,155 @@ def _forest(fps: np.ndarray, side: np.ndarray | None, bits: int, step: int = 512
         if side is not None:
             keep &= side[i] != side[j]
         i, j = i[keep], j[keep]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= bits
-        for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[ry] = rx
-                out.append((x, y))
+        near = np.bitwise_count(octets[i] ^ octets[j]).sum(1) <= bits
+        out += [(x, y) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True) if sets.join(x, y)]
     return out
 
 
-def links(classes: DataFrame, bits: int = 4, block: int = 2048, fp_col: str = "fp") -> DataFrame:
-    """(a, b) pairs of distinct fingerprints within ``bits`` bits, enough of them to connect all that are linked."""
-    if not 0 <= bits <= 4:
-        raise ValueError("the triples guarantee a match up to 4 bits")
-    fp = F.col(fp_col)
-    keys = [
-        F.lit(k * (1 << 24)) + sum((F.shiftright(fp, 8 * p).bitwiseAND(255)) * (1 << (8 * n)) for n, p in enumerate(t))
-        for k, t in enumerate(position_triples())
-    ]
-    postings = classes.select(fp.alias("fp"), F.explode(F.array(*keys)).alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+def _in_blocks(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
+    """Rows with a count ``n`` of their group, dealt to pairs of blocks: ``lo``, ``hi`` and the row's ``own`` block."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.expr(f"pmod(xxhash64({node}), blocks)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("n", "blocks", "other")
+
+
+def links(classes: DataFrame, node: str, postings: list, minimum: int, bits: int, block: int = 2048) -> DataFrame:
+    """(a, b) pairs of linked nodes, enough of them to connect all that are linked.
+
+    ``node`` is the fingerprint itself, a long or a binary; ``postings`` are the keys of
+    its lists; links share ``minimum`` positional bytes and differ in at most ``bits`` bits.
+    """
+    posted = classes.select(F.col(node).alias("node"), F.explode(F.array(*postings)).alias("key"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a list of several blocks: each row goes to the pairs of blocks that have its own
-    met = postings.join(lists, "key").select("key", "fp", F.ceil(F.col("n") / block).alias("blocks"))
-    met = met.select("key", "fp", F.expr("pmod(xxhash64(fp), blocks)").alias("own"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("fp", "own").alias("row"))
-    groups = met.groupBy("key", "lo", "hi").agg(F.collect_list("row").alias("rows")).where("size(rows) > 1").select("lo", "hi", F.col("rows.fp").alias("fps"), F.col("rows.own").alias("owns"))
+    met = _in_blocks(posted.join(lists, "key"), "key", "node", block)
+    groups = met.groupBy("key", "lo", "hi").agg(F.collect_list("node").alias("nodes"), F.collect_list("own").alias("owns")).where("size(nodes) > 1").select("lo", "hi", "nodes", "owns")
+    kind = classes.schema[node].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             left, right = [], []
-            for lo, hi, fps, owns in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                fps = np.array(fps, np.int64).view(np.uint64)
-                if len(fps) == 2:
-                    x, y = int(fps[0]), int(fps[1])
-                    if lo != hi and owns[0] == owns[1] or (x ^ y).bit_count() > bits:
-                        continue
-                for i, j in _forest(fps, None if lo == hi else np.array(owns), bits):
-                    left.append(fps[i])
-                    right.append(fps[j])
-            yield pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, right)], names=["a", "b"])
+            for lo, hi, nodes, owns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == "binary":
+                    octets = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
+                else:
+                    octets = np.array(nodes, np.int64).view(np.uint8).reshape(-1, 8)
+                for i, j in _forest(octets, None if lo == hi else np.array(owns), minimum, bits):
+                    left.append(nodes[i])
+                    right.append(nodes[j])
+            arrow = pa.binary() if kind == "binary" else pa.int64()
+            yield pa.record_batch([pa.array(left, arrow), pa.array(right, arrow)], names=["a", "b"])
+
+    return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
-    return groups.mapInArrow(run, "a long, b long").distinct()
+
+def triple_keys(words: list[str], triples: list[tuple[int, int, int]]) -> list:
+    """Keys of byte triples of each 64-bit word: its number and the triple's, and the three bytes."""
+    octet = lambda w, p: F.shiftright(F.col(w), 8 * p).bitwiseAND(255)
+    return [
+        F.lit((i * len(triples) + k) << 24) + sum(octet(w, p) * (1 << (8 * n)) for n, p in enumerate(t))
+        for i, w in enumerate(words) for k, t in enumerate(triples)
+    ]
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the component's smallest id, by links of fingerprints, itself included."""
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    found = connected_components(links(classes, bits))
+    if not 0 <= bits <= 4:
+        raise ValueError("the triples guarantee a match up to 4 bits")
+    found = connected_components(links(classes, "fp", triple_keys(["fp"], position_triples()), 8 - bits, bits))
     roots = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = written(roots, "roots")
     component = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = roots.join(component, "root").select("fp", "component_id")
     return prints.join(of_class, "fp").select(id_col, "fp", "component_id")
+
+
+def sketch(words: list[bytes]) -> bytes:
+    """128-bit SimHash of a text's distinct words, punctuation stripped: edits of a few words move few bits."""
+    from xxhash import xxh3_128_digest
+
+    distinct = {w.strip(_MARKS) for w in words}
+    ones = np.zeros(128, np.int64)
+    distinct = list(distinct)
+    for at in range(0, len(distinct), 65536):
+        digests = np.frombuffer(b"".join(map(xxh3_128_digest, distinct[at : at + 65536])), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(digests, axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(distinct)).tobytes()
+
+
+def shingle_set(words: list[bytes], n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``n`` words (fewer words: the whole sequence)."""
+    from xxhash import xxh64_intdigest
+
+    count = max(1, len(words) - n + 1) if words else 0
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + n])) for i in range(count)], np.uint64))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, minimum: int = 5, bits: int = 24, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``threshold``.
+
+    Candidates come from the byte-position index over a 128-bit SimHash of distinct words:
+    any five of the sixteen positions leave three in one half, so triples within each half
+    guarantee a meeting of all that share ``minimum`` = 5 positional bytes; ``bits`` (unrelated
+    texts differ in about 59) leaves similar texts. Their shingle sets, compared exactly,
+    decide. Texts with the same words in the same order are one class from the start.
+    """
+    if minimum < 5:
+        raise ValueError("the triples guarantee a match from 5 positional bytes on")
+
+    def found_words(text):
+        return _WORD.findall((text or "").encode().translate(_LOWER))
+
+    def describe(batches):
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            every = [found_words(t) for t in b.column(1).to_pylist()]
+            prints = [sketch(w) for w in every]
+            halves = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), pa.array([xxh3_128_digest(b" ".join(w)) for w in every], pa.binary()), pa.array(prints, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "class", "print", "s0", "s1"])
+
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    described = written(source.mapInArrow(describe, f"id {kind}, class binary, print binary, s0 long, s1 long"), "described")
+    classes = written(described.groupBy("class", "print", "s0", "s1").agg(F.min("id").alias("least")), "classes")
+    triples = list(combinations(range(8), 3))
+    near = connected_components(links(classes.dropDuplicates(["print"]), "print", triple_keys(["s0", "s1"], triples), minimum, bits))
+    # candidates for the exact comparison: classes of a coarse component that has several
+    coarse = classes.join(near, classes["print"] == near.node, "left").select("class", "least", F.coalesce("root", "print").alias("root"))
+    coarse = written(coarse, "coarse")
+    sizes = coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    asked = coarse.join(sizes, "root").select(F.col("least").alias("id"), "root", "n")
+
+    def shingle(batches):
+        for b in batches:
+            sets = [shingle_set(found_words(t), words).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], names=["id", "root", "n", "set"])
+
+    sets = source.join(asked, "id").mapInArrow(shingle, f"id {kind}, root binary, n long, set binary").dropDuplicates(["id"])
+    members = _in_blocks(sets, "root", "id", block).groupBy("root", "lo", "hi").agg(F.collect_list(F.struct("id", "own", "set")).alias("rows")).where("size(rows) > 1").select("lo", "hi", "rows")
+
+    def verify(batches):
+        for b in batches:
+            left, right = [], []
+            for at in range(b.num_rows):
+                lo, hi, rows = (c[at].as_py() for c in b.columns)
+                own = [np.frombuffer(r["set"], np.uint64) for r in rows]
+                sizes, union = np.array(list(map(len, own))), _Sets(len(rows))
+                for i in range(len(rows)):
+                    small, large = np.minimum(sizes[i], sizes), np.maximum(sizes[i], sizes)
+                    for j in np.flatnonzero(small >= threshold * large).tolist():
+                        if j <= i or lo != hi and rows[i]["own"] == rows[j]["own"] or union.root(i) == union.root(j):
+                            continue
+                        shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                        if shared >= threshold * (sizes[i] + sizes[j] - shared):
+                            union.join(i, j)
+                            left.append(rows[i]["id"])
+                            right.append(rows[j]["id"])
+            yield pa.record_batch([pa.array(left, b.schema.field("rows").type.value_type.field("id").type), pa.array(right, b.schema.field("rows").type.value_type.field("id").type)], names=["a", "b"])
+
+    joined = connected_components(members.mapInArrow(verify, f"a {kind}, b {kind}"))
+    component = classes.join(joined, classes.least == joined.node, "left").select("class", F.coalesce("root", "least").alias("component_id"))
+    return described.join(component, "class").select(F.col("id").alias(id_col), "component_id")

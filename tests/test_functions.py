@@ -1,0 +1,133 @@
+"""Keys, hashes, types, conformance, events and column checks on small frames."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strata.functions.hashing import chunk_limit, deterministic_hash
+from strata.functions.keys import key_display, surrogate_key
+from strata.functions.types import DriftError, check_supported, equivalent, resolve_attributes
+from strata.operators import checks, conform, events
+
+
+def one(spark, schema, *row):
+    return spark.createDataFrame([row], schema)
+
+
+def test_keys(spark):
+    df = one(spark, "a string, b int, d string", None, 7, "2024-01-02").withColumn("d", F.col("d").cast("date"))
+    sk, two, single = df.select(surrogate_key(("a", "b"), "d"), key_display(("a", "b")), key_display(("a",))).first()
+    assert sk == hashlib.md5(b"||7||2024-01-02").hexdigest().upper() and two == "|7" and single is None
+
+
+def h(df, **o):
+    return df.select(deterministic_hash(df, **o)).first()[0]
+
+
+def test_hash_tells_apart(spark):
+    t = "a string, b string"
+    distinct = {h(one(spark, t, *r)) for r in (("12", "34"), ("1", "234"), (None, "34"), ("", "34"), ("34", "12"))}
+    assert len(distinct) == 5
+    assert h(one(spark, t, None, "x")) == h(one(spark, t, "<<NULL>>", "x")) != h(one(spark, t, None, "x"), null_token="?")
+    assert h(one(spark, "a string, b string", "1", "2")) == h(one(spark, "b string, a string", "2", "1"))
+
+
+def test_hash_columns_and_folds(spark):
+    df = one(spark, "b string, _x string, A string", "2", "3", "1")
+    up = lambda s: hashlib.sha256(s.encode()).hexdigest().upper()
+    assert h(df) == up(up("1") + up("2"))
+    assert h(df, include=["_X"]) == up("3")  # one column isn't folded
+    assert h(df, exclude_underscore=False, chunk_size=2) == up(up(up("3") + up("1")) + up(up("2")))  # "_" sorts first
+    assert h(df, exclude=["B"]) == up("1")
+    with pytest.raises(ValueError):
+        h(df, exclude=["a", "b"])
+    for bad in ({"algorithm": "CRC"}, {"chunk_size": 1}, {"chunk_size": 63}):
+        with pytest.raises(ValueError):
+            h(df, **bad)
+    assert [chunk_limit(a) for a in ("MD5", "SHA1", "SHA2_256", "SHA2_512")] == [125, 100, 62, 31]
+
+
+@pytest.mark.parametrize("n", [1, 2, 62, 63, 200])
+def test_wide_hashes(spark, n):
+    df = spark.range(3).select(*(F.col("id").alias(f"c{i:03d}") for i in range(n)))
+    assert df.select(deterministic_hash(df)).distinct().count() == 3
+
+
+def test_hash_of_types(spark):
+    df = one(spark, "x double", -0.0)
+    assert h(df) == h(one(spark, "x double", 0.0)) != h(one(spark, "x double", 1e-300))
+    assert h(one(spark, "x binary", bytearray(b"\x0a"))) == hashlib.sha256(b"0A").hexdigest().upper()
+
+
+def field(t, **m):
+    return T.StructField("c", t, True, m)
+
+
+def test_type_rules():
+    assert equivalent(T.TimestampType(), T.TimestampNTZType()) and equivalent(T.DecimalType(9, 2), T.DecimalType(9, 2))
+    assert not equivalent(T.DecimalType(9, 2), T.DecimalType(9, 3)) and not equivalent(T.IntegerType(), T.LongType())
+    for bad in (T.ArrayType(T.LongType()), T.MapType(T.StringType(), T.StringType()), T.StructType([]), T.VariantType(), T.CalendarIntervalType()):
+        with pytest.raises(DriftError):
+            check_supported(field(bad))
+    old, new = T.StructType([field(T.StringType(), char_length=10)]), T.StructType([field(T.StringType(), char_length=20)])
+    with pytest.raises(DriftError):
+        resolve_attributes(new, old, [])
+    again = resolve_attributes(T.StructType([T.StructField("C", T.StringType(), True, {"char_length": 10})]), old, [])
+    assert again.names == ["c"] and not again.added and not again.departed
+
+
+CANON = [("GB", "United Kingdom"), ("CI", "Côte d'Ivoire"), ("KR", "Korea")]
+OVER = [("S", "name", "Great Britain", "GB", ""), ("S", "name", "Nowhere", "ZZ", ""), ("S", "name", "Korea", None, ""), ("T", "name", "Korea", "GB", "")]
+OSCHEMA = "source_system string, match_key string, source_value string, canonical_country_code string, note string"
+
+
+def conformed(spark, values, over=OVER, canon=CANON, **o):
+    src = spark.createDataFrame([(v,) for v in values], "value string")
+    out = conform.country_conform(src, spark.createDataFrame(canon, "code string, name string"), spark.createDataFrame(over, OSCHEMA), system="S", match_key=o.pop("match_key", "name"), source_column="value", code_column="code", name_column="name", **o)
+    return {r.value: (r.canonical_country_code, r.canonical_country_name, r.country_match_status) for r in out.collect()}
+
+
+def test_conformance_truth_table(spark):
+    got = conformed(spark, [" great britain", "COTE D'IVOIRE ", "Nowhere", "Korea", "Atlantis", None])
+    assert got[" great britain"] == ("GB", "United Kingdom", "override")
+    assert got["COTE D'IVOIRE "] == ("CI", "Côte d'Ivoire", "exact_name")
+    assert got["Nowhere"] == ("ZZ", None, "override")
+    assert got["Korea"] == ("KR", "Korea", "exact_name")  # an override without a code falls through
+    assert got["Atlantis"] == got[None] == (None, None, "unmatched")
+    assert conformed(spark, [" gb "], match_key="code")[" gb "] == ("GB", "United Kingdom", "exact_code")
+    with pytest.raises(ValueError):
+        conformed(spark, ["x"], canon=[*CANON, ("K2", "korea")])
+    with pytest.raises(ValueError):
+        conformed(spark, ["x"], match_key="id")
+
+
+def test_json_forms(spark):
+    rows = [
+        ('{"n":{"int_value":5}}', 5), ('[{"key":"m","value":{"int_value":"1"}},{"key":"n","value":{"int_value":"6"}}]', 6),
+        ('{"m":{}}', None), ("[]", None), ("not json", None), ("", None), (None, None), ('{"n":{"int_value":"x"}}', None),
+    ]
+    df = spark.createDataFrame(rows, "j string, want int")
+    assert all(r.got == r.want for r in df.withColumn("got", events.json_value("j", "n", "int_value", "int")).collect())
+    with pytest.raises(Exception):
+        df.select(events.json_value("j", "n", "int_value", "int", strict=True)).collect()
+
+
+def test_staging(spark):
+    rows = [("2024-01-30", 1_706_600_000_000_000, "u", "s", '{"value":{"double_value":1.5}}'), ("2024-01-30", 1_706_600_000_000_001, "u", "s", "{}"), ("2023-01-01", 0, "u", "s", "{}"), ("2024-01-30", 5, None, "s", "{}")]
+    df = spark.createDataFrame(rows, "event_date string, event_timestamp long, user_id string, session_id string, event_params string").withColumn("user_properties", F.lit("{}"))
+    got = sorted(events.stage_events(df, "2024-01-31").collect(), key=lambda r: r.event_timestamp)
+    assert [r.event_sequence_in_session for r in got] == [1, 2] and got[0].param_value_numeric == 1.5
+    assert got[0].event_hash == hashlib.md5(b"u||s||1706600000000000").hexdigest() and str(got[0].event_datetime) == "2024-01-30 07:33:20"
+
+
+def test_column_checks(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 2), ("b", 2)], "s string, n int")
+    assert checks.not_null(df, "s").count() == 1 and [r.s for r in checks.unique(df, "s").collect()] == ["a"]
+    assert [r.s for r in checks.accepted_values(df, "s", ["a"]).collect()] == ["b"]
+    assert checks.unique_combination(df, ["s", "n"]).count() == 0
+    at = one(spark, "t string", "2024-01-01 00:00:00")
+    status = lambda now: checks.freshness(at, "t", now).first().status
+    assert [status(x) for x in ("2024-01-01 23:00:00", "2024-01-02 00:00:00", "2024-01-02 01:00:00", "2024-01-03 01:00:00")] == ["pass", "pass", "warn", "error"]
+    assert checks.freshness(at.where("false"), "t", "2024-01-01").first().status == "error"

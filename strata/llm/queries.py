@@ -96,5 +96,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: _ready(f) for f in every}
 
 
+_MAXSCORE_SQL = """
+with valid as (
+  select vec_id, min(list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint))) v
+  from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id),
+scored as (
+  select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) score
+  from valid q join valid c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v))
+select query_id, cast(rank as integer) rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from scored) where rank <= 20"""
+
+
+def _url_sql() -> str:
+    """The URL filter in SQL: rules, both models by their counts, threshold, verdicts."""
+    rules = sorted(URL_RULES, key=lambda r: -len(r.text))
+    fit = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
+    case = lambda of: "case " + " ".join(f"when {fit(r)} then '{of(r)}'" for r in rules) + " end"
+    upper, lower, n = urlfilter._UPPER, urlfilter._LOWER, urlfilter.SIZE
+    rest = "substr(url, instr(url, '://') + 3)"
+    kinds = ("allow", "block")
+    level = lambda t, key, ctx, back, on: f"""{t} as (select c.{key} g, c.kind, case when coalesce(x.n, 0) > 0 then (c.n + x.t * b.p) / (x.n + x.t) else b.p end p
+      from {key}_n c left join (select {ctx} ctx, kind, sum(n) n, sum(case when n > 0 then 1 else 0 end) t from {key}_n group by all) x on x.ctx = {ctx.replace(key, 'c.' + key)} and x.kind = c.kind
+      join {back} b on b.g = {on} and b.kind = c.kind)"""
+    return f"""
+with pages_u as (select row_number() over () r, page_id, url from pages),
+parsed as (select *, case when instr(coalesce(url, ''), '://') > 0 then translate(regexp_extract({rest}, '^[^/?#]*'), '{upper}', '{lower}') else '' end host,
+  case when instr(coalesce(url, ''), '://') > 0 then regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) else '' end path from pages_u),
+ruled as (select *, {case(lambda r: r.text)} rule, {case(lambda r: r.verdict)} ruled from parsed),
+coded as (select *, '^^' || regexp_replace(regexp_replace(translate(coalesce(url, ''), '{upper}', '{lower}'), '[0-9]', '0', 'g'), '[^a-z0./:\\-_?=&#%+~@]', '*', 'g') || '$' s from ruled),
+grams as (select r, ruled, substr(s, i, 3) tri from (select *, unnest(range(1, length(s) - 1)) i from coded)),
+seen as (select tri, ruled kind, count(*) n from grams where ruled is not null group by all),
+wanted as (select distinct tri from grams),
+kinds as (select unnest(['{kinds[0]}', '{kinds[1]}']) kind),
+tri_all as (select tri, kind from wanted, kinds union select tri, kind from seen),
+tri_n as (select a.tri, a.kind, coalesce(s.n, 0) n from tri_all a left join seen s using (tri, kind)),
+pair_n as (select substr(tri, 2) pair, kind, sum(n) n from tri_n group by all),
+char_n as (select substr(pair, 2) ch, kind, sum(n) n from pair_n group by all),
+uni as (select ch g, kind, (n + 0.5) / (sum(n) over (partition by kind) + 0.5 * {n}) p from char_n),
+{level('bi', 'pair', 'substr(pair, 1, 1)', 'uni', 'substr(c.pair, 2)')},
+{level('model', 'tri', 'substr(tri, 1, 2)', 'bi', 'substr(c.tri, 2)')},
+ratio as (select a.g tri, ln(a.p) - ln(b.p) ratio from model a join model b on a.g = b.g and a.kind = 'allow' and b.kind = 'block'),
+score as (select r, any_value(ruled) ruled, avg(ratio) score from grams join ratio using (tri) group by r),
+stats as (select max(m) filter (ruled = 'allow') good, max(m) filter (ruled = 'block') bad, max(s) filter (ruled = 'allow') gs, max(s) filter (ruled = 'block') bs, count(*) k
+  from (select ruled, avg(score) m, stddev_pop(score) s from score where ruled is not null group by ruled)),
+threshold as (select case when k < 2 then -1e308 else bad + (good - bad) * case when gs + bs > 0 then bs / (gs + bs) else 0.5 end end t from stats)
+select page_id, host, path, rule, coalesce(ruled.ruled, case when score >= t then 'allow' else 'block' end) verdict from ruled join score using (r), threshold"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express; the others are tested against brute force."""
+    return {"op5_maxscore": _MAXSCORE_SQL, "op8_urlfilter": _url_sql()}

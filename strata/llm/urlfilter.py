@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import written
+
 #: The models' alphabet. "^" and "$" end a URL, "0" is any digit, "*" anything else.
 ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0./:-_?=&#%+~@*"
 SIZE = len(ALPHABET)
@@ -93,8 +95,9 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     full = full.withColumns({"char": F.col("gram") % SIZE, "pair": F.col("gram") % (SIZE * SIZE), "context": F.floor(F.col("gram") / SIZE).cast("int")})
     kinds = ("accepted", "rejected")
     total, seen = (lambda k: F.sum(k).alias(f"{k}_n")), (lambda k: F.sum((F.col(k) > 0).cast("double")).alias(f"{k}_t"))
+    every = counts.agg(*(F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in kinds)).first()  # two numbers
     by_char = full.groupBy("char").agg(*(F.sum(k).alias(k) for k in kinds))
-    by_char = by_char.join(F.broadcast(by_char.agg(*map(total, kinds))), F.lit(True)).select("char", *(((F.col(k) + 0.5) / (F.col(f"{k}_n") + 0.5 * SIZE)).alias(f"{k}_p") for k in kinds))
+    by_char = by_char.select("char", *(((F.col(k) + 0.5) / (every[k] + 0.5 * SIZE)).alias(f"{k}_p") for k in kinds))
     by_pair = full.groupBy("pair").agg(*(F.sum(k).alias(k) for k in kinds)).withColumns({"char": F.col("pair") % SIZE, "before": F.floor(F.col("pair") / SIZE).cast("int")})
 
     def mixed(table: DataFrame, context: str, lower: DataFrame, on: str, key: str) -> DataFrame:
@@ -118,7 +121,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     trained = rows.where(F.col("ruled").isNotNull())
     is_allowed = (F.col("ruled") == "allow").cast("double")
     counts = trigrams(trained, ["ruled"]).groupBy("gram").agg(F.sum(is_allowed).alias("accepted"), F.sum(1 - is_allowed).alias("rejected"))
-    ratios = log_ratios(counts)
+    ratios = log_ratios(written(counts, "counts"))
     score = lambda df, keep: trigrams(df, keep).join(F.broadcast(ratios), "gram").groupBy(*keep).agg(F.avg("ratio").alias("score"))
 
     means = score(trained, ["row", "ruled"]).groupBy("ruled").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()

@@ -1,0 +1,92 @@
+"""Both vector searches against brute force."""
+
+import numpy as np
+import pytest
+
+from strata.llm import ann, blocks, maxscore
+
+INF, NAN = float("inf"), float("nan")
+
+
+@pytest.fixture(scope="module")
+def points():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x[500:520] = x[500]  # equal vectors: ties
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def frame(spark, vectors, ids=None):
+    rows = [(int(i), None if v is None else [None if c is None else float(c) for c in v], 1, 2.0) for i, v in zip(ids or range(len(vectors)), vectors, strict=True)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double")
+
+
+def brute(x, q, k, key):
+    s = key(x, x[q])
+    order = [i for i in np.lexsort((np.arange(len(x)), s)) if i != q][:k]
+    return order, s
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    return out
+
+
+def test_recall_and_exact_scores(spark, points):
+    x = points.astype(np.float64)
+    got = found(ann.search_table(frame(spark, points), "vec_id % 100 = 0", keep=0.15, least=64))
+    hits = 0
+    for q in range(0, 3000, 100):
+        want, d = brute(x, q, 10, lambda a, b: np.sqrt(((a - b) ** 2).sum(1)))
+        mine = got[q]
+        assert [r for r, _, _ in mine] == list(range(1, 11)) and [s for _, _, s in mine] == sorted(s for _, _, s in mine)
+        assert all(abs(s - d[v]) < 1e-12 for _, v, s in mine)
+        hits += len(set(want) & {v for _, v, _ in mine})
+    assert hits / 300 >= 0.9
+    assert [v for _, v, _ in got[500]] == list(range(501, 511))  # ties to the smaller id
+
+
+def test_footrule_equals_its_definition(points):
+    x = points[:200].astype(np.float64)
+    orders = ann.pivot_orders(x, x[:20], 8)
+    place = np.full((200, 20), 8)
+    np.put_along_axis(place, orders, np.arange(8)[None], 1)
+    (agreement,) = ann.footrule_agreement(orders, 20, orders[7:8])
+    assert (2 * sum(8 - i for i in range(8)) - agreement == np.abs(place - place[7]).sum(1)).all()
+
+
+def test_maxscore_equals_brute_force(spark, points, monkeypatch):
+    v = np.floor(64 * points.astype(np.float64)).astype(np.int64)
+    search = blocks.search
+    monkeypatch.setattr(blocks, "search", lambda *a, **b: search(*a, row_block=700, query_block=40, **b))
+    got = found(maxscore.search_table(frame(spark, points), "vec_id % 20 = 0"))
+    assert len(got) == 150
+    for q, mine in got.items():
+        want, s = brute(v, q, 20, lambda a, b: -(a @ b))
+        assert [(r, i, c) for r, i, c in mine] == [(n + 1, i, -s[i]) for n, i in enumerate(want)]
+
+
+def test_maxscore_shard_by_shard(points):
+    v = np.floor(64 * points.astype(np.float64))
+    for kind in (np.float64, np.int64):
+        for n in (5, 60, 100, 3000):
+            post = np.ascontiguousarray(v[:n].T.astype(kind))
+            for q in (0, 3):
+                ids, score = maxscore.maxscore(np.arange(n), post, v[q].astype(kind), q, 20, post.min(1), post.max(1))
+                want, s = brute(v[:n], q, 20, lambda a, b: -(a @ b))
+                assert ids.tolist() == want and score.tolist() == [-s[i] for i in want]
+
+
+def test_what_takes_no_part(spark):
+    vectors = [[1, 0], [0.5, 0], None, [], [None, 1], [NAN, 1], [INF, 1], [0, 0], [1, 0], [1, 2, 3]]
+    near = found(ann.search_table(frame(spark, vectors), "vec_id = 0"))
+    assert [v for _, v, _ in near[0]] == [8, 1]
+    top = found(maxscore.search_table(frame(spark, vectors), "vec_id = 0"))
+    assert [(v, s) for _, v, s in top[0]] == [(8, 4096), (1, 2048), (7, 0)]  # zero takes part here
+    repeated = frame(spark, [[1, 0], [3, 0], [2, 0]], [0, 1, 1])
+    assert [(v, s) for _, v, s in found(ann.search_table(repeated, "vec_id = 0"))[0]] == [(1, 1.0)]
+    for search in (ann.search_table, maxscore.search_table):
+        assert search(frame(spark, vectors).where("false"), "vec_id = 0").count() == 0
+        assert search(frame(spark, [[1.0]]), "vec_id = 0").count() == 0

@@ -135,7 +135,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: li
     ``bound`` is the greatest number of labelled documents that the lexicon, the trees
     and the calibration are fitted on.
     """
-    sample = written(training_sample(docs, labels, label, allowed, bound).coalesce(6), "sample")
+    sample = written(training_sample(docs, labels, label, allowed, bound).repartition(6, "doc_id"), "sample")  # the scan keeps its tasks; `bound` rows move
     known = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(known) < 2 or min(known.values()) < 2:
         share = known.get(1.0, 0) / max(1, sum(known.values()))

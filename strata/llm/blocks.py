@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks of a search at most; beyond that, a task has several pairs of blocks.
+MOST_TASKS = 50_000
+
 
 def finite(vector: str) -> Column:
     """Vectors that are present, not empty, and hold neither null nor non-finite components."""
@@ -63,6 +66,9 @@ def search(
         join = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))
         return pa.table({"query_id": join([np.full(len(i), q) for q, i, _ in out], np.int64), "vec_id": join([i for _, i, _ in out], np.int64), "score": join([s for _, _, s in out], np.float64 if score_type == "double" else np.int64).cast(kind)})
 
+    # a task for each pair of blocks: their bytes are few and their work is not, so they aren't to be merged by size
+    tasks = min(n_blocks * n_query_blocks, MOST_TASKS)
+    left, right = (x.repartition(tasks, "dim", "b", "q") for x in (left, right))
     found = left.groupBy("dim", "b", "q").cogroup(right.groupBy("dim", "b", "q")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = [F.asc("score") if ascending else F.desc("score"), F.asc("vec_id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

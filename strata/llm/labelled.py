@@ -21,5 +21,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return texts.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(10)).cast("int"))
 
 
+def with_row(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """(_row, text): the kept columns as one struct, so that no name of theirs meets one of ours; and the struct's type."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.col("text").cast("string").alias("text"))
+    return rows, rows.schema["_row"].dataType.simpleString()
+
+
+def kept(scored: DataFrame, keep: list[str], score: Column, name: str) -> DataFrame:
+    """The kept columns again, and a score."""
+    return scored.select(*(F.col(f"_row.`{c}`") for c in keep), score.alias(name))
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_mod("doc_id", modulus) == remainder, F.lit(False))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.labelled import training_sample
+from strata.llm.labelled import kept, training_sample, with_row
 
 _CHUNK = 1 << 20
 
@@ -108,8 +108,8 @@ def logistic(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple
     return float(max(a, 1e-3)), float(b)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: list[str], bound: int = 8_000, bits: int = 16, label: str = "quality") -> DataFrame:
-    """``keep`` columns and a ``score`` of 0 to 1 for every document; ``bound`` labelled documents at most are fitted on."""
+def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: list[str], bound: int = 8_000, bits: int = 16, label: str = "quality", column: str = "score") -> DataFrame:
+    """``keep`` columns and a score of 0 to 1, named ``column``, for every document; ``bound`` labelled documents at most are fitted on."""
 
     def featurise(batches):
         for b in batches:
@@ -121,7 +121,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
     rows = sample.mapInArrow(featurise, "label double, part int, slots binary").toArrow().to_pydict()
     known = np.where(np.array(rows["label"], float) > 0, 1, -1)
     if len(set(known.tolist())) < 2 or min((known > 0).sum(), (known < 0).sum()) < 2:
-        return docs.select(*keep, F.lit(float((known > 0).mean()) if len(known) else 1.0).alias("score"))
+        return docs.select(*keep, F.lit(float((known > 0).mean()) if len(known) else 1.0).alias(column))
     found = [np.frombuffer(x, np.int32) for x in rows["slots"]]
     order = sorted(range(len(found)), key=lambda i: (rows["slots"][i], known[i]))  # not the order in which tasks ended
     found, known, part = [found[i] for i in order], known[order], np.array(rows["part"])[order]
@@ -137,8 +137,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
         for batch in batches:
             m = np.array([margin(slots(t or "", bits), weights, bias) for t in batch.column("text").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(score, pa.float64())], names=[*keep, "score"])
+            yield pa.record_batch([batch.column("_row"), pa.array(score, pa.float64())], names=["_row", "score"])
 
-    source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{kinds}, score double")
+    source, kind = with_row(docs, keep)
+    return kept(source.mapInArrow(run, f"_row {kind}, score double"), keep, F.col("score"), column)

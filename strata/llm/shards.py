@@ -60,6 +60,8 @@ def slots_of(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.n
     return out.astype(np.int64)
 
 
+#: Ranges of slots, each written by one task, at most.
+MOST_RANGES = 50_000
 #: Fixed value: the split of byte-level BPE texts, written with possessive repeats.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -170,7 +172,8 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, le
             system.move(f"{name(shard)}.{attempt}", name(shard))
 
     numbered = source.mapInArrow(number, f"slot long, n_tokens int, doc_ids array<{id_kind}>, tokens binary")
-    dealt = numbered.repartitionById(n_shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
+    ranges = min(n_shards, MOST_RANGES)  # a task writes one shard, or several that follow each other
+    dealt = numbered.repartitionById(ranges, F.floor(F.floor(F.col("slot") / per_shard) * ranges / n_shards).cast("int")).sortWithinPartitions("slot")
     index = dealt.mapInArrow(write, f"slot long, shard long, byte_offset long, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>")
     _prepare(path)
     index.write.parquet(f"{path}/index")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import written
-from strata.llm.labelled import training_sample
+from strata.llm.labelled import kept, training_sample, with_row
 
 #: Words for a second person, in the four languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -92,17 +92,16 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """``keep`` columns and a dense feature vector of each text. No shuffle."""
+    """``_row`` with the ``keep`` columns, and a dense feature vector of each text. No shuffle."""
+    source, kind = with_row(docs, keep)
 
     def run(batches):
         for b in batches:
             values = np.array([features(t or "", lexicon) for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(FEATURES)), pa.int32()), pa.array(values.ravel()))
-            yield pa.record_batch([*(b.column(c) for c in keep), lists], names=[*keep, "features"])
+            yield pa.record_batch([b.column("_row"), lists], names=["_row", "features"])
 
-    source = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{kinds}, features array<double>").withColumn("features", array_to_vector("features"))
+    return source.mapInArrow(run, f"_row {kind}, features array<double>").withColumn("features", array_to_vector("features"))
 
 
 def learn_lexicon(sample: DataFrame, odds_least: float = 20.0, surprise: float = 24.0, size: int = 500) -> Lexicon:
@@ -129,8 +128,8 @@ def learn_lexicon(sample: DataFrame, odds_least: float = 20.0, surprise: float =
     return Lexicon(frozenset(w for w in whole if not any(w[:k] in short for k in range(4, 9))), frozenset(short))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: list[str], bound: int = 12_000, trees: int = 12, depth: int = 3, label: str = "toxic") -> DataFrame:
-    """``keep`` columns and a calibrated ``toxicity`` of 0 to 1 for every document.
+def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: list[str], bound: int = 12_000, trees: int = 12, depth: int = 3, label: str = "toxic", column: str = "toxicity") -> DataFrame:
+    """``keep`` columns and a calibrated toxicity of 0 to 1, named ``column``, for every document.
 
     ``bound`` is the greatest number of labelled documents that the lexicon, the trees
     and the calibration are fitted on.
@@ -139,9 +138,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: li
     known = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(known) < 2 or min(known.values()) < 2:
         share = known.get(1.0, 0) / max(1, sum(known.values()))
-        return docs.select(*keep, F.lit(float(share)).alias("toxicity"))
+        return docs.select(*keep, F.lit(float(share)).alias(column))
     lexicon = learn_lexicon(sample.where("part < 7"))
-    data = with_features(sample, lexicon, ["label", "part"]).coalesce(6).cache()
+    data = with_features(sample, lexicon, ["label", "part"]).select("_row.label", "_row.part", "features").coalesce(6).cache()
     fitted_on = data.where("part < 7")
     if fitted_on.select("label").distinct().count() < 2:
         fitted_on = data
@@ -151,5 +150,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: li
     rest = rest if rest.select("label").distinct().count() == 2 else data
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="toxicity").fit(raw(rest))
     data.unpersist()
-    scored = curve.transform(raw(with_features(docs.select(*{*keep, "text"}), lexicon, keep)))
-    return scored.select(*keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "toxicity")).alias("toxicity"))
+    scored = curve.transform(raw(with_features(docs, lexicon, keep)))
+    return kept(scored, keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "toxicity")), column)

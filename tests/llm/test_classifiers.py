@@ -79,3 +79,12 @@ def test_dual_coordinate_descent_separates():
     assert all((quality.margin(r, w, b) > 0) == (t > 0) for r, t in zip(rows, y, strict=True))
     a, c = quality.logistic(np.array([-2.0, -1, 1, 2]), np.array([-1, -1, 1, 1]))
     assert a > 0 and abs(c) < 1e-6
+
+
+def test_kept_columns_may_have_any_name(spark, documents, rng):
+    docs = documents([prose(rng, 20) + ("!" * (i % 2)) for i in range(60)])
+    docs = docs.withColumns({c: F.lit(c) for c in ("features", "prediction", "probability", "raw", "toxicity", "label", "part", "score")})
+    truth = labels(spark, [(i, i % 2, i % 2) for i in range(60)])
+    for score in (toxicity.score_toxicity, quality.score_quality):
+        got = score(docs, truth, F.lit(True), docs.columns, column="mine")
+        assert got.columns == [*docs.columns, "mine"] and got.where("features = 'features' and score = 'score'").count() == 60

@@ -16,19 +16,21 @@ from strata.llm.common import ship_package, table, written
 
 #: Learned models, tokenizers and components: SQL can't express them; the stages are tested against brute force.
 ORACLE_SQL = None
+#: A name that no column of documents has.
+SCORE = "_stage_score"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity stays under 0.7 (operator 6). Without labels, all stay."""
     ship_package(spark)
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns)
-    return scored.where("toxicity < 0.7").select(docs.columns)
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=SCORE)
+    return scored.where(F.col(SCORE) < 0.7).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3 (operator 9). Without labels, all stay."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns)
-    return scored.where("score >= 0.3").select(docs.columns)
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=SCORE)
+    return scored.where(F.col(SCORE) >= 0.3).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,7 +188,7 @@ class Codec:
         for token, i in ranks.items():
             self.token_bytes[i] = token
 
-    def pieces(self, texts: list[str]) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
+    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
         """For chunks of texts: all pieces as UTF-8, and each text's range among them."""
         for chunk in _chunks(texts, self.chunk_chars):
             joined = "\n".join(chunk) + "\n"
@@ -206,7 +206,7 @@ class Codec:
             lo = np.searchsorted(starts, ends - lengths).tolist()
             yield found, list(zip(lo, hi, strict=True))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit bytes."""
         for found, ranges in self.pieces(texts):
             ids = list(map(self._merged.__getitem__, found))
@@ -223,7 +223,7 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
-def _chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     chunk, n = [], 0
     for t in texts:
         if chunk and n + len(t) > chars:
@@ -247,8 +247,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def run(batches):
         c = codec(vocabulary)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            ids = list(c.encode(texts))
+            ids = list(c.encode(t.as_py() or "" for t in b.column(1)))
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[id_col, "ids", "n_tokens"])
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -276,7 +275,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         c = codec(vocabulary)
         decimal = list(map(str, range(len(c.token_bytes))))
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = (t.as_py() or "" for t in b.column(1))
             counts, encoded, decoded = [], [], []
             for raw in c.encode(texts):
                 ids = np.frombuffer(raw, "<u4").tolist()

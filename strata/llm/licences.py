@@ -104,7 +104,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     def run(batches):
         m = Matcher(templates, frequency, n, threshold)
         for b in batches:
-            found = [m.scan(t or "") or (None, None, None) for t in b.column("text").to_pylist()]
+            found = [m.scan(t.as_py() or "") or (None, None, None) for t in b.column("text")]
             kinds = (pa.string(), pa.float64(), pa.int32())
             yield pa.record_batch([b.column(0), b.column("path"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else ((), (), ()), kinds, strict=True))], names=[id_col, "path", "stated", "cosine", "line"])
 

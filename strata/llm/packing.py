@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, closi
         for b in batches:
             kind = b.schema[0].type
             keys = b.column(0).to_pylist()
-            for key, ids in zip(keys, c.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for key, ids in zip(keys, c.encode(t.as_py() or "" for t in b.column(1)), strict=True):
                 ids += closing
                 n = len(ids) // 4
                 whole = n - n % capacity

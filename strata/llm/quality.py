@@ -62,19 +62,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, c: float = 1.0, e
     for slot, y in zip(rows, labels, strict=True):
         counts[y][slot] += 1
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[-1] / counts[-1].sum()))
-    values = []
-    for slot in rows:
-        v = ratio[slot]
-        values.append(v / (np.sqrt((v**2).sum()) or 1.0))
+    scale = np.array([1 / (np.sqrt((ratio[slot] ** 2).sum()) or 1.0) for slot in rows])
     # classes weigh alike, whatever their shares
     share = {y: max(1, int((labels == y).sum())) for y in (1, -1)}
     upper = np.array([c * len(labels) / (2 * share[y]) for y in labels])
     dual, w, bias, rng = np.zeros(len(rows)), np.zeros(size), 0.0, np.random.default_rng(seed)
-    norm = np.array([(v**2).sum() + 1 for v in values])
+    norm = np.array([(ratio[slot] ** 2).sum() for slot in rows]) * scale**2 + 1
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            slot, v, y = rows[i], values[i], labels[i]
+            slot, y = rows[i], labels[i]
+            v = ratio[slot] * scale[i]
             gradient = y * (w[slot] @ v + bias) - 1
             new = min(max(dual[i] - gradient / norm[i], 0.0), upper[i])
             step = (new - dual[i]) * y
@@ -113,18 +111,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
 
     def featurise(batches):
         for b in batches:
-            found = [slots(t, bits).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("label"), b.column("part"), pa.array(found, pa.binary())], names=["label", "part", "slots"])
+            found = [slots(t.as_py(), bits).tobytes() for t in b.column("text")]
+            yield pa.record_batch([b.column("key"), b.column("label"), b.column("part"), pa.array(found, pa.binary())], names=["key", "label", "part", "slots"])
 
-    sample = training_sample(docs, labels, label, allowed, bound).select("label", "part", "text")
-    # bounded: `bound` rows of at most 2**bits slots, a few hundred in a usual text
-    rows = sample.mapInArrow(featurise, "label double, part int, slots binary").toArrow().to_pydict()
-    known = np.where(np.array(rows["label"], float) > 0, 1, -1)
+    sample = training_sample(docs, labels, label, allowed, bound).select(F.xxhash64("doc_id", "text").alias("key"), "label", "part", "text")
+    # bounded: `bound` rows of at most 2**bits slots; ordered, so that the order in which tasks ended has no influence
+    rows = sample.mapInArrow(featurise, "key long, label double, part int, slots binary").toArrow().sort_by("key")
+    known = np.where(rows["label"].to_numpy() > 0, 1, -1)
     if len(set(known.tolist())) < 2 or min((known > 0).sum(), (known < 0).sum()) < 2:
         return docs.select(*keep, F.lit(float((known > 0).mean()) if len(known) else 1.0).alias(column))
-    found = [np.frombuffer(x, np.int32) for x in rows["slots"]]
-    order = sorted(range(len(found)), key=lambda i: (rows["slots"][i], known[i]))  # not the order in which tasks ended
-    found, known, part = [found[i] for i in order], known[order], np.array(rows["part"])[order]
+    found = [np.frombuffer(x.as_buffer() if x.as_buffer() else b"", np.int32) for x in rows["slots"]]
+    part = rows["part"].to_numpy()
     fitted = part < 8
     if len(set(known[fitted].tolist())) < 2 or len(set(known[~fitted].tolist())) < 2:
         fitted = np.ones(len(known), bool)
@@ -135,7 +132,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
 
     def run(batches):
         for batch in batches:
-            m = np.array([margin(slots(t or "", bits), weights, bias) for t in batch.column("text").to_pylist()])
+            m = np.array([margin(slots(t or "", bits), weights, bias) for t in (x.as_py() for x in batch.column("text"))])
             score = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
             yield pa.record_batch([batch.column("_row"), pa.array(score, pa.float64())], names=["_row", "score"])
 

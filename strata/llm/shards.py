@@ -79,8 +79,8 @@ def _streams(batches, vocabulary: str, end_id: int, length: int, kind: np.dtype)
     encode = _encoder(vocabulary)
     rest, within, n = [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.array([*encode(text or ""), end_id], kind)
+        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids = np.array([*encode(text.as_py() or ""), end_id], kind)
             at = 0
             while at < len(ids):
                 part = ids[at : at + length - n]
@@ -101,7 +101,7 @@ def count_sequences(docs: DataFrame, vocabulary: str, length: int) -> dict[int,
     def run(batches):
         encode, n = _encoder(vocabulary), 0
         for b in batches:
-            n += sum(len(encode(t or "")) + 1 for t in b.column(1).to_pylist())
+            n += sum(len(encode(t.as_py() or "")) + 1 for t in b.column(1))
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)], pa.int64())], names=["p", "n"])
 
     return {r["p"]: r["n"] for r in docs.mapInArrow(run, "p int, n long").collect()}

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
+            found = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -145,7 +145,8 @@ def links(classes: DataFrame, node: str, postings: list, minimum: int, bits: int
     def run(batches):
         for b in batches:
             left, right = [], []
-            for lo, hi, nodes, owns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for at in range(b.num_rows):
+                lo, hi, nodes, owns = (c[at].as_py() for c in b.columns)
                 if kind == "binary":
                     octets = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
                 else:
@@ -222,10 +223,13 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, m
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            every = [found_words(t) for t in b.column(1).to_pylist()]
-            prints = [sketch(w) for w in every]
+            digests, prints = [], []
+            for text in b.column(1):  # a text's words at a time
+                found = found_words(text.as_py())
+                digests.append(xxh3_128_digest(b" ".join(found)))
+                prints.append(sketch(found))
             halves = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column(0), pa.array([xxh3_128_digest(b" ".join(w)) for w in every], pa.binary()), pa.array(prints, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "class", "print", "s0", "s1"])
+            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "class", "print", "s0", "s1"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -241,7 +245,7 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, m
 
     def shingle(batches):
         for b in batches:
-            sets = [shingle_set(found_words(t), words).tobytes() for t in b.column(1).to_pylist()]
+            sets = [shingle_set(found_words(t.as_py()), words).tobytes() for t in b.column(1)]
             yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], names=["id", "root", "n", "set"])
 
     sets = source.join(asked, "id").mapInArrow(shingle, f"id {kind}, root binary, n long, set binary").dropDuplicates(["id"])

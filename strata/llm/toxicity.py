@@ -97,7 +97,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
 
     def run(batches):
         for b in batches:
-            values = np.array([features(t or "", lexicon) for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            values = np.array([features(t.as_py() or "", lexicon) for t in b.column("text")], np.float64).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(FEATURES)), pa.int32()), pa.array(values.ravel()))
             yield pa.record_batch([b.column("_row"), lists], names=["_row", "features"])
 

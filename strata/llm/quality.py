@@ -129,6 +129,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
     weights, bias = fit([found[i] for i in np.flatnonzero(fitted)], known[fitted], 1 << bits)
     a, b = logistic(np.array([margin(found[i], weights, bias) for i in np.flatnonzero(check)]), known[check])
     weights = weights.astype(np.float32)
+    del rows, found
+    pa.default_memory_pool().release_unused()
 
     def run(batches):
         for batch in batches:

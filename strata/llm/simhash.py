@@ -129,13 +129,40 @@ def _in_blocks(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
     return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("n", "blocks", "other")
 
 
-def links(classes: DataFrame, node: str, postings: list, minimum: int, bits: int, block: int = 2048) -> DataFrame:
+def _octets(nodes: list, kind: str) -> np.ndarray:
+    """A row of bytes for each fingerprint, which is a long or a binary."""
+    if kind == "binary":
+        return np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
+    return np.array(nodes, np.int64).view(np.uint8).reshape(-1, 8)
+
+
+def postings(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], slice_rows: int = 2048) -> DataFrame:
+    """(node, key): a row for each byte triple of each eight bytes of a fingerprint; keys hold the triple's number and bytes."""
+    kind = classes.schema[node].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, slice_rows):
+                nodes = b.column(0).slice(at, slice_rows)
+                octets = _octets(nodes.to_pylist(), kind).astype(np.int64)
+                keys = [
+                    ((w // 8 * len(triples) + k) << 24) + octets[:, w + x] + (octets[:, w + y] << 8) + (octets[:, w + z] << 16)
+                    for w in range(0, octets.shape[1], 8) for k, (x, y, z) in enumerate(triples)
+                ]
+                # a node's rows stand together, so that they compress
+                repeated = nodes.take(pa.array(np.repeat(np.arange(len(nodes)), len(keys))))
+                yield pa.record_batch([repeated, pa.array(np.stack(keys, axis=1).ravel())], names=["node", "key"])
+
+    return classes.select(node).mapInArrow(run, f"node {kind}, key long")
+
+
+def links(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], minimum: int, bits: int, block: int = 2048) -> DataFrame:
     """(a, b) pairs of linked nodes, enough of them to connect all that are linked.
 
-    ``node`` is the fingerprint itself, a long or a binary; ``postings`` are the keys of
-    its lists; links share ``minimum`` positional bytes and differ in at most ``bits`` bits.
+    ``node`` is the fingerprint itself, a long or a binary; its lists are those of
+    ``triples``; links share ``minimum`` positional bytes and differ in at most ``bits`` bits.
     """
-    posted = classes.select(F.col(node).alias("node"), F.explode(F.array(*postings)).alias("key"))
+    posted = postings(classes, node, triples)
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # a list of several blocks: each row goes to the pairs of blocks that have its own
     met = _in_blocks(posted.join(lists, "key"), "key", "node", block)
@@ -147,11 +174,7 @@ def links(classes: DataFrame, node: str, postings: list, minimum: int, bits: int
             left, right = [], []
             for at in range(b.num_rows):
                 lo, hi, nodes, owns = (c[at].as_py() for c in b.columns)
-                if kind == "binary":
-                    octets = np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
-                else:
-                    octets = np.array(nodes, np.int64).view(np.uint8).reshape(-1, 8)
-                for i, j in _forest(octets, None if lo == hi else np.array(owns), minimum, bits):
+                for i, j in _forest(_octets(nodes, kind), None if lo == hi else np.array(owns), minimum, bits):
                     left.append(nodes[i])
                     right.append(nodes[j])
             arrow = pa.binary() if kind == "binary" else pa.int64()
@@ -160,22 +183,13 @@ def links(classes: DataFrame, node: str, postings: list, minimum: int, bits: int
     return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def triple_keys(words: list[str], triples: list[tuple[int, int, int]]) -> list:
-    """Keys of byte triples of each 64-bit word: its number and the triple's, and the three bytes."""
-    octet = lambda w, p: F.shiftright(F.col(w), 8 * p).bitwiseAND(255)
-    return [
-        F.lit((i * len(triples) + k) << 24) + sum(octet(w, p) * (1 << (8 * n)) for n, p in enumerate(t))
-        for i, w in enumerate(words) for k, t in enumerate(triples)
-    ]
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the component's smallest id, by links of fingerprints, itself included."""
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     if not 0 <= bits <= 4:
         raise ValueError("the triples guarantee a match up to 4 bits")
-    found = connected_components(links(classes, "fp", triple_keys(["fp"], position_triples()), 8 - bits, bits))
+    found = connected_components(links(classes, "fp", position_triples(), 8 - bits, bits))
     roots = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = written(roots, "roots")
     component = roots.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -228,15 +242,14 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, m
                 found = found_words(text.as_py())
                 digests.append(xxh3_128_digest(b" ".join(found)))
                 prints.append(sketch(found))
-            halves = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["id", "class", "print", "s0", "s1"])
+            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())], names=["id", "class", "print"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    described = written(source.mapInArrow(describe, f"id {kind}, class binary, print binary, s0 long, s1 long"), "described")
-    classes = written(described.groupBy("class", "print", "s0", "s1").agg(F.min("id").alias("least")), "classes")
+    described = written(source.mapInArrow(describe, f"id {kind}, class binary, print binary"), "described")
+    classes = written(described.groupBy("class", "print").agg(F.min("id").alias("least")), "classes")
     triples = list(combinations(range(8), 3))
-    near = connected_components(links(classes.dropDuplicates(["print"]), "print", triple_keys(["s0", "s1"], triples), minimum, bits))
+    near = connected_components(links(classes.select("print").distinct(), "print", triples, minimum, bits))
     # candidates for the exact comparison: classes of a coarse component that has several
     coarse = classes.join(near, classes["print"] == near.node, "left").select("class", "least", F.coalesce("root", "print").alias("root"))
     coarse = written(coarse, "coarse")

@@ -73,7 +73,7 @@ def test_links_lose_nothing_in_hot_lists(spark, rng):
     frame = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     want = components(sorted(map(signed, fps)), lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4)
     for block in (8, 2048):
-        edges = simhash.links(frame, "fp", simhash.triple_keys(["fp"], simhash.position_triples()), 4, 4, block)
+        edges = simhash.links(frame, "fp", simhash.position_triples(), 4, 4, block)
         assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 4 for r in edges.collect())
         got = {r.node: r.root for r in connected_components(edges).collect()}
         assert {n: got.get(n, n) for n in want} == want

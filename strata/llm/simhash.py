@@ -17,7 +17,8 @@ From each group only a spanning forest of its links leaves, not all pairs: the
 components are the same. Components are joined by stars on Spark.
 
 :func:`near_duplicates` links fingerprints; :func:`similar_documents` uses the same
-index to find texts whose shingle sets are similar, and compares those exactly.
+index and then a prefix filter over shingles, which leaves out no pair, to find texts
+whose shingle sets are similar, and compares those exactly.
 
 Defined results: null text counts as empty; texts without words have
 fingerprint zero and link like any other; fewer than ``words`` words make one
@@ -27,12 +28,13 @@ their fingerprint; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import written
@@ -218,14 +220,62 @@ def shingle_set(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + n])) for i in range(count)], np.uint64))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, minimum: int = 5, bits: int = 24, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def class_of(words: list[bytes]) -> bytes:
+    """Digest of a text's words in their order."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(words))
+
+
+def prefix_length(n: int, threshold: float) -> int:
+    """Of two sets in one global order whose Jaccard similarity is ``threshold`` or more, the first so many of each share an element."""
+    return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
+
+
+def _in_order(shingles: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Shingles in the global order: those not known as common by their hashes, then the common ones, the commonest last."""
+    if not len(common):
+        return shingles
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    return shingles[np.argsort(np.where(common[at] == shingles, places[at] + 1, 0), kind="stable")]
+
+
+def common_shingles(sets: DataFrame, least: int = 2, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (``u`` long) that occur ``least`` times or more, sorted, and their places by frequency; ``most`` of them at most."""
+    counts = sets.groupBy("u").count().where(F.col("count") >= least).orderBy(F.desc("count"), "u").limit(most).toArrow()
+    hashes = counts["u"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - 1 - np.arange(len(hashes)))[order].astype(np.int64)
+
+
+def _may_be_similar(sizes: np.ndarray, places: np.ndarray, roots: list, side: list | None, threshold: float, step: int = 256):
+    """Pairs of a list's rows that its shingle leaves possible: unlike roots, sizes near enough, enough left behind the shingle."""
+    rest = sizes - places - 1
+    code = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+    side = None if side is None else np.array(side)
+    for at in range(0, len(sizes), step):
+        part = slice(at, at + step)
+        small, large = np.minimum(sizes[part, None], sizes), np.maximum(sizes[part, None], sizes)
+        ok = (small >= threshold * large - 1e-9) & (code[part, None] != code)
+        ok &= 1 + np.minimum(rest[part, None], rest) >= threshold / (1 + threshold) * (small + large) - 1e-9
+        if side is not None:
+            ok &= side[part, None] != side
+        i, j = np.nonzero(ok)
+        yield from ((x, y) for x, y in zip((i + at).tolist(), j.tolist(), strict=True) if x < y)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, minimum: int = 5, bits: int = 24, block: int = 512, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
     """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``threshold``.
 
-    Candidates come from the byte-position index over a 128-bit SimHash of distinct words:
-    any five of the sixteen positions leave three in one half, so triples within each half
-    guarantee a meeting of all that share ``minimum`` = 5 positional bytes; ``bits`` (unrelated
-    texts differ in about 59) leaves similar texts. Their shingle sets, compared exactly,
-    decide. Texts with the same words in the same order are one class from the start.
+    Two searches give candidates and exact comparison of shingle sets decides. The first is the
+    byte-position index over a 128-bit SimHash of distinct words: any five of the sixteen
+    positions leave three in one half, so triples within each half guarantee a meeting of all
+    that share ``minimum`` = 5 positional bytes; it joins most copies in few comparisons. The
+    second finds every other pair of the threshold: shingles have one global order, rare ones
+    first, and texts of different components so far that share a shingle of their prefixes
+    (:func:`prefix_length`) are compared. Any order is complete; that of a sample keeps lists short.
+    Texts with the same words in the same order are one class from the start, whatever their ids;
+    ``with_class`` adds the class, and ``chosen``: whether the row's class stands for its component.
     """
     if minimum < 5:
         raise ValueError("the triples guarantee a match from 5 positional bytes on")
@@ -234,13 +284,11 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, m
         return _WORD.findall((text or "").encode().translate(_LOWER))
 
     def describe(batches):
-        from xxhash import xxh3_128_digest
-
         for b in batches:
             digests, prints = [], []
             for text in b.column(1):  # a text's words at a time
                 found = found_words(text.as_py())
-                digests.append(xxh3_128_digest(b" ".join(found)))
+                digests.append(class_of(found))
                 prints.append(sketch(found))
             yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())], names=["id", "class", "print"])
 
@@ -254,15 +302,26 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, m
     coarse = classes.join(near, classes["print"] == near.node, "left").select("class", "least", F.coalesce("root", "print").alias("root"))
     coarse = written(coarse, "coarse")
     sizes = coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    asked = coarse.join(sizes, "root").select(F.col("least").alias("id"), "root", "n")
+    asked = coarse.join(sizes, "root").select(F.col("least").alias("id"), "class", "root", "n")
+
+    def of_class(b):
+        """Rows whose text is the class's, and its shingles: an id may have other texts too."""
+        for at, text in enumerate(b.column("text")):
+            found = found_words(text.as_py())
+            if class_of(found) == b.column("class")[at].as_py():
+                yield at, shingle_set(found, words)
 
     def shingle(batches):
         for b in batches:
-            sets = [shingle_set(found_words(t.as_py()), words).tobytes() for t in b.column(1)]
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary())], names=["id", "root", "n", "set"])
+            rows = [(at, s.tobytes()) for at, s in of_class(b)]
+            at = pa.array([at for at, _ in rows], pa.int64())
+            kept = [b.column(c).take(at) for c in ("class", "root", "n")]
+            yield pa.record_batch([*kept, pa.array([s for _, s in rows], pa.binary())], names=["class", "root", "n", "set"])
 
-    sets = source.join(asked, "id").mapInArrow(shingle, f"id {kind}, root binary, n long, set binary").dropDuplicates(["id"])
-    members = _in_blocks(sets, "root", "id", block).groupBy("root", "lo", "hi").agg(F.collect_list(F.struct("id", "own", "set")).alias("rows")).where("size(rows) > 1").select("lo", "hi", "rows")
+    def sets_of(wanted):
+        return source.join(wanted, "id").select("text", "class", "root", "n").mapInArrow(shingle, "class binary, root binary, n long, set binary").dropDuplicates(["class"])
+
+    members = _in_blocks(sets_of(asked), "root", "class", block).groupBy("root", "lo", "hi").agg(F.collect_list(F.struct("class", "own", "set")).alias("rows")).where("size(rows) > 1").select("lo", "hi", "rows")
 
     def verify(batches):
         for b in batches:
@@ -279,10 +338,69 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, m
                         shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
                         if shared >= threshold * (sizes[i] + sizes[j] - shared):
                             union.join(i, j)
-                            left.append(rows[i]["id"])
-                            right.append(rows[j]["id"])
-            yield pa.record_batch([pa.array(left, b.schema.field("rows").type.value_type.field("id").type), pa.array(right, b.schema.field("rows").type.value_type.field("id").type)], names=["a", "b"])
+                            left.append(rows[i]["class"])
+                            right.append(rows[j]["class"])
+            yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    first = written(members.mapInArrow(verify, "a binary, b binary"), "first")
+    joined = connected_components(first)
+    rooted = classes.join(joined, classes["class"] == joined.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    rooted = written(rooted, "rooted")
+    wanted = rooted.select(F.col("least").alias("id"), "class", "root", F.lit(1).cast("long").alias("n"))
+
+    def shingles(batches):
+        for b in batches:
+            for _, s in of_class(b):
+                yield pa.record_batch([pa.array(s.view(np.int64))], names=["u"])
+
+    # the order of a bounded sample of classes
+    every = max(1, rooted.count() // 16_000)
+    sample = source.join(wanted.where(F.pmod(F.xxhash64("class"), F.lit(every)) == 0), "id").select("text", "class")
+    common, places = common_shingles(sample.mapInArrow(shingles, "u long"))
+
+    def prefixes(batches):
+        for b in batches:
+            for at, s in of_class(b):
+                keys = _in_order(s, common, places)[: prefix_length(len(s), threshold)]
+                row = pa.array(np.full(len(keys), at))
+                yield pa.record_batch([pa.array(keys.view(np.int64)), b.column("class").take(row), b.column("root").take(row), pa.array(np.full(len(keys), len(s), np.int64)), pa.array(np.arange(len(keys)))], names=["key", "node", "root", "size", "place"])
+
+    posted = source.join(wanted, "id").select("text", "class", "root").mapInArrow(prefixes, "key long, node binary, root binary, size long, place long")
+    # counted where it lies: most shingles stand in one list only
+    lists = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    met = _in_blocks(lists, "key", "node", 2048).groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "size", "place", "own")).alias("rows")).where("size(rows) > 1").select("lo", "hi", "rows")
 
-    joined = connected_components(members.mapInArrow(verify, f"a {kind}, b {kind}"))
-    component = classes.join(joined, classes.least == joined.node, "left").select("class", F.coalesce("root", "least").alias("component_id"))
-    return described.join(component, "class").select(F.col("id").alias(id_col), "component_id")
+    def meet(batches):
+        for b in batches:
+            found = set()
+            for at in range(b.num_rows):
+                lo, hi, rows = (c[at].as_py() for c in b.columns)
+                sizes, places = (np.array([r[c] for r in rows], np.int64) for c in ("size", "place"))
+                pairs = _may_be_similar(sizes, places, [r["root"] for r in rows], None if lo == hi else [r["own"] for r in rows], threshold)
+                found.update((min(x, y), max(x, y)) for x, y in ((rows[i]["node"], rows[j]["node"]) for i, j in pairs))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    pairs = written(met.mapInArrow(meet, "a binary, b binary").distinct(), "pairs")
+    in_pairs = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = written(sets_of(wanted.join(in_pairs, "class", "left_semi")).select("class", "set"), "sets")
+    compared = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+
+    def compare(batches):
+        for b in batches:
+            near = []
+            for at in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[at].as_py(), np.uint64) for c in "xy")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= threshold * (len(x) + len(y) - shared):
+                    near.append(at)
+            yield b.select(["a", "b"]).take(pa.array(near, pa.int64()))
+
+    # a class's first component and the links that it lacked
+    linked = first.union(compared.mapInArrow(compare, "a binary, b binary"))
+    joined = connected_components(linked)
+    component = classes.join(joined, classes["class"] == joined.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    component = written(component, "components")
+    least = component.groupBy("root").agg(F.min(F.struct("least", "class")).alias("first"))
+    component = component.join(least, "root").select("class", F.col("first.least").alias("component_id"), (F.col("class") == F.col("first.class")).alias("chosen"))
+    found = described.join(component, "class")
+    return found.select(F.col("id").alias(id_col), "component_id", *(["class", "chosen"] if with_class else []))

@@ -110,3 +110,25 @@ def test_components_of_a_long_path_and_a_hub(spark):
     hub = [(7, i) for i in range(500, 700)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(path + hub + [(3, 3)], "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {7: 7} | {i: 7 for i in range(500, 700)}
+
+
+def test_similar_documents_finds_appended_cut_and_short_texts(documents, rng):
+    texts = []
+    for n in (12, 20, 25, 100, 200, 300, 400, 600):
+        for _ in range(6):
+            words = prose(rng, n).split()
+            more = prose(rng, n // 8).split()
+            texts += [" ".join(words), " ".join(words + more), " ".join(words[: n - n // 8]), " ".join(words[:-1] + ["other"])]
+    common = prose(rng, 12)
+    texts += [f"{common} {prose(rng, k)}" for k in (1, 2, 3, 4) for _ in range(20)]
+    sets = [set(simhash.shingle_set(simhash._WORD.findall(t.encode()), 5).tolist()) for t in texts]
+    near = simhash._Sets(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near.join(i, j)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(near.root(i), i)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(texts)).collect()}
+    assert got == {i: least[near.root(i)] for i in range(len(texts))}

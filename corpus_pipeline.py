@@ -16,8 +16,8 @@ from strata.llm.common import ship_package, table, written
 
 #: Learned models, tokenizers and components: SQL can't express them; the stages are tested against brute force.
 ORACLE_SQL = None
-#: A name that no column of documents has.
-SCORE = "_stage_score"
+#: Names that no column of documents has.
+SCORE, CLASS = "_stage_score", "_stage_class"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate component, the one with the smallest id (operator 2).
 
     Texts link at a Jaccard similarity of 0.8 or more of their shingles of five words. Rows
-    that repeat an id count as one; rows without an id have nothing to be told apart by and stay.
+    that repeat an id and a text count as one, unlike texts of one id each for themselves; rows
+    without an id have nothing to be told apart by and stay.
     """
-    found = simhash.similar_documents(docs, words=5, threshold=0.8)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").select(docs.columns)
+    found = written(simhash.similar_documents(docs, words=5, threshold=0.8, with_class=True), "similar")
+    chosen = found.where("doc_id = component_id and chosen").select("doc_id", F.col("class").alias(CLASS)).distinct()
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        marked = simhash.text_classes(docs, CLASS)
+        kept = marked.join(chosen, ["doc_id", CLASS], "left_semi").dropDuplicates(["doc_id", CLASS]).select(docs.columns)
+    else:
+        kept = docs.join(chosen, "doc_id", "left_semi").select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

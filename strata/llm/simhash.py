@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from strata.llm.common import written
 from strata.llm.components import connected_components
@@ -227,6 +228,18 @@ def class_of(words: list[bytes]) -> bytes:
     return xxh3_128_digest(b" ".join(words))
 
 
+def text_classes(docs: DataFrame, column: str, text_col: str = "text") -> DataFrame:
+    """The rows with the class of their text (:func:`class_of`) in a further column."""
+
+    def run(batches):
+        for b in batches:
+            digests = [class_of(_WORD.findall((t.as_py() or "").encode().translate(_LOWER))) for t in b.column(b.num_columns - 1)]
+            yield pa.record_batch([*b.columns[:-1], pa.array(digests, pa.binary())], names=[*b.schema.names[:-1], column])
+
+    source = docs.withColumn(column, F.col(text_col).cast("string"))
+    return source.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, BinaryType())]))
+
+
 def prefix_length(n: int, threshold: float) -> int:
     """Of two sets in one global order whose Jaccard similarity is ``threshold`` or more, the first so many of each share an element."""
     return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0

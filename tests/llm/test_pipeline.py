@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strata.llm.common import written
-from tests.llm.conftest import ODD_TEXTS
+from tests.llm.conftest import ODD_TEXTS, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +36,10 @@ def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_unlike_texts_of_one_id_are_told_apart(spark, documents, rng):
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    docs = documents([one, two, three, one + " x", one, two, three], [1, 3, 3, 3, 5, 5, 3]).coalesce(1)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (3, two), (3, three)])

@@ -6,15 +6,16 @@ template; terms outside the templates weigh as if no file had them and enter a
 line's length only. Lines without an anchor term are left out before that, and
 no match is lost: anchors are the heaviest terms of each template, so many that
 by Cauchy-Schwarz the rest alone cannot reach the threshold. A file's license
-is that of its best line. Files that state one on their first line are licence
-files of their directory; files that state none take over that of the nearest
-ancestor directory (their own included) by a join of directory paths, in which
-each directory stands once.
+is that of its best line. Files that state one at their head or foot, the first or
+last line that has text, are licence files of their directory with that license,
+whatever a better line says of the file itself; files that state none take over that
+of the nearest ancestor directory (their own included) by a join of directory paths,
+in which each directory stands once.
 
 Defined results: null and empty texts state nothing; a null path has no
 directory, so nothing is inherited; equal cosines go to the earlier line, then
-to the template's name; two licence files of one directory: the higher cosine,
-then the smaller id; repeated rows are judged each; extra columns are not read.
+to the template's name; two licence files of one directory: a head before a
+foot, the higher cosine, then the smaller id; repeated rows are judged each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -77,14 +78,21 @@ class Matcher:
         score, name = max(scores, key=lambda s: (s[0], [-ord(c) for c in s[1]]))
         return (name, score) if score >= self.threshold else None
 
-    def scan(self, text: str) -> tuple[str, float, int] | None:
-        """License, cosine and line number of a file's best line."""
-        lower, found = text.lower(), None
+    def scan(self, text: str) -> tuple[str, float, int, int | None, str | None, float | None] | None:
+        """License, cosine and line number of a file's best line; whether head (0) or foot (1) states one, which, and its cosine."""
+        lower, found, edges = text.lower(), None, {}
         if any(a in lower for a in self.anchors):
-            for i, line in enumerate(lower.split("\n")):
-                if any(a in line for a in self.anchors) and (b := self.best(line)) and (found is None or b[1] > found[1]):
-                    found = (*b, i)
-        return found
+            lines = lower.split("\n")
+            full = [i for i, line in enumerate(lines) if line.strip()]
+            for i, line in enumerate(lines):
+                if any(a in line for a in self.anchors) and (b := self.best(line)):
+                    if found is None or b[1] > found[1]:
+                        found = (*b, i)
+                    if i in (full[0], full[-1]):
+                        edges[0 if i == full[0] else 1] = b
+        if found is None:
+            return None
+        return (*found, *((min(edges), *edges[min(edges)]) if edges else (None, None, None)))
 
 
 def document_frequencies(files: DataFrame, templates: dict[str, str], text_col: str = "text") -> tuple[dict[str, int], int]:
@@ -104,15 +112,15 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     def run(batches):
         m = Matcher(templates, frequency, n, threshold)
         for b in batches:
-            found = [m.scan(t.as_py() or "") or (None, None, None) for t in b.column("text")]
-            kinds = (pa.string(), pa.float64(), pa.int32())
-            yield pa.record_batch([b.column(0), b.column("path"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else ((), (), ()), kinds, strict=True))], names=[id_col, "path", "stated", "cosine", "line"])
+            found = [m.scan(t.as_py() or "") or (None,) * 6 for t in b.column("text")]
+            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+            yield pa.record_batch([b.column(0), b.column("path"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else ((),) * 6, kinds, strict=True))], names=[id_col, "path", "stated", "cosine", "line", "edge", "edge_stated", "edge_cosine"])
 
-    schema = f"`{id_col}` {files.schema[0].dataType.simpleString()}, path string, stated string, cosine double, line int"
+    schema = f"`{id_col}` {files.schema[0].dataType.simpleString()}, path string, stated string, cosine double, line int, edge int, edge_stated string, edge_cosine double"
     own = written(files.mapInArrow(run, schema).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)), "stated")
 
-    licensed = own.where("line = 0 and path is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), id_col, "stated")).alias("best"))
-    licensed = licensed.select(F.col("dir").alias("licence_dir"), F.col("best.stated").alias("licence"))
+    licensed = own.where("edge is not null and path is not null").groupBy("dir").agg(F.min(F.struct("edge", (-F.col("edge_cosine")).alias("c"), id_col, "edge_stated")).alias("best"))
+    licensed = licensed.select(F.col("dir").alias("licence_dir"), F.col("best.edge_stated").alias("licence"))
     # each directory once, with its ancestors and itself: the first k parts of its path
     parts = F.split("dir", "/")
     ancestors = own.where("path is not null").select("dir").distinct().select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))

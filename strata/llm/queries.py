@@ -34,10 +34,13 @@ def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License of every document: its own line's, or that of the nearest ancestor directory.
 
-    A document's path is its source, its thousand and its fifty: source/k/c/doc_id.
+    A document's path is its source, its thousand and its fifty: source/k/c/doc_id. The first
+    of a fifty lies above it, in its thousand, and the first of a thousand in its source, so
+    that documents, and licence files among them, stand at three depths.
     """
     part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000), part(50), F.col("doc_id").cast("string"))
+    first = lambda n: F.coalesce(F.col("doc_id") % n == 0, F.lit(False))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.when(~first(1000), part(1000)), F.when(~first(50), part(50)), F.col("doc_id").cast("string"))
     return licences.scan(table(spark, sf_dir, "documents").withColumn("path", path))
 
 

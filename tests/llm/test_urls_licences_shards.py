@@ -100,6 +100,13 @@ def test_licences(spark, rng):
     assert licences.scan(df.unionByName(df)).count() == 20
 
 
+def test_head_or_foot_makes_a_licence_file(spark):
+    near = "Released now under the MIT License."
+    files = [(1, "a/x", f"{near}\nthen\n{APACHE}"), (2, "a/b/y", "plain"), (3, "c/x", f"prose\n\n{MIT}\n\n"), (4, "c/d/y", "plain"), (5, "e/x", f"prose\n{MIT}\nprose"), (6, "e/y", "plain")]
+    got = {r.doc_id: (r.licence, r.how) for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("Apache-2.0", "header"), 2: ("MIT", "inherited"), 3: ("MIT", "header"), 4: ("MIT", "inherited"), 5: ("MIT", "header"), 6: (None, "none")}
+
+
 def test_anchors_lose_no_line(rng):
     m = licences.Matcher(licences.TEMPLATES, {"the": 90, "license": 30, "under": 80, "work": 70, "is": 95, "this": 90}, 100, 0.6)
     words = sorted({t for x in licences.TEMPLATES.values() for t in licences.terms(x)}) + ["alpha", "beta"]

@@ -107,6 +107,18 @@ def test_head_or_foot_makes_a_licence_file(spark):
     assert got == {1: ("Apache-2.0", "header"), 2: ("MIT", "inherited"), 3: ("MIT", "header"), 4: ("MIT", "inherited"), 5: ("MIT", "header"), 6: (None, "none")}
 
 
+def test_windows_forms_and_tags(spark, rng):
+    header = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance\nwith the License. You may obtain a copy of the License at'
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including"
+    around = [prose(rng, 40) for _ in range(60)]
+    texts = [
+        (f"// x\n{header}\nmore", "Apache-2.0"), (f"{around[0]} Released under the MIT License. {around[1]}", "MIT"), ("# SPDX-License-Identifier: GPL-3.0-or-later\ncode", "GPL-3.0"),
+        (f"MIT License\n\n{grant}", "MIT"), (f"{around[2]}\nReleased under\nthe MIT License.\n{around[3]}", "MIT"), ("SPDX-License-Identifier: Zlib", None), *((x, None) for x in around[4:]),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, (t, _) in enumerate(texts)], "doc_id long, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scan(df).collect()} == {i: want for i, (_, want) in enumerate(texts)}
+
+
 def test_anchors_lose_no_line(rng):
     m = licences.Matcher(licences.TEMPLATES, {"the": 90, "license": 30, "under": 80, "work": 70, "is": 95, "this": 90}, 100, 0.6)
     words = sorted({t for x in licences.TEMPLATES.values() for t in licences.terms(x)}) + ["alpha", "beta"]

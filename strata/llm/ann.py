@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by a permutation index (operator 3).
 
-Pivots are a bounded sample of the rows, the same at every size. Each vector is
+Equal vectors are one class from the start: classes are indexed and searched, and
+those found give their ids in ascending order, so no cut falls among copies. Pivots
+are a bounded sample of the classes, the same at every size. Each vector is
 represented by its ``prefix`` nearest pivots in order. Within each block of
-rows, an inverted file for each pivot holds (row, place of the pivot in its
+classes, an inverted file for each pivot holds (row, place of the pivot in its
 order). A query walks the files of its own pivots and sums what the places agree
 on: the Spearman footrule over orders cut at ``prefix``, where a pivot outside
 a prefix counts as place ``prefix``. The share ``keep`` of a block with the
@@ -19,7 +21,7 @@ empty tables give none; extra columns are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm import blocks
@@ -62,11 +64,26 @@ def footrule_agreement(orders: np.ndarray, n_pivots: int, asked: np.ndarray):
         yield total
 
 
+def classes_of(rows: DataFrame, most: int, block: int = 8192) -> DataFrame:
+    """(vec_id, vector, ids): each distinct vector with its ``most`` smallest ids, of which vec_id is the first.
+
+    Copies are dealt out before they are gathered, so no task holds all ids of a class.
+    """
+    parts = -(-rows.count() // block) or 1
+    smallest = lambda ids: F.slice(F.array_sort(ids), 1, most)
+    dealt = rows.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(smallest(F.collect_list("vec_id")).alias("ids"))
+    whole = dealt.groupBy("vector").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return whole.select(F.col("ids")[0].alias("vec_id"), "vector", "ids")
+
+
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, prefix: int = 64, keep: float = 0.12, least: int = 512) -> DataFrame:
     """The k nearest rows found for each query, its own id left out: (query_id, rank, vec_id, score).
 
     ``rows`` and ``queries`` are (vec_id, vector) as :func:`valid_vectors` gives them.
     """
+    # one more than k of each, as one may be the query itself
+    classes = written(classes_of(rows, k + 1), "classes")
+    rows = classes.select("vec_id", "vector")
     points = pivots_of(rows, pivots)
 
     def shard(ids, vectors, query_ids, query_vectors):
@@ -83,13 +100,15 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, pivots:
             n = max(least, int(np.ceil(keep * len(ids))))
             if agreement is not None and n < len(ids):
                 at = np.argpartition(-agreement, n - 1)[:n]
-            at = at[ids[at] != query]
             distance = np.sqrt(((vectors[at] - vector) ** 2).sum(1))
-            top = blocks.best(distance, ids[at], k)
+            top = blocks.best(distance, ids[at], k + 1)
             out.append((query, ids[at][top], distance[top]))
         return out
 
-    return blocks.search(rows, queries, shard, k, "double", ascending=True)
+    near = blocks.search(rows, queries, shard, k + 1, "double", ascending=True)
+    every = near.join(classes.select("vec_id", "ids"), "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_table(rows: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding", **index) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import ann, blocks, maxscore
 
@@ -48,6 +49,16 @@ def test_recall_and_exact_scores(spark, points):
     assert [v for _, v, _ in got[500]] == list(range(501, 511))  # ties to the smaller id
 
 
+def test_many_copies_go_by_id(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[rng.permutation(6000)[:2000]] = x[0]
+    copies = np.flatnonzero((x == x[0]).all(1)).tolist()
+    got = found(ann.search_table(frame(spark, x), F.col("vec_id").isin(copies[0], copies[5], copies[-1])))
+    for q in (copies[0], copies[5], copies[-1]):
+        assert [(v, s) for _, v, s in got[q]] == [(v, 0.0) for v in copies if v != q][:10]
+
+
 def test_footrule_equals_its_definition(points):
     x = points[:200].astype(np.float64)
     orders = ann.pivot_orders(x, x[:20], 8)

@@ -18,6 +18,8 @@ from strata.operators import checks, conform, events, gates, views
 from strata.operators.history import changed_versions, snapshot_rows
 from strata.plans.artifacts import edge_frame
 from strata.plans.rollback import affected_batches, restore_orphans
+from strata.sources.scratch import scratch_path, written
+from strata.sources.store import BatchStore
 from strata.spec import DimensionSpec, ExposureSpec, Registry, SnapshotSpec
 
 LOADED = "2024-06-01 00:00:00"
@@ -208,6 +210,11 @@ def _hash_sql(columns: list[str], f: str, chunk: int = 125) -> str:
     return layer[0]
 
 
+def _fold_sql(texts: list[str]) -> str:
+    """SHA-256 tokens of canonical texts, which stand in the order of their columns' names, folded once."""
+    return "upper(sha256(" + " || ".join(f"upper(sha256(coalesce({t}, '<<NULL>>')))" for t in texts) + "))"
+
+
 def _hashed(key: str, table: str, **options) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark, sf):
         df = _table(spark, sf, table)
@@ -250,6 +257,79 @@ def restore_orphans_query(spark, sf):
     return restore_orphans(restored, user_weeks(spark, sf))
 
 
+def purge_unapproved(spark, sf):
+    """What a store holds after batches were appended, one was compacted and those that no ledger approves were purged."""
+    store = BatchStore(spark, scratch_path(spark, "history"))
+    weeks = user_weeks(spark, sf).persist()
+    for (week,) in sorted(weeks.select("_batch_id").distinct().collect()):  # one a week of the month
+        store.append(weeks.where(F.col("_batch_id") == week), week)
+    weeks.unpersist()
+    store.compact(APPROVED_WEEKS[0])
+    store.purge(set(APPROVED_WEEKS))
+    return _plain(store.read())
+
+
+def hash_of_kinds(spark, sf):
+    """Hash of instants, plain times, dates, doubles and bytes; doubles are quarters, which both engines print alike."""
+    o = _table(spark, sf, "orders")
+    day = F.to_date("o_orderdate")
+    instant = F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000 + F.col("o_orderkey") * 1_000_003)
+    df = o.select(
+        "o_orderkey", instant.alias("instant"), F.when(F.col("o_orderkey") % 7 > 0, day).alias("day"), (F.floor(F.col("o_totalprice") * 4) / 4).alias("price"),
+        F.encode("o_orderpriority", "UTF-8").alias("raw"), F.to_timestamp_ntz(F.concat(day.cast("string"), F.lit(" 02:30:00.25"))).alias("plain"),
+    )
+    return df.select("o_orderkey", deterministic_hash(df).alias("row_hash"))
+
+
+_KINDS_SQL = """(select o_orderkey, cast(o_orderdate as timestamp) + to_microseconds(cast(o_orderkey as bigint) * 1000003) instant, case when o_orderkey % 7 > 0 then cast(o_orderdate as date) end d,
+  floor(o_totalprice * 4) / 4 price, encode(o_orderpriority) raw, cast(o_orderdate as date) + interval 2 hour + interval 30 minute + interval 250 millisecond plain from orders)"""
+
+
+def all_parameters(spark, sf):
+    """Every parameter and user property, in the object form for even ids and the array form for odd ones."""
+    k = F.get_json_object("props", "$.k")
+
+    def document(names):
+        by_key: dict[str, list] = {}
+        for _, key, field, kind in names:
+            by_key.setdefault(key, []).append((kind, field))
+        one = lambda key: F.concat(F.lit("{"), *_fields(by_key[key], key, k), F.lit("}"))
+        obj = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{key}":'), one(key)) for key in by_key)), F.lit("}"))
+        arr = F.concat(F.lit("["), F.concat_ws(",", *(F.concat(F.lit(f'{{"key":"{key}","value":'), one(key), F.lit("}")) for key in by_key)), F.lit("]"))
+        return F.when(F.col("event_id") % 2 == 0, obj).otherwise(arr)
+
+    staged = _table(spark, sf, "events").select("event_id", document(events.PARAMETERS).alias("event_params"), document(events.USER_PROPERTIES).alias("user_properties"))
+    return events.flatten(staged).drop("event_params", "user_properties")
+
+
+def _fields(fields: list[tuple[str, str]], key: str, k) -> list:
+    """"field":value pairs of a parameter: numbers bare, texts with the parameter's name before them."""
+    out = []
+    for i, (kind, field) in enumerate(fields):
+        text = k if kind != "string" else F.concat(F.lit(f'"{key}-'), k, F.lit('"'))
+        out += [F.lit(("," if i else "") + f'"{field}":'), text]
+    return out
+
+
+def _all_parameters_sql() -> str:
+    k = "json_extract_string(props, '$.k')"
+    typed = {"string": lambda key: f"'{key}-' || {k}", "int": lambda _: f"cast({k} as integer)", "bigint": lambda _: f"cast({k} as bigint)", "double": lambda _: f"cast({k} as double)"}
+    return "select event_id, " + ", ".join(f"{typed[kind](key)} {name}" for name, key, _, kind in [*events.PARAMETERS, *events.USER_PROPERTIES]) + " from events"
+
+
+def _edges_sql() -> str:
+    """The registry's edges, written out."""
+    rows = []
+    for s, dimension in (("dim_user", True), ("dim_customer", True), ("dim_line", True), ("fact_activity", False)):
+        source = {"dim_user": "stg_users", "dim_customer": "stg_orders", "dim_line": "stg_lines", "fact_activity": "stg_activity"}[s]
+        checked = f"{s}__candidate" if dimension else f"{s}__history"
+        rows += [("source", source, "model", f"{s}__history"), ("model", f"{s}__history", "model", f"{s}__published"), ("model", checked, "test", f"{s}__gates"), ("source", source, "test", f"{s}__gates"), ("model", f"{s}__published", "table", s)]
+        rows += [("model", f"{s}__history", "model", f"{s}__candidate")] if dimension else []
+    rows += [("table", t, "exposure", "user_board") for t in ("dim_user", "fact_activity")]
+    values = ", ".join(f"('run1', '{pt}.{p}', '{p}', '{pt}', '{ct}.{c}', '{c}', '{ct}')" for pt, p, ct, c in rows)
+    return f"select * from (values {values}) e(invocation_id, parent_id, parent_name, parent_type, child_id, child_name, child_type)"
+
+
 def part_with(spark, sf, drop: list[str], add: dict):
     return _table(spark, sf, "part").drop(*drop).withColumns(add)
 
@@ -305,18 +385,19 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "gate_completeness": (lambda s, d: gates.completeness(activity_source(s, d), damaged_activity(s, d), ACTIVITY), _COMPLETE_SQL),
         "gate_volume_guard": (lambda s, d: gates.volume_guard(truncated_users(s, d), "extract_date", 0.5, 7), _volume_sql(_TRUNCATED, "extract_date", gates.VOLUME)),
         "gate_all": (
-            lambda s, d: gates.dimension_gates(truncated_users(s, d), damaged_users(s, d), USERS),
+            lambda s, d: gates.dimension_gates(truncated_users(s, d), written(damaged_users(s, d).select(gates.gate_columns(USERS)), "candidate"), USERS),
             " union all ".join([_DUP_SQL, _NULL_SQL, _MULTI_SQL, _reconciliation_sql(_TRUNCATED, DAMAGED), _volume_sql(_TRUNCATED, "extract_date", gates.VOLUME)]),
         ),
         "gate_all_snapshot": (
-            lambda s, d: gates.snapshot_gates(activity_source(s, d), damaged_activity(s, d), ACTIVITY),
+            lambda s, d: gates.snapshot_gates(activity_source(s, d), written(damaged_activity(s, d).select(gates.gate_columns(ACTIVITY)), "candidate"), ACTIVITY),
             " union all ".join([
                 f"select '{gates.DUPLICATE_SNAPSHOT}' failure_reason, fact_activity_sk offending_key from {_SNAP_DAMAGED} group by fact_activity_sk having count(*) > 1",
                 f"select '{gates.NULL_SNAPSHOT}' failure_reason, cast(user_id as varchar) offending_key from {_SNAP_DAMAGED} where fact_activity_sk is null or snapshot_date is null or user_id is null",
                 _COMPLETE_SQL, _volume_sql(_SNAP_DAMAGED, "snapshot_date", gates.VOLUME_SNAPSHOT),
             ]),
         ),
-        "purge_unapproved": (lambda s, d: _plain(views.approved_only(user_weeks(s, d), ledger_frame(s), USERS.model)), f"select {_OUT} from {USER_WEEKS} where _batch_id in {_APPROVED_SQL}"),
+        "approved_only": (lambda s, d: _plain(views.approved_only(user_weeks(s, d), ledger_frame(s), USERS.model)), f"select {_OUT} from {USER_WEEKS} where _batch_id in {_APPROVED_SQL}"),
+        "purge_unapproved": (purge_unapproved, f"select {_OUT} from {USER_WEEKS} where _batch_id in {_APPROVED_SQL}"),
         "affected_batches": (
             affected_batches_query,
             f"select l.batch_id, coalesce(h.n, 0) row_count from (values ('2024w3'), ('2024w9')) l(batch_id) left join (select _batch_id, count(*) n from {USER_WEEKS} group by 1) h on h._batch_id = l.batch_id",
@@ -336,6 +417,10 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
         "det_hash_include": (_hashed("o_orderkey", "orders", include=["o_orderstatus", "o_orderpriority"]), f"select o_orderkey, {_hash_sql(['o_orderstatus', 'o_orderpriority'], 'sha256')} row_hash from orders"),
         "det_hash_exclude": (_hashed("o_orderkey", "orders", exclude=["o_totalprice", "o_orderdate"], algorithm="SHA1"), f"select o_orderkey, {_hash_sql(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority'], 'sha1')} row_hash from orders"),
         "det_hash_folded": (_hashed("p_partkey", "part", exclude=["p_retailprice"], chunk_size=2), f"select p_partkey, {_hash_sql(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size'], 'sha256', 2)} row_hash from part"),
+        "det_hash_kinds": (
+            hash_of_kinds,
+            "select o_orderkey, " + _fold_sql(["strftime(d, '%Y-%m-%d')", "strftime(instant, '%Y-%m-%dT%H:%M:%S.%f')", "cast(o_orderkey as varchar)", "strftime(plain, '%Y-%m-%dT%H:%M:%S.%f')", "printf('%.16e', price)", "hex(raw)"]) + f" row_hash from {_KINDS_SQL}",
+        ),
         "drift_new_column": (
             lambda s, d: conform_schema(part_with(s, d, ["p_retailprice"], {"p_grade": F.upper("p_type")}), T.StructType([f for f in _table(s, d, "part").schema.fields if f.name != "p_retailprice"]), ["p_partkey"]),
             f"select {part_columns}, upper(p_type) p_grade from part",
@@ -355,6 +440,7 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             lambda s, d: _json_events(s, d).select("event_id", events.json_value("event_params", "session_number", "int_value", "int").alias("session_number"), events.json_value("event_params", "page_title", "string_value").alias("page_title"), events.json_value("event_params", "coupon", "string_value").alias("coupon")),
             "select event_id, cast(json_extract_string(props, '$.k') as integer) session_number, 'p' || json_extract_string(props, '$.k') page_title, cast(null as varchar) coupon from events",
         ),
+        "events_all_parameters": (all_parameters, _all_parameters_sql()),
         "events_sequence": (
             lambda s, d: _table(s, d, "events").select("event_id", events.sequence_in_session("user_id", "event_type", "ts", ("event_id",)).cast("bigint").alias("seq")),
             "select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) seq from events",
@@ -384,7 +470,7 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             lambda s, d: checks.freshness(_table(s, d, "events").select(F.to_date("ts").alias("d")), "d", "2024-01-31 12:00:00").select(F.date_format("latest", "yyyy-MM-dd").alias("latest"), F.col("age_hours").cast("bigint").alias("age_hours"), "status"),
             "select strftime(l, '%Y-%m-%d') latest, cast(date_diff('hour', l, timestamp '2024-01-31 12:00:00') as bigint) age_hours, case when date_diff('hour', l, timestamp '2024-01-31 12:00:00') > 48 then 'error' when date_diff('hour', l, timestamp '2024-01-31 12:00:00') > 24 then 'warn' else 'pass' end status from (select cast(max(cast(ts as date)) as timestamp) l from events)",
         ),
-        "lineage_edges": (lambda s, d: edge_frame(s, REGISTRY, "run1"), None),
+        "lineage_edges": (lambda s, d: edge_frame(s, REGISTRY, "run1"), _edges_sql()),
     }
 
 

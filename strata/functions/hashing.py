@@ -24,12 +24,20 @@ def chunk_limit(algorithm: str) -> int:
     return min(FOLD_BYTES // (2 * HEX_DIGITS[algorithm]), FOLD_ARGUMENTS)
 
 
+def _two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
+
+
 def canonical(column: Column, kind: T.DataType) -> Column:
-    """A value's text, the same whenever the value is: ISO dates, 17 significant digits, upper hex."""
+    """A value's text, the same whenever the value is, whatever the session's time zone: ISO dates, UTC instants, 17 significant digits, upper hex."""
     if isinstance(kind, T.DateType):
-        return F.date_format(column, "yyyy-MM-dd")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return column.cast("string")
+    if isinstance(kind, T.TimestampType):
+        return _instant(F.unix_micros(column))
+    if isinstance(kind, T.TimestampNTZType):
+        text = column.cast("string")
+        fraction = F.rpad(F.regexp_extract(text, r"\.(\d+)$", 1), 6, "0")
+        return F.concat(F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T")), F.lit("."), fraction)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         double = column.cast("double")
         return F.format_string("%.16e", F.when(double == 0, F.lit(0.0)).otherwise(double))
@@ -38,6 +46,15 @@ def canonical(column: Column, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
+def _instant(micros: Column) -> Column:
+    """ISO text in UTC of microseconds since 1970, by whole numbers alone."""
+    day_micros = 86_400_000_000
+    within = F.pmod(micros, F.lit(day_micros))
+    day = F.date_from_unix_date(((micros - within) / F.lit(day_micros)).cast("int")).cast("string")
+    part = lambda unit, size: _two(F.pmod(F.floor(within / F.lit(unit)), F.lit(size)))
+    return F.concat(day, F.lit("T"), part(3_600_000_000, 24), F.lit(":"), part(60_000_000, 60), F.lit(":"), part(1_000_000, 60), F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0"))
+
+
 def hash_columns(schema: T.StructType, exclude: list[str] | tuple = (), include: list[str] | None = None, exclude_underscore: bool = True) -> list[T.StructField]:
     """The columns that count, by name: allowed, not denied, and not "_"-prefixed unless allowed by name."""
     denied, allowed = {c.lower() for c in exclude}, None if include is None else {c.lower() for c in include}

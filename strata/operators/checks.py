@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.spec import ColumnTest
+
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNull())
@@ -26,6 +28,14 @@ def accepted_values(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.where(~F.col(column).isin(*values)).groupBy(column).agg(F.count("*").alias("n"))
 
 
+def run_test(df: DataFrame, test: ColumnTest) -> DataFrame:
+    """The offending rows or values of a spec's column test."""
+    if test.kind == "unique_combination":
+        return unique_combination(df, list(test.columns))
+    (column,) = test.columns
+    return {"not_null": not_null, "unique": unique}[test.kind](df, column) if test.kind != "accepted_values" else accepted_values(df, column, list(test.values))
+
+
 def freshness(df: DataFrame, column: str, as_of: datetime | str, warn_hours: float = 24, error_hours: float = 48) -> DataFrame:
     """One row: latest value, its age in hours and pass, warn or error (no rows at all: error)."""
     newest = df.agg(F.max(F.col(column).cast("timestamp")).alias("latest"))

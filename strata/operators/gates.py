@@ -68,17 +68,66 @@ def volume_guard(df: DataFrame, date_column: str, factor: float, window: int, re
     return _failures(stats.where(F.coalesce("latest", F.lit(0)) < factor * F.coalesce("mean", F.lit(0.0))), reason, F.lit(None))
 
 
+def recent_volumes(df: DataFrame, date_column: str, window: int) -> list[tuple]:
+    """(date, rows) of the last ``window`` dates, latest first: as many rows as the window has, read by the driver."""
+    counts = df.groupBy(F.col(date_column).alias("d")).agg(F.count("*").alias("n"))
+    return [(r["d"], r["n"]) for r in counts.orderBy(F.col("d").desc_nulls_last()).limit(window).collect()]
+
+
+def _of_volumes(spark, volumes: list[tuple], factor: float, reason: str) -> DataFrame:
+    low = bool(volumes) and volumes[0][0] is not None and volumes[0][1] < factor * sum(n for _, n in volumes) / len(volumes)
+    low = low or bool(volumes) and volumes[0][0] is None and factor > 0  # no date at all: the latest extract has no rows
+    return spark.createDataFrame([(reason, None)] if low else [], "failure_reason string, offending_key string")
+
+
+def _of_groups(df: DataFrame, spec: DimensionSpec | SnapshotSpec) -> DataFrame:
+    """:func:`duplicate_keys`, :func:`null_keys` and (of a dimension) :func:`several_current` from one aggregation, by surrogate key and by natural key."""
+    dimension = isinstance(spec, DimensionSpec)
+    keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(spec.natural_key)]
+    names = [f"k{i}" for i in range(len(keys))]
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (spec.surrogate_key, spec.date_column, *spec.natural_key)])
+    now = F.col("is_current") == 1 if dimension else F.lit(False)
+    rows = df.select(F.col(spec.surrogate_key).alias("sk"), *keys, missing.cast("int").alias("missing"), now.cast("int").alias("now"))
+    sets = rows.groupingSets([["sk"], names], "sk", *names).agg(F.grouping("sk").alias("by_key"), F.count("*").alias("n"), F.sum("missing").alias("missing"), F.sum("now").alias("now"))
+    found = F.when(F.col("by_key") == 0, F.when(F.col("n") > 1, F.array(_failure(spec, "duplicate", F.col("sk"))))).otherwise(
+        F.concat(
+            F.array_repeat(_failure(spec, "null", key_display(names)), F.col("missing").cast("int")),
+            F.when(F.col("now") > 1, F.array(_failure(spec, "current", key_display(names)))).otherwise(F.array_repeat(_failure(spec, "current", F.lit(None)), F.lit(0))),
+        )
+    )
+    return sets.select(F.explode(found).alias("f")).select("f.failure_reason", "f.offending_key")
+
+
+def _failure(spec: DimensionSpec | SnapshotSpec, what: str, key):
+    of = {"duplicate": (DUPLICATE_KEY, DUPLICATE_SNAPSHOT), "null": (NULL_KEY, NULL_SNAPSHOT), "current": (SEVERAL_CURRENT, SEVERAL_CURRENT)}
+    return F.struct(F.lit(of[what][isinstance(spec, SnapshotSpec)]).alias("failure_reason"), key.cast("string").alias("offending_key"))
+
+
+def gate_columns(spec: DimensionSpec | SnapshotSpec) -> list[str]:
+    """What the gates read of the rows they check."""
+    own = [spec.hash_column, "is_current"] if isinstance(spec, DimensionSpec) else []
+    return [spec.surrogate_key, *spec.natural_key, spec.date_column, *own]
+
+
+def _on_date(df: DataFrame, column: str, volumes: list[tuple]) -> DataFrame:
+    return df.where(F.col(column) == F.lit(volumes[0][0] if volumes else None))
+
+
 def dimension_gates(source: DataFrame, versions: DataFrame, spec: DimensionSpec) -> DataFrame:
-    """All checks of a dimension; ``versions`` is its candidate view."""
-    return reduce(DataFrame.unionByName, [
-        duplicate_keys(versions, spec), null_keys(versions, spec), several_current(versions, spec), reconciliation(source, versions, spec),
-        volume_guard(source, spec.source_date, spec.volume_factor, spec.volume_window),
-    ])
+    """All checks of a dimension; ``versions`` is its candidate view.
+
+    ``versions`` is read twice (give a written table), the source once for its volumes, which
+    also name its latest date, and once for that date's rows.
+    """
+    volumes = recent_volumes(source, spec.source_date, spec.volume_window)
+    now = versions.where("is_current = 1").select(*spec.natural_key, spec.hash_column)
+    stale = _on_date(source, spec.source_date, volumes).join(now, [*spec.natural_key, spec.hash_column], "left_anti")
+    return reduce(DataFrame.unionByName, [_of_groups(versions, spec), _failures(stale, NOT_RECONCILED, key_display(spec.natural_key)), _of_volumes(source.sparkSession, volumes, spec.volume_factor, VOLUME)])
 
 
 def snapshot_gates(source: DataFrame, history: DataFrame, spec: SnapshotSpec) -> DataFrame:
-    """All checks of a snapshot fact; the volume guard counts history rows."""
-    return reduce(DataFrame.unionByName, [
-        duplicate_keys(history, spec), null_keys(history, spec), completeness(source, history, spec),
-        volume_guard(history, spec.date_column, spec.volume_factor, spec.volume_window, VOLUME_SNAPSHOT),
-    ])
+    """All checks of a snapshot fact; the volume guard counts history rows, and either latest date counts for itself."""
+    volumes = recent_volumes(history, spec.date_column, spec.volume_window)
+    have = _on_date(history, spec.date_column, volumes).select(*spec.natural_key)
+    missing = latest(source, spec.source_date).join(have, list(spec.natural_key), "left_anti")
+    return reduce(DataFrame.unionByName, [_of_groups(history, spec), _failures(missing, INCOMPLETE, key_display(spec.natural_key)), _of_volumes(source.sparkSession, volumes, spec.volume_factor, VOLUME_SNAPSHOT)])

@@ -28,6 +28,12 @@ def presentation(df: DataFrame, spec: DimensionSpec | SnapshotSpec) -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in out])
 
 
+def documented(df: DataFrame, spec: DimensionSpec | SnapshotSpec) -> DataFrame:
+    """Columns that the spec describes, with the description as their comment, which Parquet keeps."""
+    docs = {k.lower(): v for k, v in spec.column_docs.items()}
+    return df.select(*(F.col(f"`{f.name}`").alias(f.name, metadata=f.metadata | {"comment": docs[f.name.lower()]}) if f.name.lower() in docs else F.col(f"`{f.name}`") for f in df.schema.fields))
+
+
 def published(history: DataFrame, ledger: DataFrame, spec: DimensionSpec) -> DataFrame:
     """The dimension as consumers see it: approval first, validity from what is approved, then the presentation."""
     return presentation(candidate(approved_only(history, ledger, spec.model), spec), spec)

@@ -1,6 +1,9 @@
 """Command line: run, rollback, restore, show, over a JSON config of specs.
 
 python -m strata.plans CONFIG run --batch ID --at TIME [--select NAME | --tag TAG]
+python -m strata.plans CONFIG build --batch ID --at TIME [--select NAME | --tag TAG]     (no publication)
+python -m strata.plans CONFIG gate NAME --batch ID                                       (checks what is pending)
+python -m strata.plans CONFIG publish NAME --batch ID --at TIME                          (gate, approve, publish)
 python -m strata.plans CONFIG rollback NAME (--to-batch ID | --to-datetime TIME) [--execute] [--purge]
 python -m strata.plans CONFIG restore NAME [--rollback-id ID]
 python -m strata.plans CONFIG show NAME
@@ -16,7 +19,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 
-from strata.plans.pipeline import Pipeline
+from strata.plans.pipeline import Pipeline, status_of, tests_of
 from strata.spec import DimensionSpec, Registry, SnapshotSpec
 
 
@@ -29,11 +32,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     p = argparse.ArgumentParser(prog="strata")
     p.add_argument("config")
     sub = p.add_subparsers(dest="what", required=True)
-    run = sub.add_parser("run")
-    run.add_argument("--batch", required=True)
-    run.add_argument("--at", required=True)
-    run.add_argument("--select")
-    run.add_argument("--tag")
+    for what in ("run", "build"):
+        run = sub.add_parser(what)
+        run.add_argument("--batch", required=True)
+        run.add_argument("--at", required=True)
+        run.add_argument("--select")
+        run.add_argument("--tag")
+    for what in ("gate", "publish"):
+        one = sub.add_parser(what)
+        one.add_argument("name")
+        one.add_argument("--batch", required=True)
+        one.add_argument("--at", required=what == "publish")
     back = sub.add_parser("rollback")
     back.add_argument("name")
     back.add_argument("--to-batch")
@@ -49,9 +58,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         config = json.load(f)
     spark = spark or SparkSession.builder.appName("strata").getOrCreate()
     pipeline = Pipeline(spark, config["root"], registry_of(config))
-    if a.what == "run":
+    sources = lambda: {k: spark.read.parquet(v) for k, v in config["sources"].items()}
+    if a.what in ("run", "build"):
         names = [a.select] if a.select else [s.name for s in pipeline.registry.tagged(a.tag)] if a.tag else None
-        out = pipeline.run({k: spark.read.parquet(v) for k, v in config["sources"].items()}, a.batch, datetime.fromisoformat(a.at), names)
+        out = pipeline.run(sources(), a.batch, datetime.fromisoformat(a.at), names, publish=a.what == "run")
+    elif a.what in ("gate", "publish"):
+        out = pipeline.check(a.name, sources()[pipeline.registry[a.name].source], a.batch)
+        if a.what == "publish":
+            out = pipeline.approve(a.name, a.batch, datetime.fromisoformat(a.at), status_of(out, a.name), tests_of(out, a.name))
     elif a.what == "rollback":
         out = pipeline.rollback(a.name, datetime.now(UTC).replace(tzinfo=None, microsecond=0), to_batch_id=a.to_batch, to_datetime=a.to_datetime, dry_run=not a.execute, purge=a.purge)
     elif a.what == "restore":

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.operators import gates, views
+from strata.operators import checks, gates, views
 from strata.operators.history import changed_versions, snapshot_rows
 from strata.plans import artifacts, rollback
 from strata.plans.publish import refresh
 from strata.sources.ledger import Ledger, RollbackLog
+from strata.sources.scratch import discard, written
 from strata.sources.store import BatchStore, VersionedTable
 from strata.spec import DimensionSpec, Registry, SnapshotSpec
 
@@ -33,24 +35,43 @@ class State:
     fault: Callable[[str], None] | None = None
 
     def __post_init__(self):
-        kind = "dimensions" if isinstance(self.spec, DimensionSpec) else "snapshots"  # ledgers of their own
+        kind = "dimensions" if isinstance(self.spec, DimensionSpec) else "snapshots"
         self.store = BatchStore(self.spark, f"{self.root}/{self.spec.name}/history")
         self.table = VersionedTable(self.spark, f"{self.root}/{self.spec.name}/published")
         self.failures = f"{self.root}/audit/{self.spec.name}__gates"
-        self.ledger = Ledger(self.spark, f"{self.root}/audit/{kind}_approved")
-        self.rollbacks = RollbackLog(self.spark, f"{self.root}/audit/{kind}_rollbacks")
+        # ledgers of their own for each kind, a log for each spec
+        self.ledger = Ledger(self.spark, f"{self.root}/audit/{kind}_approved/{self.spec.name}")
+        self.rollbacks = RollbackLog(self.spark, f"{self.root}/audit/{kind}_rollbacks/{self.spec.name}")
+
+    def approved(self) -> set[str]:
+        return self.ledger.approved(self.spec.model)
 
     def history(self, approved: bool = False) -> DataFrame | None:
         rows = self.store.read()
         return views.approved_only(rows, self.ledger.frame(), self.spec.model) if approved and rows is not None else rows
 
+    def candidate(self) -> DataFrame:
+        """What the gates and tests look at: approved and pending rows, with their validity for a dimension."""
+        rows = self.store.read()
+        return views.candidate(rows, self.spec) if isinstance(self.spec, DimensionSpec) else rows
+
     def view(self) -> DataFrame:
-        """The published view: lazy, approved batches only."""
+        """The published view: lazy, approved batches only, columns with their docs."""
         make = views.published if isinstance(self.spec, DimensionSpec) else views.snapshot_published
-        return make(self.store.read(), self.ledger.frame(), self.spec)
+        return views.documented(make(self.store.read(), self.ledger.frame(), self.spec), self.spec)
 
     def refresh(self) -> dict:
-        return refresh(self.table, self.view(), self.fault) if self.store.schema() is not None else {"ok": True, "row_count": 0}
+        return refresh(self.table, self.view(), self.spec.dist_column, self.fault) if self.store.schema() is not None else {"ok": True, "row_count": 0}
+
+
+def status_of(results: list[dict], name: str) -> str | None:
+    """The status of a spec's gate among a run's results; None if it did not run."""
+    return next((r["status"] for r in reversed(results) if r["resource_type"] == "test" and r["name"] == f"{name}__gates"), None)
+
+
+def tests_of(results: list[dict], name: str) -> list[dict]:
+    """A spec's other tests among a run's results."""
+    return [r for r in results if r["resource_type"] == "test" and r.get("spec") == name and r["name"] != f"{name}__gates"]
 
 
 def blocked_reason(gate_status: str | None, other_tests: list[dict] = ()) -> str | None:
@@ -71,52 +92,81 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, root: str, registry: Registry):
         self.spark, self.root, self.registry = spark, root.rstrip("/"), registry
+        self._states: dict[str, State] = {}
 
     def state(self, name: str, fault: Callable[[str], None] | None = None) -> State:
-        return State(self.spark, self.root, self.registry[name], fault)
+        if name not in self._states:  # what a ledger has read once is kept
+            self._states[name] = State(self.spark, self.root, self.registry[name])
+        self._states[name].fault = fault
+        return self._states[name]
 
-    def build(self, name: str, source: DataFrame, batch_id: str, loaded_at: datetime) -> None:
-        """Purge what isn't approved, then append the batch."""
+    def build(self, name: str, source: DataFrame, batch_id: str, loaded_at: datetime) -> bool:
+        """Purge what isn't approved, then append the batch. An approved batch is left as it is (False)."""
         s = self.state(name)
-        s.store.purge(s.ledger.approved(s.spec.model))
+        approved = s.approved()
+        if batch_id in approved:
+            return False
+        s.store.purge(approved)
         make = changed_versions if isinstance(s.spec, DimensionSpec) else snapshot_rows
-        s.store.append(make(source, s.spec, batch_id, loaded_at, s.store.read()), batch_id)
+        s.store.append(make(source, s.spec, batch_id, loaded_at, s.store.read()), batch_id, approved)
+        return True
 
-    def gate(self, name: str, source: DataFrame, batch_id: str) -> str:
-        """Run the gates, keep their failures; pass or fail."""
+    def check(self, name: str, source: DataFrame, batch_id: str, at: datetime | None = None) -> list[dict]:
+        """Run the gates and the spec's column tests on what would be published; keep their failures. A result for each."""
         s = self.state(name)
-        rows = s.store.read()
-        if isinstance(s.spec, DimensionSpec):
-            found = gates.dimension_gates(source, views.candidate(rows, s.spec), s.spec)
-        else:
-            found = gates.snapshot_gates(source, rows, s.spec)
-        found.write.mode("overwrite").parquet(f"{s.failures}/batch={batch_id}")
-        return "fail" if self.spark.read.parquet(f"{s.failures}/batch={batch_id}").limit(1).count() else "pass"
+        rows = s.candidate()
+        wanted = {c.lower(): c for t in s.spec.tests for c in t.columns} | {c.lower(): c for c in gates.gate_columns(s.spec)}
+        rows = written(rows.select(*(F.col(f"`{c}`") for c in wanted.values())), "candidate")  # several checks read it, in few columns
+        make = gates.dimension_gates if isinstance(s.spec, DimensionSpec) else gates.snapshot_gates
+        results = []
+        for test, found in [(None, make(source, rows, s.spec)), *((t, checks.run_test(rows, t)) for t in s.spec.tests)]:
+            test_name, severity = (f"{name}__{test.name}", test.severity) if test else (f"{name}__gates", s.spec.gate_severity)
+            folder = f"{s.failures if test is None else f'{self.root}/audit/{test_name}'}/batch={batch_id}"
+            found.write.mode("overwrite").parquet(folder)
+            bad = self.spark.read.parquet(folder).limit(1).count() > 0
+            status = "pass" if not bad else "fail" if severity == "error" else "warn"
+            results.append({"resource_type": "test", "name": test_name, "spec": name, "status": status, "severity": severity, "completed_at": at, "failed_at": at if bad else None})
+        discard(rows)
+        return results
+
+    def gate(self, name: str, source: DataFrame, batch_id: str) -> str | None:
+        """The gates' status: pass, fail or warn."""
+        return status_of(self.check(name, source, batch_id), name)
 
     def approve(self, name: str, batch_id: str, at: datetime, gate_status: str | None, other_tests: list[dict] = (), fault=None) -> dict:
-        """Approve and publish unless blocked; if publishing fails, take the approval back and raise."""
+        """Approve and publish unless blocked; if publishing fails, take the approval back and raise.
+
+        A batch that is approved already, as after a run that died, keeps its approval and is published.
+        """
         s = self.state(name, fault)
-        reason = blocked_reason(gate_status, other_tests)
+        before = batch_id in s.approved()
+        reason = None if before else blocked_reason(gate_status, other_tests)
         if reason:
             return {"approved": False, "reason": reason}
-        s.ledger.approve(s.spec.model, batch_id, at)
+        if not before:
+            s.ledger.approve(s.spec.model, batch_id, at)
         done = s.refresh()
         if not done["ok"]:
-            s.ledger.unapprove(s.spec.model, batch_id)
-            raise RunError(f"{name}: batch {batch_id} was not published and its approval is taken back: {done['error']}")
+            if not before:
+                s.ledger.unapprove(s.spec.model, batch_id)
+            raise RunError(f"{name}: batch {batch_id} was not published{'' if before else ' and its approval is taken back'}: {done['error']}")
         return {"approved": True} | done
 
-    def run(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: datetime, names: list[str] | None = None, record: bool = True) -> list[dict]:
-        """One night: every named spec (all if none are named) in turn. Results, also kept as run records."""
+    def run(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: datetime, names: list[str] | None = None, record: bool = True, publish: bool = True) -> list[dict]:
+        """One night: every named spec (all if none are named) in turn. Results, also kept as run records.
+
+        Without ``publish``, batches are built and checked, and stay pending.
+        """
         results = []
         for name in names or list(self.registry.specs):
             s = self.registry[name]
-            self.build(name, sources[s.source], batch_id, loaded_at)
-            results.append({"resource_type": "model", "name": s.model, "status": "success", "completed_at": loaded_at})
-            status = self.gate(name, sources[s.source], batch_id)
-            results.append({"resource_type": "test", "name": f"{name}__gates", "status": status, "completed_at": loaded_at, "failed_at": loaded_at if status == "fail" else None})
-            done = self.approve(name, batch_id, loaded_at, status)
-            results.append({"resource_type": "table", "name": name, "status": "success" if done["approved"] else "skipped", "message": done.get("reason", ""), "completed_at": loaded_at, "row_count": done.get("row_count")})
+            fresh = self.build(name, sources[s.source], batch_id, loaded_at)
+            results.append({"resource_type": "model", "name": s.model, "status": "success", "message": "" if fresh else "approved before", "completed_at": loaded_at})
+            if fresh:
+                results += self.check(name, sources[s.source], batch_id, loaded_at)
+            if publish:
+                done = self.approve(name, batch_id, loaded_at, status_of(results, name), tests_of(results, name))
+                results.append({"resource_type": "table", "name": name, "status": "success" if done["approved"] else "skipped", "message": done.get("reason", ""), "completed_at": loaded_at, "row_count": done.get("row_count")})
         if record:
             self.record(results, batch_id)
         return results

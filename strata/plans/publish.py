@@ -9,30 +9,40 @@ from pyspark.sql import DataFrame
 from strata.sources.store import VersionedTable
 
 
-def refresh(table: VersionedTable, view: DataFrame, fault: Callable[[str], None] | None = None) -> dict:
+def refresh(table: VersionedTable, view: DataFrame, dist_column: str | None = None, fault: Callable[[str], None] | None = None) -> dict:
     """``{"ok": True, "row_count": n}`` or ``{"ok": False, "error": …}``; readers see the old version or the new.
 
+    The view runs once: its rows are counted while they are written. Whatever fails after the switch and
+    before the new version is verified withdraws it again, so a version whose approval is taken back
+    is never the current one. Old versions that couldn't be removed stay for the next time.
     ``fault`` is called with the name of each step before it, for tests of failures between steps.
     """
-    step, version = fault or (lambda _: None), None
+    step, version, before = fault or (lambda _: None), None, table.versions()
+
+    def undo() -> None:
+        if version is not None:
+            table.drop(version)
+        if table.versions() != before:
+            raise RuntimeError(f"versions {table.versions()} are marked, not {before}")
+
     try:
         step("write")
-        version = table.write_version(view)
+        version, expected = table.write_version(view, dist_column)
         step("count")
-        expected, built = view.count(), table.count(version)
-        if expected != built:
-            table.drop(version)
-            return {"ok": False, "error": f"the view has {expected} rows, the new version {built}"}
+        if expected != (built := table.count(version)):
+            raise ValueError(f"the view has {expected} rows, the new version {built}")
         step("switch")
         table.switch(version)
         step("verify")
         live = table.read()
         if live is None or (n := live.count()) != expected:
-            return {"ok": False, "error": f"after the switch there are {n if live is not None else 'no'} rows, not {expected}"}
+            raise ValueError(f"after the switch there are {n if live is not None else 'no'} rows, not {expected}")
+    except Exception as e:
+        undo()
+        return {"ok": False, "error": f"{type(e).__name__}: {e}"}
+    try:
         step("tidy")
         table.tidy()
-        return {"ok": True, "row_count": expected}
     except Exception as e:
-        if version is not None and version not in table.versions():
-            table.drop(version)
-        return {"ok": False, "error": f"{type(e).__name__}: {e}"}
+        return {"ok": True, "row_count": expected, "warning": f"old versions stay: {type(e).__name__}: {e}"}
+    return {"ok": True, "row_count": expected}

@@ -37,20 +37,19 @@ class Folder:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str, replace: bool = False) -> None:
-        """Write a small file. Without ``replace``, an existing one is an error, so two writers can't both succeed."""
-        if replace:
-            part = f"{name}.new"
-            self._create(part, text, True)
-            self._fs.delete(self._p(name), False)
-            if not self._fs.rename(self._p(part), self._p(name)):
-                raise OSError(f"{self.at(name)} can't be replaced")
-        else:
-            self._create(name, text, False)
-
-    def _create(self, name: str, text: str, overwrite: bool) -> None:
-        stream = self._fs.create(self._p(name), overwrite)
+    def write(self, name: str, text: str) -> None:
+        """Write a small file, which is complete with its closing line end. An existing one is an error, so two writers can't both succeed."""
+        stream = self._fs.create(self._p(name), False)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(f"{text}\n".encode()))
         finally:
             stream.close()
+
+    def read_whole(self, name: str) -> str | None:
+        """The text of a file that was written to its end; None if its writer died before."""
+        text = self.read(name)
+        return text[:-1] if text.endswith("\n") else None
+
+    def on_exit(self) -> None:
+        """The folder goes when the application ends."""
+        self._fs.deleteOnExit(self._p(""))

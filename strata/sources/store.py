@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.sources.files import Folder
@@ -16,8 +18,9 @@ _BATCH = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.\-]*$")
 class BatchStore:
     """Insert-only history: Parquet partitioned by ``_batch_id``; ``schema-<n>.json`` is the authority on columns.
 
-    Purging a batch removes its folder. A batch that was written by half is a folder
-    that no ledger approves, so it is purged too.
+    A batch is a folder ``data/v=0/_batch_id=<id>``; compaction writes it anew beneath the next ``v`` and a
+    marker makes that the one that counts. Purging a batch removes its folders. A batch that was written
+    by half is a folder that no ledger approves, so it is purged too.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -29,7 +32,8 @@ class BatchStore:
 
     def schema(self) -> T.StructType | None:
         found = [n for n in self.folder.names() if n.startswith("schema-") and n.endswith(".json")]
-        return T.StructType.fromJson(json.loads(self.folder.read(found[-1]))) if found else None
+        whole = [x for n in found if (x := self.folder.read_whole(n)) is not None]
+        return T.StructType.fromJson(json.loads(whole[-1])) if whole else None
 
     def _remember(self, schema: T.StructType) -> None:
         """Widen the manifest: columns are added, never dropped."""
@@ -40,38 +44,64 @@ class BatchStore:
             n = len([x for x in self.folder.names() if x.startswith("schema-")])
             self.folder.write(f"schema-{n:06d}.json", T.StructType(fields).json())
 
+    def _written(self, version: str) -> list[str]:
+        return [n.removeprefix("_batch_id=") for n in self.folder.names(f"data/{version}") if n.startswith("_batch_id=")]
+
+    def places(self) -> dict[str, str]:
+        """Each batch's version folder: the one that its last marker names, else that of its first writing."""
+        marked = {b: f"v={n}" for b in self.folder.names("compacted") for n in sorted(map(int, self.folder.names(f"compacted/{b}")))}
+        first = {b: "v=0" for b in self._written("v=0")}
+        return dict(sorted((first | marked).items()))
+
     def batches(self) -> list[str]:
-        return [n.removeprefix("_batch_id=") for n in self.folder.names("data") if n.startswith("_batch_id=")]
+        return list(self.places())
 
-    def append(self, rows: DataFrame, batch_id: str) -> None:
-        """Write one batch; the same batch again replaces it."""
+    def append(self, rows: DataFrame, batch_id: str, approved: set[str] | frozenset[str] = frozenset()) -> None:
+        """Write one batch. One that is ``approved`` is never written again; one that isn't gives way to the new rows."""
         if not _BATCH.match(batch_id):
             raise ValueError(f"{batch_id!r} can't name a batch")
+        if batch_id in approved:
+            raise ValueError(f"batch {batch_id} is approved and can't be written again")
         self._remember(rows.schema)
-        rows.drop("_batch_id").write.mode("overwrite").parquet(f"{self.data}/_batch_id={batch_id}")
+        self._remove(batch_id)
+        rows.drop("_batch_id").write.mode("error").parquet(f"{self.data}/v=0/_batch_id={batch_id}")
 
     def read(self) -> DataFrame | None:
         """All batches under the manifest's schema (columns that an old batch lacks are null); None before the first."""
         schema = self.schema()
         if schema is None:
             return None
-        if not self.batches():
+        places = self.places()
+        if not places:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.data).parquet(*(f"{self.data}/_batch_id={b}" for b in self.batches())).select([f.name for f in schema.fields])
+        paths = [f"{self.data}/{v}/_batch_id={b}" for b, v in places.items()]
+        return self.spark.read.schema(schema).option("basePath", self.data).parquet(*paths).select([f.name for f in schema.fields])
+
+    def _remove(self, batch_id: str) -> None:
+        for v in self.folder.names("data"):
+            self.folder.delete(f"data/{v}/_batch_id={batch_id}")
+        self.folder.delete(f"compacted/{batch_id}")
 
     def purge(self, approved: set[str]) -> list[str]:
         """Remove batches that aren't approved; their ids."""
         gone = [b for b in self.batches() if b not in approved]
         for b in gone:
-            self.folder.delete(f"data/_batch_id={b}")
+            self._remove(b)
         return gone
 
-    def compact(self, batch_id: str, files: int = 1) -> None:
-        """Rewrite a batch into fewer files by way of a new folder; its id stays."""
-        whole, part = f"data/_batch_id={batch_id}", f"data/.compact-{batch_id}"
-        self.spark.read.parquet(self.folder.at(whole)).coalesce(files).write.mode("overwrite").parquet(self.folder.at(part))
-        self.folder.delete(whole)
-        self.folder._fs.rename(self.folder._p(part), self.folder._p(whole))
+    def compact(self, batch_id: str, files: int = 1, fault: Callable[[str], None] | None = None) -> None:
+        """Rewrite a batch into ``files`` files; its id stays, and readers see the old folder or the new one."""
+        step = fault or (lambda _: None)
+        old = self.places()[batch_id]
+        n = 1 + max(int(v[2:]) for v in self.folder.names("data"))
+        rows = self.spark.read.parquet(f"{self.data}/{old}/_batch_id={batch_id}")
+        rows.repartition(files).write.mode("overwrite").parquet(f"{self.data}/v={n}/_batch_id={batch_id}")
+        step("mark")
+        self.folder.write(f"compacted/{batch_id}/{n}", "")
+        step("remove")
+        for v in self.folder.names("data"):
+            if v != f"v={n}":
+                self.folder.delete(f"data/{v}/_batch_id={batch_id}")
 
 
 class VersionedTable:
@@ -91,11 +121,17 @@ class VersionedTable:
         path = self.current_path()
         return self.spark.read.parquet(path) if path else None
 
-    def write_version(self, df: DataFrame) -> int:
-        """Write a version that nobody reads yet; its number."""
+    def write_version(self, df: DataFrame, dist_column: str | None = None) -> tuple[int, int]:
+        """Write a version that nobody reads yet; its number, and the rows that were written, counted on the way.
+
+        Rows of one value of ``dist_column`` lie together; Spark divides values that are too frequent for one task.
+        """
         n = max([0, *self.versions(), *(int(x[2:]) for x in self.folder.names() if x.startswith("v="))]) + 1
-        df.write.mode("error").parquet(self.folder.at(f"v={n:08d}"))
-        return n
+        if dist_column in df.columns:
+            df = df.hint("rebalance", F.col(f"`{dist_column}`"))
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(self.folder.at(f"v={n:08d}"))
+        return n, seen.get["n"]
 
     def count(self, version: int) -> int:
         return self.spark.read.parquet(self.folder.at(f"v={version:08d}")).count()
@@ -104,8 +140,12 @@ class VersionedTable:
         """Readers see the version from now on: one small file is made."""
         self.folder.write(f"_current/{version:08d}", "")
 
-    def drop(self, version: int) -> None:
+    def withdraw(self, version: int) -> None:
+        """Readers see the version before again."""
         self.folder.delete(f"_current/{version:08d}")
+
+    def drop(self, version: int) -> None:
+        self.withdraw(version)
         self.folder.delete(f"v={version:08d}")
 
     def tidy(self) -> None:

@@ -26,9 +26,38 @@ def _check(name: str, source: str, keys: tuple[str, ...]) -> None:
         raise SpecError(f"{name}: no natural key")
 
 
+SEVERITIES = ("error", "warn")
+
+
+@dataclass(frozen=True)
+class ColumnTest:
+    """A test of a spec's candidate rows: ``kind`` is not_null, unique, unique_combination or accepted_values."""
+
+    kind: str
+    columns: tuple[str, ...]
+    values: tuple = ()
+    severity: str = "error"
+
+    def __post_init__(self):
+        columns = (self.columns,) if isinstance(self.columns, str) else tuple(self.columns)
+        object.__setattr__(self, "columns", columns)
+        object.__setattr__(self, "values", tuple(self.values))
+        if self.kind not in ("not_null", "unique", "unique_combination", "accepted_values") or not columns or self.severity not in SEVERITIES:
+            raise SpecError(f"no such test: {self.kind} of {columns} with severity {self.severity}")
+
+    @property
+    def name(self) -> str:
+        return "_".join((self.kind, *self.columns))
+
+
 @dataclass(frozen=True)
 class DimensionSpec:
-    """A dimension with Type 2 history. ``dedupe`` orders the rows of one key and date; the first counts."""
+    """A dimension with Type 2 history. ``dedupe`` orders the rows of one key and date; the first counts.
+
+    ``tests`` are column tests that run with the gates; one of severity "error" that fails blocks the
+    batch. ``gate_severity`` "warn" reports failed gates as warn, which blocks too but fails no run.
+    ``column_docs`` and ``description`` are stored with the published table.
+    """
 
     name: str
     source: str
@@ -44,6 +73,9 @@ class DimensionSpec:
     key_width: int | None = None
     description: str = ""
     tags: tuple[str, ...] = ("scd2",)
+    tests: tuple[ColumnTest, ...] = ()
+    gate_severity: str = "error"
+    column_docs: dict = field(default_factory=dict, hash=False)
 
     date_column = "valid_from"
 
@@ -66,7 +98,7 @@ class DimensionSpec:
 
 @dataclass(frozen=True)
 class SnapshotSpec:
-    """A fact of which every period's rows are kept."""
+    """A fact of which every period's rows are kept. Tests, severity and docs are as for a dimension."""
 
     name: str
     source: str
@@ -81,6 +113,9 @@ class SnapshotSpec:
     key_width: int | None = None
     description: str = ""
     tags: tuple[str, ...] = ("snapshot",)
+    tests: tuple[ColumnTest, ...] = ()
+    gate_severity: str = "error"
+    column_docs: dict = field(default_factory=dict, hash=False)
 
     date_column = "snapshot_date"
 
@@ -107,6 +142,9 @@ def _settle(spec, dedupe: tuple[str, ...]) -> None:
     object.__setattr__(spec, "surrogate_key", spec.surrogate_key or f"{spec.name}_sk")
     object.__setattr__(spec, "dist_column", spec.dist_column or spec.natural_key[0])
     object.__setattr__(spec, "dedupe", tuple(dedupe))
+    object.__setattr__(spec, "tests", tuple(t if isinstance(t, ColumnTest) else ColumnTest(**t) for t in spec.tests))
+    if spec.gate_severity not in SEVERITIES:
+        raise SpecError(f"{spec.name}: a severity is one of {', '.join(SEVERITIES)}")
 
 
 @dataclass(frozen=True)
@@ -147,5 +185,6 @@ class Registry:
         nodes = [("model", s.model, [s.source])]
         if isinstance(s, DimensionSpec):
             nodes.append(("model", f"{name}__candidate", [s.model]))
-        nodes += [("model", f"{name}__published", [s.model]), ("test", f"{name}__gates", [nodes[-1][1], s.source]), ("table", name, [f"{name}__published"])]
+        nodes += [("test", f"{name}__{t.name}", [nodes[-1][1]]) for t in s.tests]
+        nodes += [("model", f"{name}__published", [s.model]), ("test", f"{name}__gates", [f"{name}__candidate" if isinstance(s, DimensionSpec) else s.model, s.source]), ("table", name, [f"{name}__published"])]
         return [{"resource_type": t, "name": n, "depends_on": d, "tags": list(s.tags), "description": s.description} for t, n, d in nodes]

@@ -2,7 +2,8 @@
 
 Each micro-batch is one history batch: the same append, gate and approval as in a
 batch run. The batch's id is the stream's own number, so a batch that is retried
-after a failure replaces itself.
+after a failure is the same batch: written anew while it is pending, left as it is
+and published again once it is approved.
 """
 
 from __future__ import annotations

@@ -131,3 +131,17 @@ def test_column_checks(spark):
     status = lambda now: checks.freshness(at, "t", now).first().status
     assert [status(x) for x in ("2024-01-01 23:00:00", "2024-01-02 00:00:00", "2024-01-02 01:00:00", "2024-01-03 01:00:00")] == ["pass", "pass", "warn", "error"]
     assert checks.freshness(at.where("false"), "t", "2024-01-01").first().status == "error"
+
+
+def test_hash_is_the_same_in_every_time_zone(spark):
+    df = spark.sql("select timestamp'2024-03-10 02:30:00.25 UTC' a, timestamp_ntz'2024-03-10 02:30:00.25' b union all select timestamp'1912-01-01 23:59:59.000001 UTC', timestamp_ntz'1912-01-01 23:59:59.000001'")
+    zone, found = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for z in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            found.append([r[0] for r in df.select(deterministic_hash(df, algorithm="SHA2_512")).collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    digest = lambda x: hashlib.sha512(x.encode()).hexdigest().upper()
+    want = [digest(digest(t) * 2) for t in ("2024-03-10T02:30:00.250000", "1912-01-01T23:59:59.000001")]
+    assert found == [want] * 3

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from strata.plans.__main__ import main
 from strata.plans.pipeline import Pipeline, RunError, blocked_reason
 from strata.plans.rollback import RollbackError, affected, cutoff
+from strata.sources.ledger import Ledger
 from strata.sources.seeds import load_seed
-from strata.spec import DimensionSpec, ExposureSpec, Registry, SnapshotSpec, SpecError
+from strata.sources.store import BatchStore
+from strata.spec import ColumnTest, DimensionSpec, ExposureSpec, Registry, SnapshotSpec, SpecError
 from strata.streaming.ingest import ingest_available
 
 DIM = DimensionSpec("dim", "stg", ("k",), "d", presentation_exclude=("attribute_hash",))
@@ -73,21 +75,112 @@ def test_reingest_after_a_rollback_without_restore(spark, tmp_path):
 
 
 @pytest.mark.parametrize("step", ["write", "count", "switch", "verify"])
-def test_a_failure_between_steps_leaves_a_whole_table(spark, tmp_path, step):
+def test_a_failure_between_steps_leaves_the_old_table(spark, tmp_path, step):
     p = Pipeline(spark, str(tmp_path), Registry([DIM]))
     p.run({"stg": extract(spark, *NIGHT1)}, "n1", T0, record=False)
     before = content(p.read("dim"))
     p.build("dim", extract(spark, *NIGHT3), "n2", T0)
 
+    with pytest.raises(RunError):
+        p.approve("dim", "n2", T0 + timedelta(1), "pass", fault=failing(step))
+    assert p.state("dim").approved() == {"n1"} and content(p.read("dim")) == before
+    assert p.approve("dim", "n2", T0 + timedelta(1), "pass")["approved"] and len(content(p.read("dim"))) == 3
+
+
+def failing(step):
     def fault(at):
         if at == step:
             raise OSError("gone")
 
-    with pytest.raises(RunError):
-        p.approve("dim", "n2", T0 + timedelta(1), "pass", fault=fault)
-    assert p.state("dim").ledger.approved("dim__history") == {"n1"}
-    now = content(p.read("dim"))
-    assert now == before or step == "verify"
+    return fault
+
+
+def test_a_failure_to_tidy_leaves_the_new_table(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path), Registry([DIM]))
+    p.run({"stg": extract(spark, *NIGHT1)}, "n1", T0, record=False)
+    p.build("dim", extract(spark, *NIGHT3), "n2", T0)
+    done = p.approve("dim", "n2", T0, "pass", fault=failing("tidy"))
+    assert done["approved"] and "gone" in done["warning"] and len(content(p.read("dim"))) == 3
+
+
+def test_an_approved_batch_is_never_written_again(spark, tmp_path):
+    sources = {"stg": extract(spark, *NIGHT1)}
+    p = Pipeline(spark, str(tmp_path), Registry([DIM, FACT]))
+    p.run(sources, "n1", T0, record=False)
+    s = p.state("dim")
+    whole = lambda: (content(s.store.read()), s.ledger.entries(), content(p.read("dim")), content(p.read("fact")))
+    before = whole()
+    again = p.run({"stg": extract(spark, *NIGHT3)}, "n1", T0 + timedelta(1), record=False)
+    assert [r["status"] for r in again] == ["success"] * 4 and whole() == before
+    with pytest.raises(ValueError):
+        s.store.append(s.store.read(), "n1", s.approved())
+    # a pending batch gives way to its retry
+    p.build("dim", extract(spark, *NIGHT2), "n2", T0)
+    p.build("dim", extract(spark, *NIGHT3), "n2", T0)
+    assert s.store.batches() == ["n1", "n2"] and s.store.read().where("_batch_id = 'n2'").count() == 1
+
+
+def test_a_run_that_died_after_its_approval_is_published_by_its_retry(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path), Registry([DIM]))
+    p.build("dim", extract(spark, *NIGHT1), "n1", T0)
+    p.state("dim").ledger.approve("dim__history", "n1", T0)  # and no publication
+    assert p.read("dim") is None
+    p.run({"stg": extract(spark, *NIGHT1)}, "n1", T0 + timedelta(1), record=False)
+    assert len(content(p.read("dim"))) == 2 and [e["approved_at"] for e in p.state("dim").ledger.entries()] == [T0]
+
+
+def test_column_tests_and_severities_block(spark, tmp_path):
+    unique, codes = ColumnTest("unique", "note"), ColumnTest("accepted_values", "note", ("a", "b"), "warn")
+    spec = DimensionSpec("dim", "stg", ("k",), "d", tests=(unique, codes), column_docs={"note": "a remark"})
+    p = Pipeline(spark, str(tmp_path), Registry([spec]))
+    rows = lambda *notes: extract(spark, *[(str(i), 1, n) for i, n in enumerate(notes)]).withColumn("note", F.col("attribute_hash"))
+    got = {r["name"]: r["status"] for r in p.run({"stg": rows("a", "a", "b")}, "n1", T0)}
+    assert got == {"dim__history": "success", "dim__gates": "pass", "dim__unique_note": "fail", "dim__accepted_values_note": "pass", "dim": "skipped"}
+    assert spark.read.parquet(f"{tmp_path}/audit/dim__unique_note/batch=n1").collect() == [("a", 2)]
+    got = {r["name"]: r["status"] for r in p.run({"stg": rows("a", "x")}, "n2", T0)}
+    assert got["dim__accepted_values_note"] == "warn" and got["dim"] == "success"
+    assert p.read("dim").schema["note"].metadata == {"comment": "a remark"}
+    mild = Pipeline(spark, f"{tmp_path}/mild", Registry([DimensionSpec("dim", "stg", ("k",), "d", gate_severity="warn")]))
+    got = {r["name"]: r["status"] for r in mild.run({"stg": extract(spark, *NIGHT2)}, "n1", T0, record=False)}
+    assert got["dim__gates"] == "warn" and got["dim"] == "skipped"
+    for bad in (lambda: ColumnTest("odd", "x"), lambda: ColumnTest("unique", "x", severity="no"), lambda: DimensionSpec("d", "s", ("k",), gate_severity="no")):
+        with pytest.raises(SpecError):
+            bad()
+
+
+def test_torn_events_never_happened_and_logs_are_summed_up(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/l")
+    ledger.log.every = 4
+    for i in range(5):
+        ledger.approve("m", f"b{i}", T0 + timedelta(i))
+    (tmp_path / "l" / f"{5:010d}.json").write_text("")  # its writer died
+    (tmp_path / "l" / f"{6:010d}.json").write_text('{"op": "appr')
+    assert ledger.approved("m") == {f"b{i}" for i in range(5)}
+    ledger.unapprove("m", "b1")
+    assert [n for n in ledger.log.folder.names() if n.endswith(".sum")] and ledger.approved("m") == Ledger(spark, f"{tmp_path}/l").approved("m") == {"b0", "b2", "b3", "b4"}
+    with pytest.raises(Exception):
+        ledger.log.folder.write(f"{0:010d}.json", "{}")  # two writers can't both succeed
+
+
+@pytest.mark.parametrize("step", ["mark", "remove"])
+def test_compaction_that_dies_loses_no_batch(spark, tmp_path, step):
+    store = BatchStore(spark, f"{tmp_path}/h")
+    for b in ("a", "b"):
+        store.append(spark.range(10).repartition(3).withColumn("_batch_id", F.lit(b)), b)
+    with pytest.raises(OSError):
+        store.compact("a", fault=failing(step))
+    assert sorted(store.read().groupBy("_batch_id").count().collect()) == [("a", 10), ("b", 10)]
+    store.compact("a")
+    assert store.read().count() == 20 and store.batches() == ["a", "b"]
+    assert store.purge({"b"}) == ["a"] and store.read().count() == 10
+
+
+def test_published_rows_of_a_distribution_value_lie_together(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path), Registry([DimensionSpec("dim", "stg", ("k", "j"), "d", dist_column="j")]))
+    rows = extract(spark, *[(str(i), 1, "A") for i in range(40)]).withColumn("j", F.col("k") % 3)
+    p.run({"stg": rows}, "n1", T0, record=False)
+    files = p.read("dim").select("j", F.input_file_name().alias("f")).distinct()
+    assert files.groupBy("j").count().where("count > 1").count() == 0 and p.read("dim").count() == 40
 
 
 @pytest.mark.parametrize("gate,tests,blocked", [
@@ -147,6 +240,18 @@ def test_seed_keeps_na_and_refuses_malformed_rows(spark, tmp_path):
         load_seed(spark, str(bad)).collect()
 
 
+def test_a_stream_that_dies_between_approval_and_its_own_commit_loses_nothing(spark, tmp_path):
+    extract(spark, *NIGHT1).coalesce(1).write.parquet(f"{tmp_path}/in")
+    p = Pipeline(spark, f"{tmp_path}/out", Registry([DIM]))
+    take = lambda: ingest_available(spark, p, "dim", f"{tmp_path}/in", extract(spark, *NIGHT1).schema, f"{tmp_path}/ck", T0)
+    take()
+    before = (content(p.state("dim").store.read()), p.state("dim").ledger.entries(), content(p.read("dim")))
+    for f in (tmp_path / "ck" / "commits").iterdir():
+        f.unlink()
+    assert [r["name"] for r in take()] == ["dim__history", "dim"]  # the batch comes again
+    assert (content(p.state("dim").store.read()), p.state("dim").ledger.entries(), content(p.read("dim"))) == before
+
+
 def test_stream_of_extracts(spark, tmp_path):
     extract(spark, *NIGHT1).coalesce(1).write.parquet(f"{tmp_path}/in")
     p = Pipeline(spark, f"{tmp_path}/out", Registry([DIM]))
@@ -166,6 +271,10 @@ def test_command_line(spark, tmp_path):
     config = {"root": f"{tmp_path}/out", "sources": {"stg": f"{tmp_path}/stg"}, "dimensions": [{"name": "dim", "source": "stg", "natural_key": ["k"], "change_column": "d"}]}
     (tmp_path / "c.json").write_text(json.dumps(config))
     at = str(tmp_path / "c.json")
+    assert [r["status"] for r in main([at, "build", "--batch", "b1", "--at", "2024-06-01T06:00:00", "--select", "dim"], spark)] == ["success", "pass"]
+    assert main([at, "gate", "dim", "--batch", "b1"], spark)[0]["status"] == "pass"
+    assert main([at, "publish", "dim", "--batch", "b1", "--at", "2024-06-01T06:00:00"], spark)["row_count"] == 2
+    assert main([at, "rollback", "dim", "--to-datetime", "2024-05-01", "--execute"], spark)["refresh"]["row_count"] == 0
     assert main([at, "run", "--batch", "b1", "--at", "2024-06-01T06:00:00", "--tag", "scd2"], spark)[-1]["status"] == "success"
     assert main([at, "rollback", "dim", "--to-datetime", "2024-05-01"], spark)["batches"] == ["b1"]
     assert main([at, "rollback", "dim", "--to-datetime", "2024-05-01", "--execute"], spark)["refresh"]["row_count"] == 0

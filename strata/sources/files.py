@@ -37,6 +37,15 @@ class Folder:
         finally:
             stream.close()
 
+    def read_bytes(self, name: str, start: int, n: int) -> bytes:
+        """``n`` bytes of a file from ``start`` on."""
+        stream = self._fs.open(self._p(name))
+        try:
+            stream.seek(start)
+            return bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+
     def write(self, name: str, text: str) -> None:
         """Write a small file, which is complete with its closing line end. An existing one is an error, so two writers can't both succeed."""
         stream = self._fs.create(self._p(name), False)

@@ -1,15 +1,18 @@
-"""What the operators share: tables, scratch tables in the shared folder, row numbering."""
+"""What the operators share: tables, the package on executors, joins that bear frequent keys."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources.scratch import discard, scratch_path, shared_dir, written
+
+__all__ = ["crc_mod", "discard", "scratch_path", "shared_dir", "ship_package", "spread_join", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,28 +34,21 @@ def ship_package(spark: SparkSession) -> None:
         sc.addPyFile(str(to))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner", many: int = 1024, parts: int = 64) -> DataFrame:
+    """``left`` joined with ``right`` on ``key`` where few keys may hold much of ``left``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    ``left`` is a written table. Its most frequent keys, at most a thousand, are dealt into ``parts``
+    by a hash of ``salt``, and their rows of ``right`` repeated for each part; a key that is not
+    among these holds less than a thousandth of the rows.
     """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="spark-strata-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/strata-{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives executor loss."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    counts = left.groupBy(key).count().where(F.col("count") > many).orderBy(F.desc("count")).limit(1000)
+    hot = [r[key] for r in counts.collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    left = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(salt), F.lit(parts))).otherwise(F.lit(0).cast("long")))
+    right = right.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def crc_mod(column: str, modulus: int) -> Column:

@@ -11,14 +11,17 @@ their shared positional bytes tallied, those that reach the minimum stay, and
 the Hamming distance verifies them.
 
 Equal fingerprints are one class from the start, so copies are never compared.
-A list longer than ``block`` is dealt into blocks and each pair of blocks is a
-group of its own, so no task gathers an unbounded list and nothing is capped.
-From each group only a spanning forest of its links leaves, not all pairs: the
-components are the same. Components are joined by stars on Spark.
-
-:func:`near_duplicates` links fingerprints; :func:`similar_documents` uses the same
-index and then a prefix filter over shingles, which leaves out no pair, to find texts
-whose shingle sets are similar, and compares those exactly.
+A list of more than ``block`` fingerprints is not compared pair by pair: each of
+its fingerprints is posted to the centres that lie within two bits of it outside
+the triple. Any two within four bits have a centre in common, any two of a centre
+are within four bits, and a centre has at most 821 of them, so such lists cost
+in proportion to their length and lose nothing. From each group only a spanning
+forest of its links leaves, not all pairs: the components are the same.
+Components are joined by stars on Spark.
+
+:func:`near_duplicates` links fingerprints. :func:`similar_documents` takes what the
+same index links as its first candidates, then what shares a shingle of a prefix,
+which leaves out no pair, and compares shingle sets exactly.
 
 Defined results: null text counts as empty; texts without words have
 fingerprint zero and link like any other; fewer than ``words`` words make one
@@ -34,15 +37,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from strata.llm.common import written
+from strata.llm.common import spread_join, written
 from strata.llm.components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
 
@@ -106,8 +107,8 @@ class _Sets:
         return i != j
 
 
-def _forest(octets: np.ndarray, side: np.ndarray | None, minimum: int, bits: int, step: int = 512) -> list[tuple[int, int]]:
-    """Spanning forest of the links among fingerprints (a row of bytes each); with ``side``, of those between its two sides."""
+def _forest(octets: np.ndarray, minimum: int, bits: int, step: int = 512) -> list[tuple[int, int]]:
+    """Spanning forest of the links among fingerprints, a row of bytes each."""
     sets, out = _Sets(len(octets)), []
     for at in range(0, len(octets), step):
         part = slice(at, at + step)
@@ -117,108 +118,121 @@ def _forest(octets: np.ndarray, side: np.ndarray | None, minimum: int, bits: int
         i, j = np.nonzero(shared >= minimum)
         i, j = i + at, j + at
         keep = i < j
-        if side is not None:
-            keep &= side[i] != side[j]
         i, j = i[keep], j[keep]
         near = np.bitwise_count(octets[i] ^ octets[j]).sum(1) <= bits
         out += [(x, y) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True) if sets.join(x, y)]
     return out
 
 
-def _in_blocks(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
-    """Rows with a count ``n`` of their group, dealt to pairs of blocks: ``lo``, ``hi`` and the row's ``own`` block."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.expr(f"pmod(xxhash64({node}), blocks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("n", "blocks", "other")
-
-
-def _octets(nodes: list, kind: str) -> np.ndarray:
-    """A row of bytes for each fingerprint, which is a long or a binary."""
-    if kind == "binary":
-        return np.frombuffer(b"".join(nodes), np.uint8).reshape(len(nodes), -1)
-    return np.array(nodes, np.int64).view(np.uint8).reshape(-1, 8)
+def _octets(nodes: np.ndarray) -> np.ndarray:
+    """A row of bytes for each fingerprint."""
+    return nodes.view(np.uint8).reshape(-1, 8)
 
 
 def postings(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], slice_rows: int = 2048) -> DataFrame:
-    """(node, key): a row for each byte triple of each eight bytes of a fingerprint; keys hold the triple's number and bytes."""
-    kind = classes.schema[node].dataType.simpleString()
+    """(node, key): a row for each byte triple of a fingerprint; keys hold the triple's number and bytes."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, slice_rows):
-                nodes = b.column(0).slice(at, slice_rows)
-                octets = _octets(nodes.to_pylist(), kind).astype(np.int64)
-                keys = [
-                    ((w // 8 * len(triples) + k) << 24) + octets[:, w + x] + (octets[:, w + y] << 8) + (octets[:, w + z] << 16)
-                    for w in range(0, octets.shape[1], 8) for k, (x, y, z) in enumerate(triples)
-                ]
+                nodes = b.column(0).slice(at, slice_rows).to_numpy()
+                octets = _octets(nodes).astype(np.int64)
+                keys = [(k << 24) + octets[:, x] + (octets[:, y] << 8) + (octets[:, z] << 16) for k, (x, y, z) in enumerate(triples)]
                 # a node's rows stand together, so that they compress
-                repeated = nodes.take(pa.array(np.repeat(np.arange(len(nodes)), len(keys))))
-                yield pa.record_batch([repeated, pa.array(np.stack(keys, axis=1).ravel())], names=["node", "key"])
+                yield pa.record_batch([pa.array(np.repeat(nodes, len(keys))), pa.array(np.stack(keys, axis=1).ravel())], names=["node", "key"])
 
-    return classes.select(node).mapInArrow(run, f"node {kind}, key long")
+    return classes.select(F.col(node).cast("long")).mapInArrow(run, "node long, key long")
 
 
-def links(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], minimum: int, bits: int, block: int = 2048) -> DataFrame:
-    """(a, b) pairs of linked nodes, enough of them to connect all that are linked.
+def _around(triple: tuple[int, int, int]) -> np.ndarray:
+    """Masks of at most two bits outside a triple's bytes."""
+    free = [np.int64(1) << np.int64(8 * p + b) for p in range(8) if p not in triple for b in range(8)]
+    return np.array([0, *free, *(x | y for x, y in combinations(free, 2))], np.int64)
 
-    ``node`` is the fingerprint itself, a long or a binary; its lists are those of
-    ``triples``; links share ``minimum`` positional bytes and differ in at most ``bits`` bits.
-    """
+
+def links(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], minimum: int, bits: int, block: int = 4096) -> DataFrame:
+    """(a, b) pairs of linked fingerprints, enough of them to connect all that are linked, with at most 4 bits of difference."""
     posted = postings(classes, node, triples)
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # a list of several blocks: each row goes to the pairs of blocks that have its own
-    met = _in_blocks(posted.join(lists, "key"), "key", "node", block)
-    groups = met.groupBy("key", "lo", "hi").agg(F.collect_list("node").alias("nodes"), F.collect_list("own").alias("owns")).where("size(nodes) > 1").select("lo", "hi", "nodes", "owns")
-    kind = classes.schema[node].dataType.simpleString()
+    lists = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    groups = posted.join(lists.where(F.col("n") <= block), "key").groupBy("key").agg(F.collect_list("node").alias("nodes")).select("nodes")
 
-    def run(batches):
+    def forest(batches):
         for b in batches:
             left, right = [], []
-            for at in range(b.num_rows):
-                lo, hi, nodes, owns = (c[at].as_py() for c in b.columns)
-                for i, j in _forest(_octets(nodes, kind), None if lo == hi else np.array(owns), minimum, bits):
+            values, ends = b.column(0).flatten().to_numpy(), np.cumsum(b.column(0).value_lengths().to_numpy())
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if b.num_rows else ():
+                nodes = values[lo:hi]
+                for i, j in _forest(_octets(nodes), minimum, bits):
                     left.append(nodes[i])
                     right.append(nodes[j])
-            arrow = pa.binary() if kind == "binary" else pa.int64()
-            yield pa.record_batch([pa.array(left, arrow), pa.array(right, arrow)], names=["a", "b"])
+            yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    found = groups.mapInArrow(forest, "a long, b long")
+    long = lists.where(F.col("n") > block)
+    if long.limit(1).count():
+        masks = [_around(t) for t in triples]
+
+        def centres(batches):
+            for b in batches:
+                nodes, which = b.column("node").to_numpy(), b.column("key").to_numpy() >> 24
+                for x, k in zip(nodes, which.tolist(), strict=True):
+                    yield pa.record_batch([pa.array(np.full(len(masks[k]), x)), pa.array((x ^ masks[k]))], names=["node", "centre"])
 
-    return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        met = spread_join(written(posted, "posted"), long, "key", "node").select("node", "key").mapInArrow(centres, "node long, centre long")
+        stars = met.groupBy("centre").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")
+        near = stars.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
+        found = found.union(near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
+        if bits < 4:
+            raise ValueError("the centres stand for 4 bits")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the component's smallest id, by links of fingerprints, itself included."""
+    if bits != 4:
+        raise ValueError("the index is made for 4 bits")
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    if not 0 <= bits <= 4:
-        raise ValueError("the triples guarantee a match up to 4 bits")
     found = connected_components(links(classes, "fp", position_triples(), 8 - bits, bits))
-    roots = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = written(roots, "roots")
+    roots = written(classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     component = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = roots.join(component, "root").select("fp", "component_id")
-    return prints.join(of_class, "fp").select(id_col, "fp", "component_id")
+    of_class = spread_join(roots, component, "root", "fp").select("fp", "component_id")
+    return spread_join(prints, of_class, "fp", id_col).select(id_col, "fp", "component_id")
 
 
-def sketch(words: list[bytes]) -> bytes:
-    """128-bit SimHash of a text's distinct words, punctuation stripped: edits of a few words move few bits."""
-    from xxhash import xxh3_128_digest
+# ---------------------------------------------------------------- shingle sets
+def shingles(words: list[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of each shingle of ``n`` words in order (fewer words: the whole sequence): the words' hashes, folded."""
+    from xxhash import xxh64_intdigest
 
-    distinct = {w.strip(_MARKS) for w in words}
-    ones = np.zeros(128, np.int64)
-    distinct = list(distinct)
-    for at in range(0, len(distinct), 65536):
-        digests = np.frombuffer(b"".join(map(xxh3_128_digest, distinct[at : at + 65536])), np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(digests, axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(distinct)).tobytes()
+    hashes = np.array(list(map(xxh64_intdigest, words)), np.uint64)
+    width = min(n, len(words))
+    if not width:
+        return hashes
+    count = len(words) - width + 1
+    out = np.full(count, width, np.uint64)
+    for k in range(width):
+        out = (out ^ hashes[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``n`` words (fewer words: the whole sequence)."""
-    from xxhash import xxh64_intdigest
+    """Sorted distinct shingles."""
+    return np.unique(shingles(words, n))
+
+
+def majority(hashes: np.ndarray, chunk: int = 65536) -> int:
+    """64-bit SimHash of hashes, repeats counted; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), chunk):
+        ones += np.unpackbits(hashes[at : at + chunk].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
-    count = max(1, len(words) - n + 1) if words else 0
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + n])) for i in range(count)], np.uint64))
+
+def words_of(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode().translate(_LOWER))
 
 
 def class_of(words: list[bytes]) -> bytes:
@@ -228,16 +242,9 @@ def class_of(words: list[bytes]) -> bytes:
     return xxh3_128_digest(b" ".join(words))
 
 
-def text_classes(docs: DataFrame, column: str, text_col: str = "text") -> DataFrame:
-    """The rows with the class of their text (:func:`class_of`) in a further column."""
-
-    def run(batches):
-        for b in batches:
-            digests = [class_of(_WORD.findall((t.as_py() or "").encode().translate(_LOWER))) for t in b.column(b.num_columns - 1)]
-            yield pa.record_batch([*b.columns[:-1], pa.array(digests, pa.binary())], names=[*b.schema.names[:-1], column])
-
-    source = docs.withColumn(column, F.col(text_col).cast("string"))
-    return source.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, BinaryType())]))
+def row_digest(text_col: str = "text") -> Column:
+    """Digest of a text as it stands: with its id it names a row."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
 def prefix_length(n: int, threshold: float) -> int:
@@ -245,175 +252,173 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
 
 
-def _in_order(shingles: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _in_order(found: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Shingles in the global order: those not known as common by their hashes, then the common ones, the commonest last."""
     if not len(common):
-        return shingles
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    return shingles[np.argsort(np.where(common[at] == shingles, places[at] + 1, 0), kind="stable")]
+        return found
+    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+    return found[np.argsort(np.where(common[at] == found, places[at] + 1, 0), kind="stable")]
+
+
+def common_shingles(source: DataFrame, words: int, rows: int = 16_000, least: int = 2, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in ``least`` or more of about ``rows`` sampled texts, sorted, and their places by frequency.
 
+    They only order the shingles. Every order gives the same links; this one keeps lists short.
+    """
+    every = max(1, source.count() // rows)
+    sample = source.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).select("text")
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0):
+                yield pa.record_batch([pa.array(shingle_set(words_of(t.as_py()), words).view(np.int64))], names=["u"])
 
-def common_shingles(sets: DataFrame, least: int = 2, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (``u`` long) that occur ``least`` times or more, sorted, and their places by frequency; ``most`` of them at most."""
-    counts = sets.groupBy("u").count().where(F.col("count") >= least).orderBy(F.desc("count"), "u").limit(most).toArrow()
-    hashes = counts["u"].to_numpy().view(np.uint64)
+    counts = sample.mapInArrow(run, "u long").groupBy("u").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "u").limit(most).toArrow()
+    hashes = found["u"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(hashes) - 1 - np.arange(len(hashes)))[order].astype(np.int64)
 
 
-def _may_be_similar(sizes: np.ndarray, places: np.ndarray, roots: list, side: list | None, threshold: float, step: int = 256):
-    """Pairs of a list's rows that its shingle leaves possible: unlike roots, sizes near enough, enough left behind the shingle."""
-    rest = sizes - places - 1
-    code = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
-    side = None if side is None else np.array(side)
-    for at in range(0, len(sizes), step):
-        part = slice(at, at + step)
-        small, large = np.minimum(sizes[part, None], sizes), np.maximum(sizes[part, None], sizes)
-        ok = (small >= threshold * large - 1e-9) & (code[part, None] != code)
-        ok &= 1 + np.minimum(rest[part, None], rest) >= threshold / (1 + threshold) * (small + large) - 1e-9
-        if side is not None:
-            ok &= side[part, None] != side
-        i, j = np.nonzero(ok)
-        yield from ((x, y) for x, y in zip((i + at).tolist(), j.tolist(), strict=True) if x < y)
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of (a, b) pairs, a written table, those whose sets reach the threshold. ``b`` may be in many pairs."""
+    of = lambda c, x: sets.select(F.col("cid").alias(c), F.col("set").alias(x))
+    both = spread_join(pairs, of("b", "y"), "b", "a").join(of("a", "x"), "a").select("a", "b", "x", "y")
 
+    def compare(batches):
+        for b in batches:
+            near = []
+            for at in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[at].as_buffer() or b"", np.uint64) for c in "xy")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= threshold * (len(x) + len(y) - shared):
+                    near.append(at)
+            yield b.select(["a", "b"]).take(pa.array(near, pa.int64()))
 
-def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, minimum: int = 5, bits: int = 24, block: int = 512, id_col: str = "doc_id", text_col: str = "text", with_class: bool = False) -> DataFrame:
-    """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``threshold``.
+    return both.mapInArrow(compare, "a long, b long")
 
-    Two searches give candidates and exact comparison of shingle sets decides. The first is the
-    byte-position index over a 128-bit SimHash of distinct words: any five of the sixteen
-    positions leave three in one half, so triples within each half guarantee a meeting of all
-    that share ``minimum`` = 5 positional bytes; it joins most copies in few comparisons. The
-    second finds every other pair of the threshold: shingles have one global order, rare ones
-    first, and texts of different components so far that share a shingle of their prefixes
-    (:func:`prefix_length`) are compared. Any order is complete; that of a sample keeps lists short.
-    Texts with the same words in the same order are one class from the start, whatever their ids;
-    ``with_class`` adds the class, and ``chosen``: whether the row's class stands for its component.
-    """
-    if minimum < 5:
-        raise ValueError("the triples guarantee a match from 5 positional bytes on")
 
-    def found_words(text):
-        return _WORD.findall((text or "").encode().translate(_LOWER))
+def _possible(threshold: float, size: str, rest: str, size_b: str, rest_b: str) -> Column:
+    """Whether two texts that share a shingle may be similar: sizes near enough, enough left behind the shingle."""
+    small, large, both = F.least(size, size_b), F.greatest(size, size_b), F.col(size) + F.col(size_b)
+    return (small >= threshold * large - 1e-9) & (1 + F.least(rest, rest_b) >= threshold / (1 + threshold) * both - 1e-9)
 
-    def describe(batches):
-        for b in batches:
-            digests, prints = [], []
-            for text in b.column(1):  # a text's words at a time
-                found = found_words(text.as_py())
-                digests.append(class_of(found))
-                prints.append(sketch(found))
-            yield pa.record_batch([b.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())], names=["id", "class", "print"])
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    described = written(source.mapInArrow(describe, f"id {kind}, class binary, print binary"), "described")
-    classes = written(described.groupBy("class", "print").agg(F.min("id").alias("least")), "classes")
-    triples = list(combinations(range(8), 3))
-    near = connected_components(links(classes.select("print").distinct(), "print", triples, minimum, bits))
-    # candidates for the exact comparison: classes of a coarse component that has several
-    coarse = classes.join(near, classes["print"] == near.node, "left").select("class", "least", F.coalesce("root", "print").alias("root"))
-    coarse = written(coarse, "coarse")
-    sizes = coarse.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    asked = coarse.join(sizes, "root").select(F.col("least").alias("id"), "class", "root", "n")
-
-    def of_class(b):
-        """Rows whose text is the class's, and its shingles: an id may have other texts too."""
-        for at, text in enumerate(b.column("text")):
-            found = found_words(text.as_py())
-            if class_of(found) == b.column("class")[at].as_py():
-                yield at, shingle_set(found, words)
-
-    def shingle(batches):
-        for b in batches:
-            rows = [(at, s.tobytes()) for at, s in of_class(b)]
-            at = pa.array([at for at, _ in rows], pa.int64())
-            kept = [b.column(c).take(at) for c in ("class", "root", "n")]
-            yield pa.record_batch([*kept, pa.array([s for _, s in rows], pa.binary())], names=["class", "root", "n", "set"])
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the root of their ``cid``: itself where it has no link yet."""
+    return rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
-    def sets_of(wanted):
-        return source.join(wanted, "id").select("text", "class", "root", "n").mapInArrow(shingle, "class binary, root binary, n long, set binary").dropDuplicates(["class"])
 
-    members = _in_blocks(sets_of(asked), "root", "class", block).groupBy("root", "lo", "hi").agg(F.collect_list(F.struct("class", "own", "set")).alias("rows")).where("size(rows) > 1").select("lo", "hi", "rows")
+def _star_pairs(met: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each row of a list with the list's most central text, b, where these are not joined yet and may be similar.
 
-    def verify(batches):
-        for b in batches:
-            left, right = [], []
-            for at in range(b.num_rows):
-                lo, hi, rows = (c[at].as_py() for c in b.columns)
-                own = [np.frombuffer(r["set"], np.uint64) for r in rows]
-                sizes, union = np.array(list(map(len, own))), _Sets(len(rows))
-                for i in range(len(rows)):
-                    small, large = np.minimum(sizes[i], sizes), np.maximum(sizes[i], sizes)
-                    for j in np.flatnonzero(small >= threshold * large).tolist():
-                        if j <= i or lo != hi and rows[i]["own"] == rows[j]["own"] or union.root(i) == union.root(j):
-                            continue
-                        shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                        if shared >= threshold * (sizes[i] + sizes[j] - shared):
-                            union.join(i, j)
-                            left.append(rows[i]["class"])
-                            right.append(rows[j]["class"])
-            yield pa.record_batch([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    first = written(members.mapInArrow(verify, "a binary, b binary"), "first")
-    joined = connected_components(first)
-    rooted = classes.join(joined, classes["class"] == joined.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    rooted = written(rooted, "rooted")
-    wanted = rooted.select(F.col("least").alias("id"), "class", "root", F.lit(1).cast("long").alias("n"))
-
-    def shingles(batches):
-        for b in batches:
-            for _, s in of_class(b):
-                yield pa.record_batch([pa.array(s.view(np.int64))], names=["u"])
+    The most central text of a list is the one with the fewest rarer shingles before that of the list.
+    """
+    rows = written(_rooted(met, roots), "rooted")
+    centre = rows.groupBy("key").agg(F.min(F.struct("place", "cid", "root", "size", "rest")).alias("c"))
+    centre = centre.select("key", F.col("c.cid").alias("b"), F.col("c.root").alias("root_b"), F.col("c.size").alias("size_b"), F.col("c.rest").alias("rest_b"))
+    near = spread_join(rows, centre, "key", "cid").where((F.col("root") != F.col("root_b")) & _possible(threshold, "size", "rest", "size_b", "rest_b"))
+    return near.select(F.col("cid").alias("a"), "b").distinct()
 
-    # the order of a bounded sample of classes
-    every = max(1, rooted.count() // 16_000)
-    sample = source.join(wanted.where(F.pmod(F.xxhash64("class"), F.lit(every)) == 0), "id").select("text", "class")
-    common, places = common_shingles(sample.mapInArrow(shingles, "u long"))
 
-    def prefixes(batches):
-        for b in batches:
-            for at, s in of_class(b):
-                keys = _in_order(s, common, places)[: prefix_length(len(s), threshold)]
-                row = pa.array(np.full(len(keys), at))
-                yield pa.record_batch([pa.array(keys.view(np.int64)), b.column("class").take(row), b.column("root").take(row), pa.array(np.full(len(keys), len(s), np.int64)), pa.array(np.arange(len(keys)))], names=["key", "node", "root", "size", "place"])
+def _rest_pairs(met: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): all pairs of a list that are not joined yet and may be similar.
 
-    posted = source.join(wanted, "id").select("text", "class", "root").mapInArrow(prefixes, "key long, node binary, root binary, size long, place long")
-    # counted where it lies: most shingles stand in one list only
-    lists = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    met = _in_blocks(lists, "key", "node", 2048).groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "size", "place", "own")).alias("rows")).where("size(rows) > 1").select("lo", "hi", "rows")
+    The rows of a list's largest component are not paired among themselves: only the others, in
+    blocks, meet all rows, in blocks. A list whose texts are all joined by now has no pairs.
+    """
+    rows = written(_rooted(met, roots), "rooted")
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    lists = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    lists = lists.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("all") / block).alias("many"))
+    open_rows = written(spread_join(rows, lists, "key", "cid"), "open")
+    minor = open_rows.where("root <> top").withColumns({"x": F.expr("pmod(xxhash64(cid), few)"), "y": F.explode(F.expr("sequence(0L, many - 1)")), "minor": F.lit(True)})
+    whole = open_rows.withColumns({"x": F.explode(F.expr("sequence(0L, few - 1)")), "y": F.expr("pmod(xxhash64(cid, 1), many)"), "minor": F.lit(False)})
+    dealt = minor.unionByName(whole).groupBy("key", "x", "y").agg(F.collect_list(F.struct("cid", "root", "size", "rest", "minor")).alias("rows")).select("rows")
 
     def meet(batches):
         for b in batches:
             found = set()
-            for at in range(b.num_rows):
-                lo, hi, rows = (c[at].as_py() for c in b.columns)
-                sizes, places = (np.array([r[c] for r in rows], np.int64) for c in ("size", "place"))
-                pairs = _may_be_similar(sizes, places, [r["root"] for r in rows], None if lo == hi else [r["own"] for r in rows], threshold)
-                found.update((min(x, y), max(x, y)) for x, y in ((rows[i]["node"], rows[j]["node"]) for i, j in pairs))
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+            flat, ends = b.column(0).flatten(), np.cumsum(b.column(0).value_lengths().to_numpy())
+            cid, root, size, rest, is_minor = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if b.num_rows else ():
+                left, right = lo + np.flatnonzero(is_minor[lo:hi]), lo + np.flatnonzero(~is_minor[lo:hi])
+                for at in range(0, len(left), 256):
+                    i = left[at : at + 256, None]
+                    small, large = np.minimum(size[i], size[right]), np.maximum(size[i], size[right])
+                    ok = (root[i] != root[right]) & (small >= threshold * large - 1e-9)
+                    ok &= 1 + np.minimum(rest[i], rest[right]) >= threshold / (1 + threshold) * (small + large) - 1e-9
+                    p, q = np.nonzero(ok)
+                    x, y = cid[i[p, 0]], cid[right[q]]
+                    found.update(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``threshold``.
 
-    pairs = written(met.mapInArrow(meet, "a binary, b binary").distinct(), "pairs")
-    in_pairs = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = written(sets_of(wanted.join(in_pairs, "class", "left_semi")).select("class", "set"), "sets")
-    compared = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    Texts with the same words in the same order are one class from the start. Candidates come in three
+    turns, and an exact comparison of shingle sets decides on each; a turn leaves out what is joined already.
+    First, each class with the least one among those that the byte-position index links to it by their
+    SimHash. Then, among classes that share a shingle of their prefixes (:func:`prefix_length`), each with
+    the most central one. Then all pairs that are left there: with these no pair of the threshold is missing.
 
-    def compare(batches):
-        for b in batches:
-            near = []
-            for at in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[at].as_py(), np.uint64) for c in "xy")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared >= threshold * (len(x) + len(y) - shared):
-                    near.append(at)
-            yield b.select(["a", "b"]).take(pa.array(near, pa.int64()))
+    ``with_row`` adds ``row`` (:func:`row_digest`), and ``chosen``: whether the row stands for its component.
+    """
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    common, places = common_shingles(source, words)
 
-    # a class's first component and the links that it lacked
-    linked = first.union(compared.mapInArrow(compare, "a binary, b binary"))
-    joined = connected_components(linked)
-    component = classes.join(joined, classes["class"] == joined.node, "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    component = written(component, "components")
-    least = component.groupBy("root").agg(F.min(F.struct("least", "class")).alias("first"))
-    component = component.join(least, "root").select("class", F.col("first.least").alias("component_id"), (F.col("class") == F.col("first.class")).alias("chosen"))
-    found = described.join(component, "class")
-    return found.select(F.col("id").alias(id_col), "component_id", *(["class", "chosen"] if with_class else []))
+    def describe(batches):
+        for b in batches:
+            digests, prints, sizes, keys = [], [], [], []
+            for text in b.column("text"):  # a text's words at a time
+                found = words_of(text.as_py())
+                hashes = shingles(found, words)
+                own = np.unique(hashes)
+                digests.append(class_of(found))
+                prints.append(majority(hashes))
+                sizes.append(len(own))
+                keys.append(_in_order(own, common, places)[: prefix_length(len(own), threshold)].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.record_batch([b.column("id"), b.column("row"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["id", "row", "class", "print", "size", "keys"])
+
+    described = source.withColumn("row", row_digest()).mapInArrow(describe, f"id {kind}, row binary, class binary, print long, size long, keys array<long>")
+    described = written(described, "described")
+    classes = described.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"), *(F.any_value(c).alias(c) for c in ("print", "size", "keys")))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    posted = classes.select("cid", "size", F.posexplode("keys").alias("place", "key")).withColumn("rest", F.col("size") - F.col("place") - 1)
+    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = written(posted.join(lists, "key"), "met")
+
+    near = connected_components(links(classes.select("print").distinct(), "print", position_triples(), 4, 4))
+    by_print = written(classes.join(near, classes["print"] == near.node, "left").select("cid", F.coalesce("root", "print").alias("root")), "by_print")
+    first = by_print.groupBy("root").agg(F.min("cid").alias("b"))
+    pairs = written(spread_join(by_print, first, "root", "cid").where("cid <> b").select(F.col("cid").alias("a"), "b"), "pairs")
+
+    wanted = met.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = classes.join(wanted, "cid", "left_semi").select("cid", F.col("least.id").alias("id"), F.col("least.row").alias("row"))
+
+    def sets_of(batches):
+        for b in batches:
+            yield pa.record_batch([b.column("cid"), pa.array([shingle_set(words_of(t.as_py()), words).tobytes() for t in b.column("text")], pa.binary())], names=["cid", "set"])
+
+    texts = source.withColumn("row", row_digest()).join(wanted, ["id", "row"]).select("cid", "text")
+    sets = written(texts.mapInArrow(sets_of, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+
+    linked = written(_similar(pairs, sets, threshold), "linked")
+    roots = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))  # stars: a class has one pair here, and b is in none as a
+    for asked in (lambda: _star_pairs(met, roots, threshold), lambda: _rest_pairs(met, roots, threshold, block)):
+        found = _similar(written(asked(), "asked"), sets, threshold)
+        linked = linked.union(written(found, "linked"))
+        roots = connected_components(linked)
+
+    component = written(_rooted(classes.select("cid", "class", "least"), roots), "rooted")
+    least = component.groupBy("root").agg(F.min("least").alias("first"))
+    component = spread_join(component, least, "root", "cid").select("class", "first")
+    out = spread_join(described.select("id", "row", "class"), component, "class", "id")
+    more = ["row", (F.struct("id", "row") == F.col("first")).alias("chosen")] if with_row else []
+    return out.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"), *more)

@@ -6,11 +6,17 @@ blank of a run, an apostrophe that opens a contraction). Each class is a
 transition function on nine states. Composition of such functions is
 associative, so a prefix scan over blocks gives the state in front of every
 codepoint, and state and class together say whether a piece begins there. The
-resulting slices feed a bounded cache of merged pieces.
+resulting slices feed a bounded cache of merged pieces. Each token's end among
+the text's bytes is kept with its id: decoding goes to the place of any token
+or byte without decoding what stands before it.
+
+A long text is encoded in parts, each of which ends where a piece begins that
+no later character can move, so memory is bounded by the part and by the ids.
 
 Defined results: null text counts as empty and has no ids; an empty text
 decodes to no bytes; a text of any length is encoded whole; repeated rows give
-repeated results; extra columns are not read.
+repeated results; an empty table gives none; extra columns are not read. Text
+that isn't valid UTF-8, as of a cast binary, has its wrong bytes replaced by U+FFFD.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ import base64
 import functools
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
@@ -152,11 +160,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         if path.endswith(".json"):
             model, names = json.load(f), byte_names()
-            special = {t["content"] for t in model["added_tokens"]}
-            return {bytes(names[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+            return {bytes(names[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added_tokens(path)}
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@functools.cache
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens of a JSON vocabulary that are found in a text before it is split, as its library does; a ``.tiktoken`` file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, "rb") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def _merger(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]]:
+    """The merges of one piece: the tokenizer library's, whose own splitting is not used, or the plain rule where it doesn't offer them."""
+    import tiktoken
+
+    try:
+        return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    except AttributeError:
+        return functools.partial(merge_piece, ranks)
+
+
+def merge_piece(ranks: dict[bytes, int], piece: bytes) -> list[int]:
+    """The adjacent pair of lowest rank is merged, the first of such, until no pair has a rank."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(pairwise(parts)) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 class _Merged(dict):
     """Piece to its ids as little-endian unsigned 32-bit bytes; emptied at ``limit`` pieces, so memory is bounded."""
 
@@ -177,51 +216,96 @@ class Codec:
     """Encodes texts and decodes ids under one vocabulary. One instance a worker and vocabulary: see :func:`codec`."""
 
     def __init__(self, path: str, cache_pieces: int = 300_000, chunk_chars: int = 1_000_000):
-        import tiktoken
-
-        ranks = load_ranks(path)
-        # the library merges one piece at a time; its own splitting is not used
-        self._library = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self._merged = _Merged(self._library._core_bpe.encode_single_piece, cache_pieces)
+        ranks, self.added = load_ranks(path), added_tokens(path)
+        self._found = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self._merged = _Merged(_merger(ranks), cache_pieces)
         self.chunk_chars = chunk_chars
-        self.token_bytes = [b""] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
+        self.token_bytes = [b""] * (max([*ranks.values(), *self.added.values()]) + 1)
+        for token, i in [*ranks.items(), *((t.encode(), i) for t, i in self.added.items())]:
             self.token_bytes[i] = token
-
-    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
-        """For chunks of texts: all pieces as UTF-8, and each text's range among them."""
+        self._lengths = np.fromiter(map(len, self.token_bytes), np.int64, len(self.token_bytes))
+
+    @property
+    def largest_id(self) -> int:
+        return len(self.token_bytes) - 1
+
+    def pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All pieces of the texts as UTF-8, at which codepoint each begins, and where the texts end, each followed by one separator."""
+        joined = "\n".join(texts) + "\n"
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        starts = piece_starts(np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends)
+        utf8 = joined.encode()
+        at = starts
+        if len(utf8) > len(joined):  # from codepoints to bytes
+            at = np.flatnonzero((np.frombuffer(utf8, np.uint8) & 0xC0) != 0x80)[starts]
+        at = at.tolist()
+        at.append(len(utf8))
+        return [utf8[a:b] for a, b in pairwise(at)], starts, ends
+
+    def _plain(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of texts in which no added token is looked for."""
         for chunk in _chunks(texts, self.chunk_chars):
-            joined = "\n".join(chunk) + "\n"
-            lengths = np.fromiter(map(len, chunk), np.int64, len(chunk))
-            ends = np.cumsum(lengths + 1) - 1
-            starts = piece_starts(np.frombuffer(joined.encode("utf-32-le"), np.uint32), ends)
-            utf8 = joined.encode()
-            at = starts
-            if len(utf8) > len(joined):  # from codepoints to bytes
-                at = np.flatnonzero((np.frombuffer(utf8, np.uint8) & 0xC0) != 0x80)[starts]
-            at = at.tolist()
-            at.append(len(utf8))
-            found = [utf8[a:b] for a, b in pairwise(at)]
+            if len(chunk[0]) > self.chunk_chars:
+                yield self._long(chunk[0])
+                continue
+            found, starts, ends = self.pieces(chunk)
+            ids = list(map(self._merged.__getitem__, found))
             hi = np.searchsorted(starts, ends).tolist()
-            lo = np.searchsorted(starts, ends - lengths).tolist()
-            yield found, list(zip(lo, hi, strict=True))
+            lo = np.searchsorted(starts, np.append(0, ends[:-1] + 1)).tolist()
+            for a, b in zip(lo, hi, strict=True):
+                yield b"".join(ids[a:b])
+
+    def _long(self, text: str) -> bytes:
+        """A long text in parts: one ends at the last piece that begins four characters or more before what isn't known yet."""
+        out, at, size = [], 0, self.chunk_chars
+        while at < len(text):
+            part = text[at : at + size]
+            found, starts, (end,) = self.pieces([part])
+            n, step = int(np.searchsorted(starts, end)), len(part)
+            if at + size < len(text):
+                n = int(np.searchsorted(starts, len(part) - 4, side="right")) - 1
+                if n < 1:  # one piece fills the part
+                    size *= 2
+                    continue
+                step = int(starts[n])
+            out += map(self._merged.__getitem__, found[:n])
+            at, size = at + step, self.chunk_chars
+        return b"".join(out)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit bytes."""
-        for found, ranges in self.pieces(texts):
-            ids = list(map(self._merged.__getitem__, found))
-            for lo, hi in ranges:
-                yield b"".join(ids[lo:hi])
-
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        """Byte range of each token of a text, for decoding parts of it."""
-        (ids,) = self.encode([text])
-        to = np.cumsum([0, *(len(self.token_bytes[i]) for i in np.frombuffer(ids, "<u4").tolist())])
-        return list(zip(to[:-1].tolist(), to[1:].tolist()))
+        if not self._found:
+            yield from self._plain(texts)
+            return
+        between: deque[list[bytes]] = deque()  # of each text on its way, the added tokens between its segments
+
+        def segments() -> Iterator[str]:
+            for t in texts:
+                between.append([np.array([self.added[x]], "<u4").tobytes() for x in self._found.findall(t)])
+                yield from self._found.split(t) if between[-1] else (t,)
+
+        done: list[bytes] = []
+        for ids in self._plain(segments()):
+            done.append(ids)
+            if len(done) > len(between[0]):
+                yield done[0] if len(done) == 1 else b"".join([done[0], *(x for pair in zip(between[0], done[1:], strict=True) for x in pair)])
+                between.popleft()
+                done = []
+
+    def ends(self, ids: bytes) -> np.ndarray:
+        """Where each token ends among the text's bytes."""
+        return np.cumsum(self._lengths[np.frombuffer(ids, "<u4")])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
+    def decode_bytes(self, ids: np.ndarray, ends: np.ndarray, start: int, stop: int) -> bytes:
+        """Bytes ``start`` to ``stop`` of a text, from the tokens that hold them alone."""
+        first, last = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop))
+        held = self.decode(ids[first : last + 1].tolist())
+        base = int(ends[first - 1]) if first else 0
+        return held[max(0, start - base) : max(0, stop - base)]
+
 
 def _chunks(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     chunk, n = [], 0
@@ -241,30 +325,51 @@ def codec(path: str) -> Codec:
 
 
 # ---------------------------------------------------------------- operator
+def text_of(value: pa.Scalar) -> str:
+    """A text, empty for null; bytes that aren't UTF-8 are replaced."""
+    try:
+        return value.as_py() or ""
+    except UnicodeDecodeError:
+        return value.as_buffer().to_pybytes().decode("utf-8", "replace")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return source, source.schema[0].dataType.simpleString()
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text: (id, ids binary of little-endian unsigned 32-bit, n_tokens). No shuffle."""
+    """Ids of every text: (id, ids, ends, n_tokens). No shuffle.
+
+    ``ids`` are little-endian unsigned 32-bit, ``ends`` the same for each token's end among the text's
+    bytes (64-bit).
+    """
 
     def run(batches):
         c = codec(vocabulary)
         for b in batches:
-            ids = list(c.encode(t.as_py() or "" for t in b.column(1)))
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[id_col, "ids", "n_tokens"])
+            ids = list(c.encode(map(text_of, b.column(1))))
+            ends = [c.ends(x).astype("<i8").tobytes() for x in ids]
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array(ends, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[id_col, "ids", "ends", "n_tokens"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
+    source, kind = _source(docs, id_col, text_col)
+    return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary, ends binary, n_tokens long")
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
-    """Bytes of every row's ids: (id, bytes)."""
+def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", start: int = 0, stop: int | None = None) -> DataFrame:
+    """(id, bytes) of every row of :func:`encode_documents`: the text's bytes from ``start`` to ``stop``, found by the tokens' ends."""
 
     def run(batches):
         c = codec(vocabulary)
         for b in batches:
-            out = [c.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(1).to_pylist()]
+            out = []
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids, ends = np.frombuffer(x or b"", "<u4"), np.frombuffer(y or b"", "<i8")
+                size = int(ends[-1]) if len(ends) else 0
+                out.append(c.decode_bytes(ids, ends, start, size if stop is None else min(stop, size)))
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=[id_col, "bytes"])
 
-    source = encoded.select(id_col, "ids")
+    source = encoded.select(id_col, "ids", "ends")
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, bytes binary")
 
 
@@ -273,17 +378,16 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         c = codec(vocabulary)
-        decimal = list(map(str, range(len(c.token_bytes))))
+        decimal = list(map(str, range(c.largest_id + 1)))
         for b in batches:
-            texts = (t.as_py() or "" for t in b.column(1))
             counts, encoded, decoded = [], [], []
-            for raw in c.encode(texts):
-                ids = np.frombuffer(raw, "<u4").tolist()
+            for raw in c.encode(map(text_of, b.column(1))):
+                ids = np.frombuffer(raw, "<u4")
+                ends = c.ends(raw)
                 counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                encoded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                decoded.append(hashlib.sha256(c.decode_bytes(ids, ends, 0, int(ends[-1]) if len(ends) else 0)).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    kind = source.schema[0].dataType.simpleString()
+    source, kind = _source(docs, id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,9 +1,10 @@
 """Sequence packing by Karmarkar-Karp multiway differencing (operator 1).
 
 Documents become token ids plus a closing id, cut into pieces. Whole windows of
-a long document stand alone; what is left over is cut at multiples of
-``largest`` (a quarter window, so that sums can be evened out) and collected,
-within a task, in groups of ``group`` pieces. A group is
+a long document stand alone; what is left over is cut at ``largest`` (half a
+window: shorter documents stay whole, and padding stays under 1 %; with a whole
+window nothing is cut that fits, and padding is some 3 %) and collected, within a
+task, in groups of ``group`` pieces. A group is
 split into as many windows as its tokens need, by multiway differencing: the
 two partial partitions with the largest spreads are merged so that the fullest
 windows of one meet the emptiest of the other, until one near-equal partition
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.bytebpe import codec
+from strata.llm.bytebpe import codec, text_of
 
 #: A partition's sequences are numbered from its number times this.
 SEQUENCES_A_TASK = 1 << 40
@@ -82,7 +83,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, closi
 
     ``ids`` are little-endian unsigned 32-bit; ``start`` counts the document's ids before the piece.
     """
-    largest = largest or max(1, capacity // 4)
+    largest = largest or max(1, capacity // 2)
     closing = np.array([closing_id], "<u4").tobytes()
 
     def run(batches):
@@ -106,7 +107,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, closi
         for b in batches:
             kind = b.schema[0].type
             keys = b.column(0).to_pylist()
-            for key, ids in zip(keys, c.encode(t.as_py() or "" for t in b.column(1)), strict=True):
+            for key, ids in zip(keys, c.encode(map(text_of, b.column(1))), strict=True):
                 ids += closing
                 n = len(ids) // 4
                 whole = n - n % capacity

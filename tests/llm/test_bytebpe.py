@@ -1,6 +1,7 @@
 """Against the tokenizer libraries, and round trips."""
 
 import base64
+import functools
 import hashlib
 import random
 
@@ -19,6 +20,7 @@ MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
 def library(path):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -40,8 +42,7 @@ def test_ids_equal_the_library(texts):
 
 def test_json_vocabulary_equals_tokenizers():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    texts = [x or "" for x in ODD_TEXTS] + ["<|endoftext|> is text"]
+    texts = [x or "" for x in ODD_TEXTS] + ["<|endoftext|> is text", "a <|endoftext|>  <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>y", "<|endoftext", "|endoftext|>"] * 2
     assert ids(bytebpe.codec(JSON), texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -64,7 +65,41 @@ def test_cache_is_bounded_and_offsets_decode():
     assert ids(c, texts) == ids(bytebpe.codec(MULTI), texts) and len(c._merged) <= 3
     raw = texts[0].encode()
     (tokens,) = ids(c, texts[:1])
-    assert [raw[a:b] for a, b in c.offsets(texts[0])] == [c.token_bytes[i] for i in tokens]
+    ends = c.ends(np.array(tokens, "<u4").tobytes()).tolist()
+    assert [raw[a:b] for a, b in zip([0, *ends], ends)] == [c.token_bytes[i] for i in tokens]
+    every = np.array(tokens, "<u4"), np.array(ends)
+    assert all(c.decode_bytes(*every, a, b) == raw[a:b] for a in range(len(raw) + 1) for b in range(a, len(raw) + 1))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("'stremdvl  \n\t9a.!éA"), st.characters(exclude_categories=["Cs"])), min_size=10, max_size=80))
+def test_parts_of_long_texts_equal_the_library(text):
+    for size in (5, 9):
+        assert ids(in_parts(size), [text]) == [library(MULTI).encode_ordinary(text)]
+
+
+@functools.cache
+def in_parts(size):
+    return bytebpe.Codec(MULTI, chunk_chars=size)
+
+
+def test_a_text_of_several_parts():
+    rng = random.Random(4)
+    text = "".join(rng.choice(["word ", "it's ", "  \n", "ünï", "12 ", "!? "]) for _ in range(600_000)) + "a" * 30_000
+    assert ids(bytebpe.Codec(MULTI, chunk_chars=200_000), [text]) == [library(MULTI).encode_ordinary(text)]
+
+
+def test_plain_merging_equals_the_library():
+    ranks, enc = bytebpe.load_ranks(MULTI), library(MULTI)
+    for piece in ("hello", " unbelievable", "zzzzzz", "¿qué", "a", "1234567", " Straßenbahn"):
+        assert bytebpe.merge_piece(ranks, piece.encode()) == enc.encode_ordinary(piece)
+
+
+def test_text_that_is_not_utf8(documents):
+    from pyspark.sql import functions as F
+
+    wrong = documents(["x"]).withColumn("text", F.unhex(F.lit("61FF62")).cast("string"))
+    assert bytes(bytebpe.decode_documents(bytebpe.encode_documents(wrong, MULTI), MULTI).first().bytes).decode() == "a\ufffdb"
 
 
 def test_query_digests(documents):
@@ -77,6 +112,8 @@ def test_query_digests(documents):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     decoded = bytebpe.decode_documents(bytebpe.encode_documents(docs, MULTI), MULTI).collect()
     assert sorted((r.doc_id, bytes(r.bytes).decode()) for r in decoded) == [(i, t or "") for i, t in enumerate(ODD_TEXTS)]
+    part = bytebpe.decode_documents(bytebpe.encode_documents(docs, MULTI), MULTI, start=3, stop=9).collect()
+    assert {r.doc_id: bytes(r.bytes) for r in part} == {i: (t or "").encode()[3:9] for i, t in enumerate(ODD_TEXTS)}
     assert bytebpe.round_trip(docs.where("false"), MULTI).count() == 0
 
 

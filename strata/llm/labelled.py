@@ -9,16 +9,17 @@ from strata.llm.common import crc_mod
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int, seed: int = 11) -> DataFrame:
-    """(doc_id, text, label double, part int of 0 to 9): at most ``bound`` labelled ids, those with the smallest keyed hashes.
+    """(doc_id, text, label double, part int of 0 to 9): one row for each of at most ``bound`` labelled ids, those with the smallest keyed hashes.
 
-    Labels are read only where ``allowed`` (a condition on doc_id) holds. Repeated ids
-    count once, null texts as empty.
+    Labels are read only where ``allowed`` (a condition on doc_id) holds. Of conflicting labels of an id the
+    greatest counts, of repeated ids the smallest text; null texts are empty.
     """
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = labels.where(allowed & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("double").alias("label")).orderBy(order, "doc_id").limit(bound)
     # `bound` ids and labels: a size that does not follow the input
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(10)).cast("int"))
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return one.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(10)).cast("int"))
 
 
 def with_row(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:

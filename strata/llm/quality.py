@@ -1,13 +1,13 @@
 """Quality by naive Bayes support vectors over character n-grams (operator 9).
 
-A text's features are indicators of its byte n-grams (orders 1 to 3), of n-grams
-over whether each word repeats the one before it (orders 1 to 6) and of its
-length's power of two, hashed to ``2**bits`` slots. Each indicator is scaled by its class log-count ratio from
-the labelled sample, rows are brought to unit length, and a linear model with
+A text's features are indicators of its byte n-grams (orders 1 to 3) and of n-grams
+over whether each word repeats the one before it (orders 1 to 6), hashed to
+``2**bits`` slots. Each indicator is scaled by its class log-count ratio from the labelled sample, rows are brought to unit length, and a linear model with
 hinge loss is fitted to them by dual coordinate descent. A logistic curve,
 fitted on a part of the sample that the model has not seen, turns margins into
-scores of 0 to 1. The sample is bounded, so the fit is a small task whatever
-the input; scoring is one pass without a shuffle.
+scores of 0 to 1. The sample is bounded in rows, and a row takes ``2**bits / 8``
+bytes at most, 8 KiB; so what reaches the driver (64 MiB at most with the defaults)
+and the fit are small whatever the input. Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts have no features and score by the bias
 alone; repeated rows get equal scores; without usable labels of both classes
@@ -17,6 +17,7 @@ length is scored whole; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import pairwise
 
 import numpy as np
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.bytebpe import text_of
 from strata.llm.labelled import kept, training_sample, with_row
 
 _CHUNK = 1 << 20
@@ -52,11 +54,39 @@ def slots(text: str, bits: int) -> np.ndarray:
             for k in range(order):
                 gram += same[k : k + n] << np.uint32(k)
             seen[((gram + np.uint32(1 << 28)) * np.uint32(2654435761)) >> shift] = True
-    seen[((np.array([len(raw).bit_length()], np.uint32) + np.uint32(1 << 29)) * np.uint32(2654435761)) >> shift] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, c: float = 1.0, epochs: int = 12, seed: int = 3, alpha: float = 1.0) -> tuple[np.ndarray, float]:
+def packed(slot: np.ndarray, bits: int) -> bytes:
+    """Slots as 32-bit numbers, or as a bitmap where that is shorter."""
+    if 4 * len(slot) < (1 << bits) // 8:
+        return slot.astype("<i4").tobytes()
+    seen = np.zeros(1 << bits, bool)
+    seen[slot] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpacked(raw: bytes, bits: int) -> np.ndarray:
+    """The slots again: a bitmap has the length that no list has."""
+    if len(raw) == (1 << bits) // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32)
+    return np.frombuffer(raw, "<i4")
+
+
+class Packed(Sequence):
+    """Rows of slots, unpacked as they are asked for."""
+
+    def __init__(self, rows: list[bytes], bits: int):
+        self.rows, self.bits = rows, bits
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpacked(self.rows[i], self.bits)
+
+
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, size: int, c: float = 1.0, epochs: int = 12, seed: int = 3, alpha: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights of each indicator (ratio and model together) and the bias, for labels of 1 and -1."""
     counts = {y: np.full(size, alpha) for y in (1, -1)}
     for slot, y in zip(rows, labels, strict=True):
@@ -111,30 +141,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
 
     def featurise(batches):
         for b in batches:
-            found = [slots(t.as_py(), bits).tobytes() for t in b.column("text")]
+            found = [packed(slots(t, bits), bits) for t in map(text_of, b.column("text"))]
             yield pa.record_batch([b.column("key"), b.column("label"), b.column("part"), pa.array(found, pa.binary())], names=["key", "label", "part", "slots"])
 
     sample = training_sample(docs, labels, label, allowed, bound).select(F.xxhash64("doc_id", "text").alias("key"), "label", "part", "text")
-    # bounded: `bound` rows of at most 2**bits slots; ordered, so that the order in which tasks ended has no influence
+    # bounded: `bound` rows of at most 2**bits bits; ordered, so that the order in which tasks ended has no influence
     rows = sample.mapInArrow(featurise, "key long, label double, part int, slots binary").toArrow().sort_by("key")
     known = np.where(rows["label"].to_numpy() > 0, 1, -1)
     if len(set(known.tolist())) < 2 or min((known > 0).sum(), (known < 0).sum()) < 2:
         return docs.select(*keep, F.lit(float((known > 0).mean()) if len(known) else 1.0).alias(column))
-    found = [np.frombuffer(x.as_buffer() if x.as_buffer() else b"", np.int32) for x in rows["slots"]]
+    found = rows["slots"].to_pylist()
     part = rows["part"].to_numpy()
     fitted = part < 8
     if len(set(known[fitted].tolist())) < 2 or len(set(known[~fitted].tolist())) < 2:
         fitted = np.ones(len(known), bool)
     check = ~fitted if not fitted.all() else fitted
-    weights, bias = fit([found[i] for i in np.flatnonzero(fitted)], known[fitted], 1 << bits)
-    a, b = logistic(np.array([margin(found[i], weights, bias) for i in np.flatnonzero(check)]), known[check])
+    weights, bias = fit(Packed([found[i] for i in np.flatnonzero(fitted)], bits), known[fitted], 1 << bits)
+    a, b = logistic(np.array([margin(unpacked(found[i], bits), weights, bias) for i in np.flatnonzero(check)]), known[check])
     weights = weights.astype(np.float32)
     del rows, found
     pa.default_memory_pool().release_unused()
 
     def run(batches):
         for batch in batches:
-            m = np.array([margin(slots(t or "", bits), weights, bias) for t in (x.as_py() for x in batch.column("text"))])
+            m = np.array([margin(slots(t, bits), weights, bias) for t in map(text_of, batch.column("text"))])
             score = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
             yield pa.record_batch([batch.column("_row"), pa.array(score, pa.float64())], names=["_row", "score"])
 

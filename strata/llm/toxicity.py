@@ -21,16 +21,18 @@ from __future__ import annotations
 import re
 import string
 from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import written
+from strata.llm.bytebpe import text_of
+from strata.llm.common import discard, written
 from strata.llm.labelled import kept, training_sample, with_row
 
 #: Words for a second person, in the four languages of the corpus.
@@ -97,7 +99,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
 
     def run(batches):
         for b in batches:
-            values = np.array([features(t.as_py() or "", lexicon) for t in b.column("text")], np.float64).reshape(-1, len(FEATURES))
+            values = np.array([features(t, lexicon) for t in map(text_of, b.column("text"))], np.float64).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(FEATURES)), pa.int32()), pa.array(values.ravel()))
             yield pa.record_batch([b.column("_row"), lists], names=["_row", "features"])
 
@@ -128,6 +130,36 @@ def learn_lexicon(sample: DataFrame, odds_least: float = 20.0, surprise: float =
     return Lexicon(frozenset(w for w in whole if not any(w[:k] in short for k in range(4, 9))), frozenset(short))
 
 
+@dataclass(frozen=True)
+class Model:
+    """What a labelled sample gives: the lexicon, the trees over the features, and the curve from their probability to a score."""
+
+    lexicon: Lexicon
+    trees: GBTClassificationModel
+    curve: IsotonicRegressionModel
+
+    def score(self, featured: DataFrame) -> DataFrame:
+        """``raw`` and ``toxicity`` of rows with ``features``."""
+        raw = self.trees.transform(featured).withColumn("raw", vector_to_array("probability")[1])
+        return self.curve.transform(raw)
+
+
+def fit(sample: DataFrame, trees: int = 12, depth: int = 3) -> Model:
+    """The model of a sample with ``label``, ``part`` and ``text``: lexicon and trees by parts 0 to 6, the curve by the rest."""
+    lexicon = learn_lexicon(sample.where("part < 7"))
+    data = with_features(sample, lexicon, ["label", "part"]).select("_row.label", "_row.part", "features").coalesce(6).cache()
+    fitted_on = data.where("part < 7")
+    if fitted_on.select("label").distinct().count() < 2:
+        fitted_on = data
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=5).fit(fitted_on)
+    rest = data.where("part >= 7")
+    rest = rest if rest.select("label").distinct().count() == 2 else data
+    rest = model.transform(rest).select("label", vector_to_array("probability")[1].alias("raw"))
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="toxicity").fit(rest)
+    data.unpersist()
+    return Model(lexicon, model, curve)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: list[str], bound: int = 12_000, trees: int = 12, depth: int = 3, label: str = "toxic", column: str = "toxicity") -> DataFrame:
     """``keep`` columns and a calibrated toxicity of 0 to 1, named ``column``, for every document.
 
@@ -138,17 +170,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: li
     known = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(known) < 2 or min(known.values()) < 2:
         share = known.get(1.0, 0) / max(1, sum(known.values()))
-        return docs.select(*keep, F.lit(float(share)).alias(column))
-    lexicon = learn_lexicon(sample.where("part < 7"))
-    data = with_features(sample, lexicon, ["label", "part"]).select("_row.label", "_row.part", "features").coalesce(6).cache()
-    fitted_on = data.where("part < 7")
-    if fitted_on.select("label").distinct().count() < 2:
-        fitted_on = data
-    trees_model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, seed=5).fit(fitted_on)
-    raw = lambda df: trees_model.transform(df).withColumn("raw", vector_to_array("probability")[1])
-    rest = data.where("part >= 7")
-    rest = rest if rest.select("label").distinct().count() == 2 else data
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="toxicity").fit(raw(rest))
-    data.unpersist()
-    scored = curve.transform(raw(with_features(docs, lexicon, keep)))
-    return kept(scored, keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "toxicity")), column)
+        return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(share)).alias(column))
+    model = fit(sample, trees, depth)
+    discard(sample)
+    return kept(model.score(with_features(docs, model.lexicon, keep)), keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "toxicity")), column)

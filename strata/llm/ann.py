@@ -3,9 +3,9 @@
 Equal vectors are one class from the start: classes are indexed and searched, and
 those found give their ids in ascending order, so no cut falls among copies. Pivots
 are a bounded sample of the classes, the same at every size. Each vector is
-represented by its ``prefix`` nearest pivots in order. Within each block of
-classes, an inverted file for each pivot holds (row, place of the pivot in its
-order). A query walks the files of its own pivots and sums what the places agree
+represented by its ``prefix`` nearest pivots in order. Each block of classes is
+posted once in inverted files, which hold (row, place of the pivot in its order)
+for each pivot. A query walks the files of its own pivots and sums what the places agree
 on: the Spearman footrule over orders cut at ``prefix``, where a pivot outside
 a prefix counts as place ``prefix``. The share ``keep`` of a block with the
 smallest footrule distance (``least`` rows at least) is reranked by the true
@@ -49,19 +49,23 @@ def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.nda
     return np.argsort(distance, axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
-def footrule_agreement(orders: np.ndarray, n_pivots: int, asked: np.ndarray):
-    """For each query order: prefix-scaled agreement with every row, by walking the files of its pivots (higher: nearer)."""
-    n, prefix = orders.shape
-    by_pivot = np.argsort(orders.ravel(), kind="stable")
-    rows, places = (by_pivot // prefix).astype(np.int32), (by_pivot % prefix).astype(np.int32)
-    edges = np.searchsorted(orders.ravel()[by_pivot], np.arange(n_pivots + 1))
-    for order in asked:
-        total = np.zeros(n, np.int64)
+class Files:
+    """The inverted files of a block: for each pivot, the rows that have it in their orders and its place there."""
+
+    def __init__(self, orders: np.ndarray, n_pivots: int):
+        self.n, self.prefix = orders.shape
+        by_pivot = np.argsort(orders.ravel(), kind="stable")
+        self.rows, self.places = (by_pivot // self.prefix).astype(np.int32), (by_pivot % self.prefix).astype(np.int32)
+        self.edges = np.searchsorted(orders.ravel()[by_pivot], np.arange(n_pivots + 1))
+
+    def agreement(self, order: np.ndarray) -> np.ndarray:
+        """Prefix-scaled agreement of a query's order with every row, by walking the files of its pivots (higher: nearer)."""
+        total = np.zeros(self.n, np.int64)
         for place, pivot in enumerate(order):
-            part = slice(edges[pivot], edges[pivot + 1])
+            part = slice(self.edges[pivot], self.edges[pivot + 1])
             # both outside: 0; footrule falls by 2 * (prefix - the larger place) where both have the pivot
-            total[rows[part]] += 2 * (prefix - np.maximum(places[part], place))
-        yield total
+            total[self.rows[part]] += 2 * (self.prefix - np.maximum(self.places[part], place))
+        return total
 
 
 def classes_of(rows: DataFrame, most: int, block: int = 8192) -> DataFrame:
@@ -76,7 +80,7 @@ def classes_of(rows: DataFrame, most: int, block: int = 8192) -> DataFrame:
     return whole.select(F.col("ids")[0].alias("vec_id"), "vector", "ids")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, prefix: int = 64, keep: float = 0.12, least: int = 512) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, prefix: int = 64, keep: float = 0.2, least: int = 64, n_blocks: int | None = None) -> DataFrame:
     """The k nearest rows found for each query, its own id left out: (query_id, rank, vec_id, score).
 
     ``rows`` and ``queries`` are (vec_id, vector) as :func:`valid_vectors` gives them.
@@ -86,26 +90,22 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, pivots:
     rows = classes.select("vec_id", "vector")
     points = pivots_of(rows, pivots)
 
-    def shard(ids, vectors, query_ids, query_vectors):
-        dim = vectors.shape[1]
-        p = points.get(dim)
-        length = min(prefix, len(p)) if p is not None else 0
-        if not length or len(ids) <= least:
-            agreements = (None for _ in query_ids)
-        else:
-            agreements = footrule_agreement(pivot_orders(vectors, p, length), len(p), pivot_orders(query_vectors, p, length))
-        out = []
-        for query, vector, agreement in zip(query_ids.tolist(), query_vectors, agreements, strict=True):
-            at = np.arange(len(ids))
-            n = max(least, int(np.ceil(keep * len(ids))))
-            if agreement is not None and n < len(ids):
-                at = np.argpartition(-agreement, n - 1)[:n]
+    def index(ids, vectors):
+        p = points.get(vectors.shape[1], vectors[:pivots])  # a length that no pivot has is rare, and has pivots of its own
+        length = min(prefix, len(p))
+        files = Files(pivot_orders(vectors, p, length), len(p))
+        n = min(len(ids), max(least, k + 1, int(np.ceil(keep * len(ids)))))
+
+        def ask(_, vector):
+            agreement = files.agreement(pivot_orders(vector[None], p, length)[0])
+            at = blocks.best(-agreement, ids, n)  # equal agreements go by id too
             distance = np.sqrt(((vectors[at] - vector) ** 2).sum(1))
             top = blocks.best(distance, ids[at], k + 1)
-            out.append((query, ids[at][top], distance[top]))
-        return out
+            return ids[at][top], distance[top]
+
+        return ask
 
-    near = blocks.search(rows, queries, shard, k + 1, "double", ascending=True)
+    near = blocks.search(rows, queries, index, k + 1, "double", ascending=True, n_blocks=n_blocks)
     every = near.join(classes.select("vec_id", "ids"), "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

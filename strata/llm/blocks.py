@@ -1,9 +1,11 @@
 """A stated query set against all rows, in blocks: what the two vector searches share.
 
-Rows and queries are dealt into blocks of a bounded size by a hash of their ids.
-Each pair of blocks is one group; a group returns its best k of every query, and
-a window merges the shards. Nothing is broadcast and no pair of rows leaves a
-task but the k best of each query and shard.
+Rows are dealt once into blocks of a bounded size by a hash of their ids, each
+the work of one task; only the queries, a small share of the rows, are repeated
+for each block. A task builds the index of its block and then takes the queries
+as they stream by, a batch at a time, so it holds one block and one batch. It
+gives its best k of every query, and a window merges the blocks. Nothing is
+broadcast.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tasks of a search at most; beyond that, a task has several pairs of blocks.
-MOST_TASKS = 50_000
+#: Rows of a block, at most and (but for small tables) at least; blocks of small tables; bytes of a block's vectors at most.
+MOST_ROWS, LEAST_ROWS, FEW_BLOCKS, MOST_BYTES = 65_536, 4_096, 16, 1 << 26
 
 
 def finite(vector: str) -> Column:
@@ -29,8 +31,8 @@ def one_a_key(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("vec_id")).agg(F.min(vector).alias("vector"))
 
 
-def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -41,35 +43,51 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, scores))[:k]
 
 
+def blocks_of(rows: int, widest: int) -> int:
+    """Number of blocks: of 4,096 rows up to sixteen blocks, then of more, until a block has 65,536 rows or 64 MiB."""
+    most = max(1, min(MOST_ROWS, MOST_BYTES // (8 * max(1, widest))))
+    return max(1, -(-rows // most), min(FEW_BLOCKS, -(-rows // min(most, LEAST_ROWS))))
+
+
 def search(
-    rows: DataFrame, queries: DataFrame, shard: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, np.ndarray, np.ndarray]]],
-    k: int, score_type: str, ascending: bool, row_block: int = 8192, query_block: int = 1024,
+    rows: DataFrame, queries: DataFrame, index: Callable[[np.ndarray, np.ndarray], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]], k: int, score_type: str, ascending: bool, n_blocks: int | None = None,
 ) -> DataFrame:
     """The k best of each query: (query_id, rank, vec_id, score).
 
-    ``shard(ids, vectors, query_ids, query_vectors)`` gives (query id, row ids, scores) of each
-    query. Vectors of another length than a query's are no candidates of it.
+    ``index(ids, vectors)`` of a block gives a function from a query's id and vector to its best row ids and
+    scores there. Vectors of another length than a query's are no candidates of it.
     """
-    n_blocks = -(-rows.count() // row_block) or 1
-    n_query_blocks = -(-queries.count() // query_block) or 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = rows.select("vec_id", "vector", F.size("vector").alias("dim"), own(n_blocks).alias("b")).withColumn("q", every(n_query_blocks))
-    right = queries.select("vec_id", "vector", F.size("vector").alias("dim"), own(n_query_blocks).alias("q")).withColumn("b", every(n_blocks))
-
-    def run(key, docs: pa.Table, asked: pa.Table) -> pa.Table:
-        dim, out = key[0].as_py(), []
-        if docs.num_rows and asked.num_rows:
-            ids, qids = docs["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-            out = shard(ids, matrix(docs["vector"], dim), qids, matrix(asked["vector"], dim))
-        kind = pa.int64() if score_type == "long" else pa.float64()
-        join = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))
-        return pa.table({"query_id": join([np.full(len(i), q) for q, i, _ in out], np.int64), "vec_id": join([i for _, i, _ in out], np.int64), "score": join([s for _, _, s in out], np.float64 if score_type == "double" else np.int64).cast(kind)})
-
-    # a task for each pair of blocks: their bytes are few and their work is not, so they aren't to be merged by size
-    tasks = min(n_blocks * n_query_blocks, MOST_TASKS)
-    left, right = (x.repartition(tasks, "dim", "b", "q") for x in (left, right))
-    found = left.groupBy("dim", "b", "q").cogroup(right.groupBy("dim", "b", "q")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    if n_blocks is None:
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+        n_blocks = blocks_of(size["n"], size["dim"] or 1)
+    dim = F.size("vector").alias("dim")
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    both = rows.select("vec_id", "vector", dim, own, F.lit(False).alias("asks")).union(queries.select("vec_id", "vector", dim, every, F.lit(True)))
+    dealt = both.repartition(n_blocks, "block", "dim").sortWithinPartitions("block", "dim", "asks")
+    number = np.float64 if score_type == "double" else np.int64
+
+    def run(batches):
+        at, ids, vectors, ask = None, [], [], None
+        for b in batches:
+            block, dims, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "dim", "asks"))
+            cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (dims[1:] != dims[:-1]) | (asks[1:] != asks[:-1])]) if len(block) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                own_ids, own_vectors = b.column("vec_id").slice(lo, hi - lo).to_numpy(), matrix(b.column("vector").slice(lo, hi - lo), dims[lo])
+                if at != (block[lo], dims[lo]):
+                    at, ids, vectors, ask = (block[lo], dims[lo]), [], [], None
+                if not asks[lo]:
+                    ids.append(own_ids)
+                    vectors.append(own_vectors)
+                    continue
+                if ids and ask is None:
+                    ask = index(np.concatenate(ids), np.concatenate(vectors))
+                    ids, vectors = [None], []
+                found = [(q, *ask(q, v)) for q, v in zip(own_ids.tolist(), own_vectors, strict=True)] if ask else []
+                join = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))
+                yield pa.record_batch([join([np.full(len(i), q) for q, i, _ in found], np.int64), join([i for _, i, _ in found], np.int64), join([s for _, _, s in found], number)], names=["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = [F.asc("score") if ascending else F.desc("score"), F.asc("vec_id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

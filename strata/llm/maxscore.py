@@ -39,48 +39,51 @@ def maxscore(ids: np.ndarray, postings: np.ndarray, query: np.ndarray, own: int,
     order = np.argsort(-gain, kind="stable")
     query, floor, gain = query[order], floor[order], gain[order]
     others = ids != own
-    if others.sum() <= 4 * k:
-        at = np.flatnonzero(others)
-        score = query @ postings[np.ix_(order, at)]
-    else:
-        # threshold: rows that are best by the strongest quarter of the terms, scored whole
-        quarter = max(1, len(order) // 4)
-        partial = query[:quarter] @ postings[order[:quarter]]
-        first = np.argpartition(-partial, 4 * k)[: 4 * k + 1]
-        exact = query @ postings[np.ix_(order, first[others[first]])]
-        threshold = np.partition(exact, len(exact) - k)[len(exact) - k]
-        # gains that are left after each term, over the floors of those left
-        left = np.append(np.cumsum(gain[::-1])[::-1], 0)
-        base = floor.sum()
-        essential = max(quarter, int(np.searchsorted(-(base + left), -threshold, side="right")))
-        essential = min(essential, len(order))
-        if essential > quarter:
-            partial = partial + query[quarter:essential] @ postings[order[quarter:essential]]
-        best_left = np.append(np.cumsum((floor + gain)[::-1])[::-1], 0)
-        at = np.flatnonzero(others & (partial + best_left[essential] >= threshold))
-        score = partial[at]
-        for t in range(essential, len(order)):
-            score = score + query[t] * postings[order[t], at]
-            alive = score + best_left[t + 1] >= threshold
-            if not alive.all():
-                at, score = at[alive], score[alive]
+    # threshold: rows that are best by the strongest quarter of the terms, scored whole; none while there are fewer than k
+    quarter = max(1, len(order) // 4)
+    partial = query[:quarter] @ postings[order[:quarter]]
+    first = np.argpartition(-partial, 4 * k)[: 4 * k + 1] if len(ids) > 4 * k + 1 else np.arange(len(ids))
+    exact = query @ postings[np.ix_(order, first[others[first]])]
+    threshold = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+    # gains that are left after each term, over the floors of those left
+    left = np.append(np.cumsum(gain[::-1])[::-1], 0)
+    base = floor.sum()
+    essential = max(quarter, int(np.searchsorted(-(base + left), -threshold, side="right")))
+    essential = min(essential, len(order))
+    if essential > quarter:
+        partial = partial + query[quarter:essential] @ postings[order[quarter:essential]]
+    best_left = np.append(np.cumsum((floor + gain)[::-1])[::-1], 0)
+    at = np.flatnonzero(others & (partial + best_left[essential] >= threshold))
+    score = partial[at]
+    for t in range(essential, len(order)):
+        score = score + query[t] * postings[order[t], at]
+        alive = score + best_left[t + 1] >= threshold
+        if not alive.all():
+            at, score = at[alive], score[alive]
     top = blocks.best(-score, ids[at], k)
     return ids[at][top], score[top].astype(np.int64)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, n_blocks: int | None = None) -> DataFrame:
     """The k highest inner products of each query, its own id left out: (query_id, rank, vec_id, score)."""
 
-    def shard(ids, vectors, query_ids, query_vectors):
-        bound = float(np.abs(vectors).max()) * float(np.abs(query_vectors).max()) * vectors.shape[1]
-        kind = np.float64 if bound < 2**52 else np.int64  # either is exact
-        postings = np.ascontiguousarray(vectors.T.astype(kind))
-        low, high = postings.min(1), postings.max(1)
-        return [(q, *maxscore(ids, postings, v.astype(kind), q, k, low, high)) for q, v in zip(query_ids.tolist(), query_vectors, strict=True)]
+    def index(ids, vectors):
+        largest = float(np.abs(vectors).max()) * vectors.shape[1]
+        by_kind = {}
 
-    return blocks.search(rows, queries, shard, k, "long", ascending=False)
+        def ask(query, vector):
+            kind = np.float64 if largest * float(np.abs(vector).max()) < 2**52 else np.int64  # either is exact
+            if kind not in by_kind:
+                postings = np.ascontiguousarray(vectors.T.astype(kind))
+                by_kind[kind] = postings, postings.min(1), postings.max(1)
+            postings, low, high = by_kind[kind]
+            return maxscore(ids, postings, vector.astype(kind), query, k, low, high)
 
+        return ask
 
-def search_table(rows: DataFrame, is_query, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    return blocks.search(rows, queries, index, k, "long", ascending=False, n_blocks=n_blocks)
+
+
+def search_table(rows: DataFrame, is_query, k: int = 20, scale: int = 64, key: str = "vec_id", vector: str = "embedding", **index) -> DataFrame:
     vectors = written(quantised(rows, scale, key, vector), "vectors")
-    return top_k(vectors, vectors.where(is_query), k)
+    return top_k(vectors, vectors.where(is_query), k, **index)

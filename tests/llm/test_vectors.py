@@ -1,6 +1,7 @@
 """Both vector searches against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def found(df):
 
 def test_recall_and_exact_scores(spark, points):
     x = points.astype(np.float64)
-    got = found(ann.search_table(frame(spark, points), "vec_id % 100 = 0", keep=0.15, least=64))
+    got = found(ann.search_table(frame(spark, points), "vec_id % 100 = 0"))  # production parameters
     hits = 0
     for q in range(0, 3000, 100):
         want, d = brute(x, q, 10, lambda a, b: np.sqrt(((a - b) ** 2).sum(1)))
@@ -64,15 +65,37 @@ def test_footrule_equals_its_definition(points):
     orders = ann.pivot_orders(x, x[:20], 8)
     place = np.full((200, 20), 8)
     np.put_along_axis(place, orders, np.arange(8)[None], 1)
-    (agreement,) = ann.footrule_agreement(orders, 20, orders[7:8])
+    agreement = ann.Files(orders, 20).agreement(orders[7])
     assert (2 * sum(8 - i for i in range(8)) - agreement == np.abs(place - place[7]).sum(1)).all()
 
 
-def test_maxscore_equals_brute_force(spark, points, monkeypatch):
+def test_recall_on_several_full_blocks(spark):
+    """Production parameters on eight blocks of 4,096 rows and more, against brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(33_000, 32)).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(33_000), "embedding": list(x)}))
+    assert blocks.blocks_of(33_000, 32) == 9
+    got = found(ann.search_table(rows, "vec_id % 400 = 0"))
+    hits = sum(len(set(brute(x.astype(np.float64), q, 10, lambda a, b: ((a - b) ** 2).sum(1))[0]) & {v for _, v, _ in mine}) for q, mine in got.items())
+    assert len(got) == 83 and hits / 830 >= 0.9
+
+
+def test_blocks_are_bounded():
+    assert [blocks.blocks_of(n, 64) for n in (0, 1, 4096, 4097, 10**6, 10**7)] == [1, 1, 1, 2, 16, 153]
+    assert blocks.blocks_of(10**6, 4096) == 489
+
+
+def test_rows_are_dealt_once(spark, points):
+    """What is shuffled is each row once and the queries for each block."""
+    rows = frame(spark, points)
+    vectors = ann.valid_vectors(rows)
+    searched = blocks.search(vectors, vectors.where("vec_id % 100 = 0"), lambda ids, v: lambda q, x: (ids[:1], np.zeros(1)), 1, "double", True, n_blocks=7)
+    assert searched.count() == 30
+
+
+def test_maxscore_equals_brute_force(spark, points):
     v = np.floor(64 * points.astype(np.float64)).astype(np.int64)
-    search = blocks.search
-    monkeypatch.setattr(blocks, "search", lambda *a, **b: search(*a, row_block=700, query_block=40, **b))
-    got = found(maxscore.search_table(frame(spark, points), "vec_id % 20 = 0"))
+    got = found(maxscore.search_table(frame(spark, points), "vec_id % 20 = 0", n_blocks=5))
     assert len(got) == 150
     for q, mine in got.items():
         want, s = brute(v, q, 20, lambda a, b: -(a @ b))

@@ -1,15 +1,18 @@
 """Training-order materialisation of token ids into fixed-stride binary shards (operator 7).
 
 Each task's documents form one stream of ids, every document closed by an end
-id, cut into sequences of a fixed length. A first pass only counts, so every
-sequence has a number in a dense range; a keyed Feistel permutation with
-cycle-walking maps that range onto itself and gives each sequence its slot in
-training order. Slots are dealt out by range, and each range is sorted and
-written as one shard of sequences at a fixed stride, so slot ``s`` lies in shard
-``s // per_shard`` at byte ``(s % per_shard) * stride``: readers go through a
-shard in order and resume at any slot. A shard is written under a name of its
-own for each attempt and renamed when complete, so a lost task leaves no
-half-written shard and can be redone.
+id, cut into sequences of a fixed length. A first pass describes the sequences
+without their ids, so every one has a number in a dense range; a keyed Feistel
+permutation with cycle-walking maps that range onto itself and gives each
+sequence its slot in training order. A second pass deals the ids out by range of
+slots, and each range is sorted and written as shards of sequences at a fixed
+stride: slot ``s`` lies in shard ``s // per_shard`` at byte ``(s % per_shard) *
+stride``, so readers go through a shard in order and resume at any slot.
+
+Shards are written by Spark's text sink, a sequence's bytes a line: the stride is
+those bytes and the line end. So they lie in any store that Spark writes, under
+its commit protocol: a lost task or a second attempt leaves nothing that readers
+see. Texts are tokenised in both passes rather than kept as ids a third time.
 
 Defined results: null text counts as empty, so such a document is its end id;
 repeated rows are written as often as they stand there; an empty table gives no
@@ -19,8 +22,6 @@ stream is filled up with the end id; extra columns are not read.
 
 from __future__ import annotations
 
-import functools
-import uuid
 import zlib
 from itertools import accumulate
 
@@ -30,8 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.bytebpe import load_ranks
+from strata.llm.bytebpe import codec, text_of
 from strata.llm.common import scratch_path
+from strata.sources.files import Folder
 
 _MASK = (1 << 64) - 1
 
@@ -62,25 +64,16 @@ def slots_of(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.n
 
 #: Ranges of slots, each written by one task, at most.
 MOST_RANGES = 50_000
-#: Fixed value: the split of byte-level BPE texts, written with possessive repeats.
-SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-
-
-@functools.cache
-def _encoder(vocabulary: str):
-    """The tokenizer library's encoder of a text; one a worker."""
-    import tiktoken
-
-    return tiktoken.Encoding("ids", pat_str=SPLIT, mergeable_ranks=load_ranks(vocabulary), special_tokens={}).encode_ordinary
 
 
 def _streams(batches, vocabulary: str, end_id: int, length: int, kind: np.dtype):
     """Sequences of a task's stream: (ids, count of real ids, ids of its documents)."""
-    encode = _encoder(vocabulary)
+    c = codec(vocabulary)
+    end = np.array([end_id], kind)
     rest, within, n = [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            ids = np.array([*encode(text.as_py() or ""), end_id], kind)
+        for key, raw in zip(b.column(0).to_pylist(), c.encode(map(text_of, b.column(1))), strict=True):
+            ids = np.concatenate([np.frombuffer(raw, "<u4").astype(kind), end])
             at = 0
             while at < len(ids):
                 part = ids[at : at + length - n]
@@ -95,18 +88,6 @@ def _streams(batches, vocabulary: str, end_id: int, length: int, kind: np.dtype)
         yield np.concatenate([*rest, np.full(length - n, end_id, kind)]), n, within
 
 
-def count_sequences(docs: DataFrame, vocabulary: str, length: int) -> dict[int, int]:
-    """Sequences of each task's stream, by partition number: as many numbers as partitions."""
-
-    def run(batches):
-        encode, n = _encoder(vocabulary), 0
-        for b in batches:
-            n += sum(len(encode(t.as_py() or "")) + 1 for t in b.column(1))
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)], pa.int64())], names=["p", "n"])
-
-    return {r["p"]: r["n"] for r in docs.mapInArrow(run, "p int, n long").collect()}
-
-
 def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, length: int = 1024, per_shard: int = 8192, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards under ``path``; return their index, one row a sequence.
 
@@ -117,69 +98,73 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, le
     spark = docs.sparkSession
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     id_kind = source.schema[0].dataType.simpleString()
-    counts = count_sequences(source, vocabulary, length)
-    total = sum(counts.values())
-    starts = dict(zip(sorted(counts), accumulate([0, *(counts[p] for p in sorted(counts))]), strict=False))
-    kind = np.dtype("<u2") if end_id < 1 << 16 else np.dtype("<u4")
-    stride = length * kind.itemsize
-    n_shards = max(1, -(-total // per_shard))
+    kind = np.dtype("<u2") if max(end_id, codec(vocabulary).largest_id) < 1 << 16 else np.dtype("<u4")
+    stride = length * kind.itemsize + 1
+
+    def describe(batches):
+        p, rows, seen = TaskContext.get().partitionId(), [], []
+        names = ["p", "i", "n_tokens", "tokens_crc32", "doc_ids"]
+        done = 0
+
+        def flush():
+            columns = (np.full(len(rows), p, np.int32), np.arange(done - len(rows), done), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(seen[0]))
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        for ids, n, within in _streams(_watched(batches, seen), vocabulary, end_id, length, kind):
+            rows.append((n, zlib.crc32(ids.tobytes()), within))
+            done += 1
+            if len(rows) == 4096:
+                yield flush()
+                rows = []
+        if rows:
+            yield flush()
+
+    source.mapInArrow(describe, f"p int, i long, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>").write.parquet(f"{path}/sequences")
+    sequences = spark.read.parquet(f"{path}/sequences")
+    counts = dict(sequences.groupBy("p").count().collect())  # one number a task of the scan
+    total, tasks = sum(counts.values()), max(counts, default=-1) + 1
+    starts = spark.sparkContext.broadcast(np.array([*accumulate([0, *(counts.get(p, 0) for p in range(tasks))])], np.int64))
+    n_shards = -(-total // per_shard)
 
     def number(batches):
         p = TaskContext.get().partitionId()
-        expected, at = counts.get(p, 0), starts.get(p, 0)
-        done, rows = 0, []
+        edges = starts.value
+        at, end = (int(edges[p]), int(edges[p + 1])) if p + 1 < len(edges) else (0, 0)
+        rows = []
 
         def flush():
-            slots = slots_of(np.arange(at + done - len(rows), at + done), total, key)
-            return pa.record_batch([pa.array(slots), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], id_list), pa.array([r[0].tobytes() for r in rows], pa.binary())], names=["slot", "n_tokens", "doc_ids", "tokens"])
+            return pa.record_batch([pa.array(slots_of(np.arange(at - len(rows), at), total, key)), pa.array(rows, pa.binary())], names=["slot", "tokens"])
 
-        id_list = None
-        for row in _streams(_watched(batches, seen := []), vocabulary, end_id, length, kind):
-            id_list = pa.list_(seen[0])
-            rows.append(row)
-            done += 1
+        for ids, _, _ in _streams(batches, vocabulary, end_id, length, kind):
+            rows.append(ids.tobytes())
+            at += 1
             if len(rows) == 1024:
                 yield flush()
                 rows = []
         if rows:
             yield flush()
-        if done != expected:
-            raise RuntimeError(f"partition {p} gave {done} sequences, and {expected} before: the input isn't stable")
-
-    def write(batches):
-        from pyarrow import fs
+        if at != end:
+            raise RuntimeError(f"partition {p} ends at sequence {at}, and at {end} before: the input isn't stable")
 
-        out, shard, crc = None, None, []
-        system, root = fs.FileSystem.from_uri(path)
-        attempt = uuid.uuid4().hex
-        name = lambda k: f"{root}/shard-{k:06d}.bin"
+    def place(batches):
         for b in batches:
-            slots, tokens = b.column("slot").to_pylist(), b.column("tokens").to_pylist()
-            for s, raw in zip(slots, tokens, strict=True):
-                if s // per_shard != shard:
-                    if out:
-                        out.close()
-                        system.move(f"{name(shard)}.{attempt}", name(shard))
-                    shard = s // per_shard
-                    out = system.open_output_stream(f"{name(shard)}.{attempt}")
-                out.write(raw)
-                crc.append(zlib.crc32(raw))
-            found, crc = crc, []
-            where = np.array(slots, np.int64)
-            yield pa.record_batch([pa.array(where), pa.array(where // per_shard), pa.array(where % per_shard * stride), b.column("n_tokens"), pa.array(found, pa.int64()), b.column("doc_ids")], names=["slot", "shard", "byte_offset", "n_tokens", "tokens_crc32", "doc_ids"])
-        if out:
-            out.close()
-            system.move(f"{name(shard)}.{attempt}", name(shard))
-
-    numbered = source.mapInArrow(number, f"slot long, n_tokens int, doc_ids array<{id_kind}>, tokens binary")
-    ranges = min(n_shards, MOST_RANGES)  # a task writes one shard, or several that follow each other
-    dealt = numbered.repartitionById(ranges, F.floor(F.floor(F.col("slot") / per_shard) * ranges / n_shards).cast("int")).sortWithinPartitions("slot")
-    index = dealt.mapInArrow(write, f"slot long, shard long, byte_offset long, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>")
-    _prepare(path)
-    index.write.parquet(f"{path}/index")
+            numbers = starts.value[b.column(0).to_numpy()] + b.column(1).to_numpy()
+            slots = slots_of(numbers, total, key)
+            yield pa.record_batch([pa.array(slots), pa.array(slots // per_shard), pa.array(slots % per_shard * stride), *b.columns[2:]], names=["slot", "shard", "byte_offset", *b.schema.names[2:]])
+
+    if total:
+        ranges = min(n_shards, MOST_RANGES)  # a task writes one shard, or several that follow each other
+        numbered = source.mapInArrow(number, "slot long, tokens binary")
+        owner = F.floor(F.floor(F.col("slot") / per_shard) * ranges / n_shards).cast("int")
+        lines = numbered.repartitionById(ranges, owner).sortWithinPartitions("slot").select(F.col("tokens").cast("string").alias("value"))
+        lines.write.option("maxRecordsPerFile", per_shard).option("lineSep", "\n").option("compression", "none").text(f"{path}/shards")
+    schema = f"slot long, shard long, byte_offset long, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>"
+    sequences.mapInArrow(place, schema).write.parquet(f"{path}/index")
+    Folder(spark, path).delete("sequences")
     layout = [(total, length, kind.str, stride, per_shard, n_shards, key, end_id)]
     spark.createDataFrame(layout, "sequences long, length int, dtype string, stride int, per_shard int, shards int, key long, end_id int").coalesce(1).write.json(f"{path}/layout")
-    return spark.read.schema(index.schema).parquet(f"{path}/index")
+    return spark.read.schema(schema).parquet(f"{path}/index")
 
 
 def _watched(batches, seen: list):
@@ -188,26 +173,25 @@ def _watched(batches, seen: list):
         yield b
 
 
-def _prepare(path: str) -> None:
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(path)
-    system.create_dir(root, recursive=True)
-
-
-def read_slots(path: str, slot: int, n: int, length: int = 1024, per_shard: int = 8192, dtype: str = "<u2") -> np.ndarray:
-    """``n`` sequences in training order from ``slot`` on, by seeking in the shards."""
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(path)
-    stride, out = length * np.dtype(dtype).itemsize, []
-    while n > 0:
-        take = min(n, per_shard - slot % per_shard)
-        with system.open_input_file(f"{root}/shard-{slot // per_shard:06d}.bin") as f:
-            f.seek(slot % per_shard * stride)
-            out.append(np.frombuffer(f.read(take * stride), dtype).reshape(-1, length))
-        slot, n = slot + take, n - take
-    return np.concatenate(out) if out else np.zeros((0, length), dtype)
+class Shards:
+    """A reader of what :func:`materialise` wrote, in any store that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.folder = Folder(spark, path)
+        self.layout = spark.read.json(f"{path}/layout").first()
+        self.names = [f"shards/{n}" for n in self.folder.names("shards") if n.startswith("part-")]  # by task and file: in the order of slots
+        if len(self.names) != self.layout["shards"]:
+            raise ValueError(f"{path} has {len(self.names)} shards, not {self.layout['shards']}")
+
+    def read(self, slot: int, n: int) -> np.ndarray:
+        """``n`` sequences in training order from ``slot`` on, by seeking in the shards."""
+        at, out = self.layout, []
+        while n > 0:
+            take = min(n, at["per_shard"] - slot % at["per_shard"])
+            raw = self.folder.read_bytes(self.names[slot // at["per_shard"]], slot % at["per_shard"] * at["stride"], take * at["stride"])
+            out.append(np.frombuffer(raw, np.uint8).reshape(-1, at["stride"])[:, :-1].copy().view(at["dtype"]))
+            slot, n = slot + take, n - take
+        return np.concatenate(out) if out else np.zeros((0, at["length"]), at["dtype"])
 
 
 def materialise_table(spark: SparkSession, docs: DataFrame, vocabulary: str, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -146,16 +147,21 @@ def test_shards_hold_every_id_in_slot_order(spark, documents, rng, tmp_path):
     at = f"file://{tmp_path}/out"
     index = sorted(shards.materialise(docs, vocabulary, at, length=64, per_shard=16).collect(), key=lambda r: r.slot)
     total = len(index)
-    assert [r.slot for r in index] == list(range(total)) and {p.stat().st_size for p in tmp_path.glob("out/shard-*.bin")} <= {16 * 128, total % 16 * 128}
-    read = shards.read_slots(at, 0, total, 64, 16)
-    assert (shards.read_slots(at, 10, 20, 64, 16) == read[10:30]).all()
+    files = sorted((tmp_path / "out" / "shards").glob("part-*"))
+    assert [r.slot for r in index] == list(range(total)) and [p.stat().st_size for p in files] == [16 * 129] * (total // 16) + [total % 16 * 129] * bool(total % 16)
+    reader = shards.Shards(spark, at)
+    read = reader.read(0, total)
+    assert (reader.read(10, 20) == read[10:30]).all()
+    for r in index:  # plain files at a fixed stride
+        raw = files[r.shard].read_bytes()[r.byte_offset :][:128]
+        assert raw == read[r.slot].tobytes() and zlib.crc32(raw) == r.tokens_crc32
     encoded = list(codec(vocabulary).encode([t or "" for t in texts]))
     # streams of tasks: put the sequences back into number order and cut at end ids
     back = np.argsort(shards.slots_of(np.arange(total), total, 2024))
     numbered = np.empty_like(read)
     numbered[back] = read
     layout = spark.read.json(f"{at}/layout").first()
-    assert (layout.sequences, layout.stride, layout.dtype) == (total, 128, "<u2")
+    assert (layout.sequences, layout.stride, layout.dtype) == (total, 129, "<u2")
     real = [numbered[i][: index[int(np.flatnonzero(back == i)[0])].n_tokens] for i in range(total)]
     split = Counter(tuple(x) for x in " ".join(map(str, np.concatenate(real).tolist())).split("50256") for x in [tuple(x.split())])
     del split[()]

@@ -16,42 +16,60 @@ from strata.llm.common import ship_package, table, written
 
 #: Learned models, tokenizers and components: SQL can't express them; the stages are tested against brute force.
 ORACLE_SQL = None
-#: Names that no column of documents has.
-SCORE, CLASS = "_stage_score", "_stage_class"
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity stays under 0.7 (operator 6). Without labels, all stay."""
+    """Documents whose calibrated toxicity stays under 0.7 (operator 6).
+
+    Null and empty texts are scored like any other, texts of any length whole; repeated rows stay or go
+    together; without labels all stay; an empty table gives none; further columns, of any name, are kept.
+    """
     ship_package(spark)
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=SCORE)
-    return scored.where(F.col(SCORE) < 0.7).select(docs.columns)
+    score = _free(docs, "score")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=score)
+    return scored.where(F.col(score) < 0.7).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.3 (operator 9). Without labels, all stay."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=SCORE)
-    return scored.where(F.col(SCORE) >= 0.3).select(docs.columns)
+    """Documents whose quality score reaches 0.3 (operator 9). Edges as in :func:`drop_toxic`."""
+    ship_package(spark)
+    score = _free(docs, "score")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=score)
+    return scored.where(F.col(score) >= 0.3).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the one with the smallest id (operator 2).
 
-    Texts link at a Jaccard similarity of 0.8 or more of their shingles of five words. Rows
-    that repeat an id and a text count as one, unlike texts of one id each for themselves; rows
-    without an id have nothing to be told apart by and stay.
+    Texts link at a Jaccard similarity of 0.8 or more of their shingles of five words; null text counts
+    as empty, and texts without words are one component. Rows that repeat an id and a text count as one,
+    unlike texts of one id each for themselves (the smaller digest stands for a component of such); rows
+    without an id have nothing to be told apart by and stay. An empty table gives none; further columns,
+    of any name, are kept; of rows that repeat id and text an arbitrary one's are.
     """
-    found = written(simhash.similar_documents(docs, words=5, threshold=0.8, with_class=True), "similar")
-    chosen = found.where("doc_id = component_id and chosen").select("doc_id", F.col("class").alias(CLASS)).distinct()
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        marked = simhash.text_classes(docs, CLASS)
-        kept = marked.join(chosen, ["doc_id", CLASS], "left_semi").dropDuplicates(["doc_id", CLASS]).select(docs.columns)
-    else:
-        kept = docs.join(chosen, "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    ship_package(spark)
+    row = _free(docs, "row")
+    found = written(simhash.similar_documents(docs, words=5, threshold=0.8, with_row=True), "similar")
+    chosen = found.where("chosen").groupBy("doc_id", F.col("row").alias(row)).count()
+    several = bool(chosen.where("count > 1").limit(1).count())
+    kept = docs.withColumn(row, simhash.row_digest()).join(chosen.select("doc_id", row), ["doc_id", row], "left_semi")
+    kept = kept.dropDuplicates(["doc_id", row]) if several else kept
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: every piece with its ids and place (operator 1)."""
+    """Sequences of at most 1024 tokens: every piece with its ids and place (operator 1).
+
+    Null text counts as empty: its closing id alone; repeated rows are packed as often as they stand there;
+    texts of any length are packed whole; an empty table gives none; further columns are not read.
+    """
+    ship_package(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strata.sources.scratch import discard, scratch_path, shared_dir, written
 
-__all__ = ["crc_mod", "discard", "scratch_path", "shared_dir", "ship_package", "spread_join", "table", "written"]
+__all__ = ["crc_mod", "discard", "few", "scratch_path", "shared_dir", "ship_package", "spread_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, how: str
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has ``most`` rows at most; beyond that Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

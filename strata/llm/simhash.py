@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import spread_join, written
+from strata.llm.common import discard, few, spread_join, written
 from strata.llm.components import connected_components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -298,6 +298,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
+def _sets(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int) -> DataFrame:
+    """(cid, set) of every class that is in a pair, from a text of it. A written table."""
+    wanted = few(written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "wanted"))
+    rows = few(written(classes.select("cid", F.col("least.id").alias("id"), F.col("least.row").alias("row")).join(wanted, "cid", "left_semi"), "rows"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column("cid"), pa.array([shingle_set(words_of(t.as_py()), words).tobytes() for t in b.column("text")], pa.binary())], names=["cid", "set"])
+
+    texts = source.withColumn("row", row_digest()).join(rows, ["id", "row"]).select("cid", "text")
+    return written(texts.mapInArrow(run, "cid long, set binary").dropDuplicates(["cid"]), "sets")
+
+
 def _possible(threshold: float, size: str, rest: str, size_b: str, rest_b: str) -> Column:
     """Whether two texts that share a shingle may be similar: sizes near enough, enough left behind the shingle."""
     small, large, both = F.least(size, size_b), F.greatest(size, size_b), F.col(size) + F.col(size_b)
@@ -309,16 +322,15 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def _star_pairs(met: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): each row of a list with the list's most central text, b, where these are not joined yet and may be similar.
+def _star_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each row of a list with the list's most central text, b, where these may be similar.
 
     The most central text of a list is the one with the fewest rarer shingles before that of the list.
     """
-    rows = written(_rooted(met, roots), "rooted")
-    centre = rows.groupBy("key").agg(F.min(F.struct("place", "cid", "root", "size", "rest")).alias("c"))
-    centre = centre.select("key", F.col("c.cid").alias("b"), F.col("c.root").alias("root_b"), F.col("c.size").alias("size_b"), F.col("c.rest").alias("rest_b"))
-    near = spread_join(rows, centre, "key", "cid").where((F.col("root") != F.col("root_b")) & _possible(threshold, "size", "rest", "size_b", "rest_b"))
-    return near.select(F.col("cid").alias("a"), "b").distinct()
+    centre = met.groupBy("key").agg(F.min(F.struct("place", "cid", "size", "rest")).alias("c"))
+    centre = centre.select("key", F.col("c.cid").alias("b"), F.col("c.size").alias("size_b"), F.col("c.rest").alias("rest_b"))
+    near = spread_join(met, centre, "key", "cid").where((F.col("cid") != F.col("b")) & _possible(threshold, "size", "rest", "size_b", "rest_b"))
+    return near.select(F.col("cid").alias("a"), "b")
 
 
 def _rest_pairs(met: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -359,11 +371,11 @@ def _rest_pairs(met: DataFrame, roots: DataFrame, threshold: float, block: int)
 def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``threshold``.
 
-    Texts with the same words in the same order are one class from the start. Candidates come in three
-    turns, and an exact comparison of shingle sets decides on each; a turn leaves out what is joined already.
-    First, each class with the least one among those that the byte-position index links to it by their
-    SimHash. Then, among classes that share a shingle of their prefixes (:func:`prefix_length`), each with
-    the most central one. Then all pairs that are left there: with these no pair of the threshold is missing.
+    Texts with the same words in the same order are one class from the start. An exact comparison of
+    shingle sets decides on candidates, which come in two turns. First, each class with the least one
+    among those that the byte-position index links to it by their SimHash, and, among classes that share
+    a shingle of their prefixes (:func:`prefix_length`), with the most central one. Then all pairs of the
+    latter that are not joined by now: with these no pair of the threshold is missing.
 
     ``with_row`` adds ``row`` (:func:`row_digest`), and ``chosen``: whether the row stands for its component.
     """
@@ -397,23 +409,15 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, b
     near = connected_components(links(classes.select("print").distinct(), "print", position_triples(), 4, 4))
     by_print = written(classes.join(near, classes["print"] == near.node, "left").select("cid", F.coalesce("root", "print").alias("root")), "by_print")
     first = by_print.groupBy("root").agg(F.min("cid").alias("b"))
-    pairs = written(spread_join(by_print, first, "root", "cid").where("cid <> b").select(F.col("cid").alias("a"), "b"), "pairs")
-
-    wanted = met.select("cid").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = classes.join(wanted, "cid", "left_semi").select("cid", F.col("least.id").alias("id"), F.col("least.row").alias("row"))
-
-    def sets_of(batches):
-        for b in batches:
-            yield pa.record_batch([b.column("cid"), pa.array([shingle_set(words_of(t.as_py()), words).tobytes() for t in b.column("text")], pa.binary())], names=["cid", "set"])
-
-    texts = source.withColumn("row", row_digest()).join(wanted, ["id", "row"]).select("cid", "text")
-    sets = written(texts.mapInArrow(sets_of, "cid long, set binary").dropDuplicates(["cid"]), "sets")
-
-    linked = written(_similar(pairs, sets, threshold), "linked")
-    roots = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))  # stars: a class has one pair here, and b is in none as a
-    for asked in (lambda: _star_pairs(met, roots, threshold), lambda: _rest_pairs(met, roots, threshold, block)):
-        found = _similar(written(asked(), "asked"), sets, threshold)
-        linked = linked.union(written(found, "linked"))
+    by_index = spread_join(by_print, first, "root", "cid").where("cid <> b").select(F.col("cid").alias("a"), "b")
+
+    linked = roots = None
+    for candidates in (lambda: by_index.union(_star_pairs(met, threshold)).distinct(), lambda: _rest_pairs(met, roots, threshold, block)):
+        pairs = written(candidates(), "pairs")
+        sets = _sets(pairs, classes, source, words)
+        found = written(_similar(pairs, sets, threshold), "linked")
+        discard(sets, pairs)
+        linked = found if linked is None else linked.union(found)
         roots = connected_components(linked)
 
     component = written(_rooted(classes.select("cid", "class", "least"), roots), "rooted")

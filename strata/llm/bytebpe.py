@@ -197,16 +197,23 @@ def merge_piece(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 
 
 class _Merged(dict):
-    """Piece to its ids as little-endian unsigned 32-bit bytes; emptied at ``limit`` pieces, so memory is bounded."""
+    """Piece to its ids as little-endian unsigned 32-bit bytes.
+
+    At ``limit`` pieces a new generation begins, which takes over what is asked for again of the one
+    before; earlier ones go. So memory is bounded and frequent pieces stay.
+    """
 
     def __init__(self, merge: Callable[[bytes], list[int]], limit: int):
         super().__init__()
-        self.merge, self.limit = merge, limit
+        self.merge, self.limit, self.before = merge, limit, {}
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
-        out = array("I", self.merge(piece)).tobytes()
+        out = self.before.get(piece)
+        if out is None:
+            out = array("I", self.merge(piece)).tobytes()
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -281,7 +288,7 @@ class Codec:
 
         def segments() -> Iterator[str]:
             for t in texts:
-                between.append([np.array([self.added[x]], "<u4").tobytes() for x in self._found.findall(t)])
+                between.append([np.array([self.added[x]], "<u4").tobytes() for x in self._found.findall(t)] if any(x in t for x in self.added) else [])
                 yield from self._found.split(t) if between[-1] else (t,)
 
         done: list[bytes] = []

@@ -69,23 +69,28 @@ MOST_RANGES = 50_000
 def _streams(batches, vocabulary: str, end_id: int, length: int, kind: np.dtype):
     """Sequences of a task's stream: (ids, count of real ids, ids of its documents)."""
     c = codec(vocabulary)
-    end = np.array([end_id], kind)
-    rest, within, n = [], [], 0
+    end = np.array([end_id], "<u4").tobytes()
+    ids, keys, ends = np.zeros(0, kind), [], np.zeros(0, np.int64)  # what is left over, its documents and where they end
+
+    def cut(n: int):
+        first = np.searchsorted(ends, np.arange(n) * length, side="right").tolist()
+        last = np.searchsorted(ends, np.minimum(np.arange(1, n + 1) * length, len(ids))).tolist()
+        for i in range(n):
+            part = ids[i * length : (i + 1) * length]
+            yield part, len(part), keys[first[i] : last[i] + 1]
+
     for b in batches:
-        for key, raw in zip(b.column(0).to_pylist(), c.encode(map(text_of, b.column(1))), strict=True):
-            ids = np.concatenate([np.frombuffer(raw, "<u4").astype(kind), end])
-            at = 0
-            while at < len(ids):
-                part = ids[at : at + length - n]
-                rest.append(part)
-                within.append(key)
-                n += len(part)
-                at += len(part)
-                if n == length:
-                    yield np.concatenate(rest), n, within
-                    rest, within, n = [], [], 0
-    if n:
-        yield np.concatenate([*rest, np.full(length - n, end_id, kind)]), n, within
+        raw = [x + end for x in c.encode(map(text_of, b.column(1)))]
+        ends = np.concatenate([ends, len(ids) + np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+        ids = np.concatenate([ids, np.frombuffer(b"".join(raw), "<u4").astype(kind)])
+        keys += b.column(0).to_pylist()
+        n = len(ids) // length
+        yield from cut(n)
+        done = int(np.searchsorted(ends, n * length, side="right"))
+        ids, keys, ends = ids[n * length :], keys[done:], ends[done:] - n * length
+    if len(ids):
+        for part, n, within in cut(1):
+            yield np.concatenate([part, np.full(length - n, end_id, kind)]), n, within
 
 
 def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, length: int = 1024, per_shard: int = 8192, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -151,7 +151,9 @@ def _around(triple: tuple[int, int, int]) -> np.ndarray:
 
 
 def links(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], minimum: int, bits: int, block: int = 4096) -> DataFrame:
-    """(a, b) pairs of linked fingerprints, enough of them to connect all that are linked, with at most 4 bits of difference."""
+    """(a, b) pairs of linked fingerprints, enough of them to connect all that are linked: with at most ``bits`` = 4 bits of difference."""
+    if bits != 4:
+        raise ValueError("the index is made for 4 bits")
     posted = postings(classes, node, triples)
     lists = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     groups = posted.join(lists.where(F.col("n") <= block), "key").groupBy("key").agg(F.collect_list("node").alias("nodes")).select("nodes")
@@ -181,16 +183,12 @@ def links(classes: DataFrame, node: str, triples: list[tuple[int, int, int]], mi
         met = spread_join(written(posted, "posted"), long, "key", "node").select("node", "key").mapInArrow(centres, "node long, centre long")
         stars = met.groupBy("centre").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")
         near = stars.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b")
-        found = found.union(near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
-        if bits < 4:
-            raise ValueError("the centres stand for 4 bits")
+        found = found.union(near)
     return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): the component's smallest id, by links of fingerprints, itself included."""
-    if bits != 4:
-        raise ValueError("the index is made for 4 bits")
     prints = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     found = connected_components(links(classes, "fp", position_triples(), 8 - bits, bits))

@@ -88,3 +88,36 @@ def test_kept_columns_may_have_any_name(spark, documents, rng):
     for score in (toxicity.score_toxicity, quality.score_quality):
         got = score(docs, truth, F.lit(True), docs.columns, column="mine")
         assert got.columns == [*docs.columns, "mine"] and got.where("features = 'features' and score = 'score'").count() == 60
+
+
+def test_quality_features_against_plain_python(rng):
+    def plain(text, bits=16):
+        slot = lambda gram: ((gram * 2654435761) & 0xFFFFFFFF) >> (32 - bits)
+        raw, words, out = text.encode(), text.split(), set()
+        for order in (1, 2, 3):
+            for i in range(len(raw) - order + 1):
+                gram = order
+                for byte in raw[i : i + order]:
+                    gram = (gram * 257 + byte) & 0xFFFFFFFF
+                out.add(slot(gram))
+        same = [a == b for a, b in zip(words, words[1:])]
+        for order in range(1, 7):
+            out |= {slot((1 << 28) + (1 << order) + sum(same[i + k] << k for k in range(order))) for i in range(len(same) - order + 1)}
+        return sorted(out)
+
+    for text in [t or "" for t in ODD_TEXTS[:5] + ODD_TEXTS[6:]] + [prose(rng, 60), "a a b b b c " * 9]:
+        found = quality.slots(text, 16)
+        assert found.tolist() == plain(text)
+        assert quality.unpacked(quality.packed(found, 16), 16).tolist() == found.tolist()
+    full = np.arange(0, 1 << 16, 3, dtype=np.int32)
+    assert len(quality.packed(full, 16)) == 8192 and (quality.unpacked(quality.packed(full, 16), 16) == full).all()
+
+
+def test_an_id_that_stands_often_is_one_row_of_the_sample(spark, documents):
+    from strata.llm.labelled import training_sample
+
+    docs = documents([f"text {i}" for i in range(500)], [7] * 490 + list(range(10, 20)))
+    truth = labels(spark, [(i, i % 2, 0) for i in range(5, 20)] + [(7, 0, 1)])
+    got = training_sample(docs, truth, "quality", F.lit(True), 12).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 12
+    assert all(r.text == "text 0" and r.label == 1.0 for r in got if r.doc_id == 7)

@@ -168,3 +168,34 @@ def test_shards_hold_every_id_in_slot_order(spark, documents, rng, tmp_path):
     assert split == Counter(tuple(map(str, np.frombuffer(e, "<u4").tolist())) for e in encoded if e)
     assert {d for r in index for d in r.doc_ids} == set(range(len(texts)))
     assert shards.materialise(docs.where("false"), vocabulary, f"file://{tmp_path}/none").count() == 0
+
+
+def test_licences_against_plain_tf_idf(spark, rng):
+    """Best form of every text by the cosine of every line and window, without anchors or bounds."""
+    every = licences.forms({name: (x, *licences.FORMS[name]) for name, x in licences.TEMPLATES.items()})
+    words = sorted({t for _, x in every for t in licences.terms(x)})
+    texts = [None, "", *(x for _, x in every), *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(40))]
+    texts += [f"{prose(rng, 9)}\n{x[: len(x) * 2 // 3]}\n{prose(rng, 9)} {x}" for _, x in every] + [prose(rng, 30) for _ in range(20)]
+    held = [set(licences.terms(t or "")) for t in texts]
+    idf = {t: math.log((len(texts) + 1) / (sum(t in h for h in held) + 1)) + 1 for t in words}
+    unknown = math.log(len(texts) + 1) + 1
+
+    def cosine(found, form):
+        x, y = Counter(found), Counter(licences.terms(form))
+        norm = lambda c: math.sqrt(sum((k * idf.get(t, unknown)) ** 2 for t, k in c.items())) or 1.0
+        return sum(k * y[t] * idf[t] ** 2 for t, k in x.items() if t in y) / norm(x) / norm(y)
+
+    want = {}
+    for i, text in enumerate(texts):
+        lines = [licences.terms(x) for x in (text or "").split("\n")]
+        found, best = [t for x in lines for t in x], []
+        for name, form in every:
+            n = min(len(licences.terms(form)), len(found))
+            best += [(cosine(x, form), name) for x in lines] + [(cosine(found[k : k + n], form), name) for k in range(len(found) - n + 1) if n]
+        top = max((c for c, _ in best), default=0.0)
+        want[i] = (round(top, 9), {name for c, name in best if c > top - 1e-9}) if top >= 0.6 else None
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    for i, w in want.items():
+        assert (got[i].how == "none") if w is None else (round(got[i].cosine, 9) == w[0] and got[i].licence in w[1]), (i, texts[i], got[i], w)
+    assert sum(w is not None for w in want.values()) >= 2 * len(every)

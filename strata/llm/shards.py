@@ -1,12 +1,11 @@
 """Training-order materialisation of token ids into fixed-stride binary shards (operator 7).
 
 Each task's documents form one stream of ids, every document closed by an end
-id, cut into sequences of a fixed length. A first pass describes the sequences
-without their ids, so every one has a number in a dense range; a keyed Feistel
+id, cut into sequences of a fixed length. These are written once, with their
+ids, and then every one has a number in a dense range; a keyed Feistel
 permutation with cycle-walking maps that range onto itself and gives each
-sequence its slot in training order. A second pass deals the ids out by range of
-slots, and each range is sorted and written as shards of sequences at a fixed
-stride: slot ``s`` lies in shard ``s // per_shard`` at byte ``(s % per_shard) *
+sequence its slot in training order. The ids are dealt out by range of slots,
+and each range is sorted and written as shards of sequences at a fixed stride: slot ``s`` lies in shard ``s // per_shard`` at byte ``(s % per_shard) *
 stride``, so readers go through a shard in order and resume at any slot.
 
 Shards are written by Spark's text sink, a sequence's bytes a line: the stride is
@@ -23,10 +22,11 @@ stream is filled up with the end id; extra columns are not read.
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate
+from itertools import accumulate, count, islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,19 @@ def slots_of(numbers: np.ndarray, total: int, key: int, rounds: int = 6) -> np.n
 MOST_RANGES = 50_000
 
 
+#: How the sequences are kept until they have their slots.
+KEPT = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.enable.dictionary": "false"}
+
+
+def _dictionary(sequences: DataFrame, rows: int = 1000, size: int = 1 << 16) -> bytes | None:
+    """A compression dictionary of at most ``size`` bytes from at most ``rows`` sequences; none where these are too few or too alike."""
+    some = sequences.select("tokens").limit(rows).toArrow()["tokens"].to_pylist()
+    try:
+        return zstandard.train_dictionary(size, some).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return None
+
+
 def _streams(batches, vocabulary: str, end_id: int, length: int, kind: np.dtype):
     """Sequences of a task's stream: (ids, count of real ids, ids of its documents)."""
     c = codec(vocabulary)
@@ -97,8 +110,6 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, le
     """Write the shards under ``path``; return their index, one row a sequence.
 
     (slot, shard, byte_offset, n_tokens, tokens_crc32, doc_ids), read back from ``path/index``.
-    The input has to give the same rows in the same partitions each time it is computed,
-    as a table does; a difference is noticed and raised.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -106,51 +117,34 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, le
     kind = np.dtype("<u2") if max(end_id, codec(vocabulary).largest_id) < 1 << 16 else np.dtype("<u4")
     stride = length * kind.itemsize + 1
 
-    def describe(batches):
-        p, rows, seen = TaskContext.get().partitionId(), [], []
-        names = ["p", "i", "n_tokens", "tokens_crc32", "doc_ids"]
-        done = 0
-
-        def flush():
-            columns = (np.full(len(rows), p, np.int32), np.arange(done - len(rows), done), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(seen[0]))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-        for ids, n, within in _streams(_watched(batches, seen), vocabulary, end_id, length, kind):
-            rows.append((n, zlib.crc32(ids.tobytes()), within))
-            done += 1
-            if len(rows) == 4096:
-                yield flush()
-                rows = []
-        if rows:
-            yield flush()
-
-    source.mapInArrow(describe, f"p int, i long, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>").write.parquet(f"{path}/sequences")
+    def cut(batches):
+        p, seen, numbers = TaskContext.get().partitionId(), [], count()
+        found = _streams(_watched(batches, seen), vocabulary, end_id, length, kind)
+        while rows := list(islice(found, 1024)):
+            raw = [ids.tobytes() for ids, _, _ in rows]
+            columns = ([p] * len(rows), list(islice(numbers, len(rows))), raw, [n for _, n, _ in rows], list(map(zlib.crc32, raw)), [within for _, _, within in rows])
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(seen[0]))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "i", "tokens", "n_tokens", "tokens_crc32", "doc_ids"])
+
+    sequences = source.mapInArrow(cut, f"p int, i long, tokens binary, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>")
+    sequences.write.options(**KEPT).parquet(f"{path}/sequences")
     sequences = spark.read.parquet(f"{path}/sequences")
     counts = dict(sequences.groupBy("p").count().collect())  # one number a task of the scan
     total, tasks = sum(counts.values()), max(counts, default=-1) + 1
     starts = spark.sparkContext.broadcast(np.array([*accumulate([0, *(counts.get(p, 0) for p in range(tasks))])], np.int64))
     n_shards = -(-total // per_shard)
+    words = _dictionary(sequences)
 
     def number(batches):
-        p = TaskContext.get().partitionId()
-        edges = starts.value
-        at, end = (int(edges[p]), int(edges[p + 1])) if p + 1 < len(edges) else (0, 0)
-        rows = []
-
-        def flush():
-            return pa.record_batch([pa.array(slots_of(np.arange(at - len(rows), at), total, key)), pa.array(rows, pa.binary())], names=["slot", "tokens"])
-
-        for ids, _, _ in _streams(batches, vocabulary, end_id, length, kind):
-            rows.append(ids.tobytes())
-            at += 1
-            if len(rows) == 1024:
-                yield flush()
-                rows = []
-        if rows:
-            yield flush()
-        if at != end:
-            raise RuntimeError(f"partition {p} ends at sequence {at}, and at {end} before: the input isn't stable")
+        squeeze = zstandard.ZstdCompressor(level=6, dict_data=words and zstandard.ZstdCompressionDict(words)).compress
+        for b in batches:
+            slots = slots_of(starts.value[b.column(0).to_numpy()] + b.column(1).to_numpy(), total, key)
+            yield pa.record_batch([pa.array(slots), pa.array([squeeze(x.as_buffer()) for x in b.column(2)], pa.binary())], names=["slot", "tokens"])
+
+    def unpack(batches):
+        expand = zstandard.ZstdDecompressor(dict_data=words and zstandard.ZstdCompressionDict(words)).decompress
+        for b in batches:
+            yield pa.record_batch([pa.array([expand(x.as_buffer()) for x in b.column(0)], pa.binary())], names=["tokens"])
 
     def place(batches):
         for b in batches:
@@ -160,12 +154,13 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, key: int = 2024, le
 
     if total:
         ranges = min(n_shards, MOST_RANGES)  # a task writes one shard, or several that follow each other
-        numbered = source.mapInArrow(number, "slot long, tokens binary")
+        numbered = sequences.select("p", "i", "tokens").mapInArrow(number, "slot long, tokens binary")
         owner = F.floor(F.floor(F.col("slot") / per_shard) * ranges / n_shards).cast("int")
-        lines = numbered.repartitionById(ranges, owner).sortWithinPartitions("slot").select(F.col("tokens").cast("string").alias("value"))
+        in_order = numbered.repartitionById(ranges, owner).sortWithinPartitions("slot").select("tokens")
+        lines = in_order.mapInArrow(unpack, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
         lines.write.option("maxRecordsPerFile", per_shard).option("lineSep", "\n").option("compression", "none").text(f"{path}/shards")
     schema = f"slot long, shard long, byte_offset long, n_tokens int, tokens_crc32 long, doc_ids array<{id_kind}>"
-    sequences.mapInArrow(place, schema).write.parquet(f"{path}/index")
+    sequences.drop("tokens").mapInArrow(place, schema).write.parquet(f"{path}/index")
     Folder(spark, path).delete("sequences")
     layout = [(total, length, kind.str, stride, per_shard, n_shards, key, end_id)]
     spark.createDataFrame(layout, "sequences long, length int, dtype string, stride int, per_shard int, shards int, key long, end_id int").coalesce(1).write.json(f"{path}/layout")

@@ -34,15 +34,16 @@ def ship_package(spark: SparkSession) -> None:
         sc.addPyFile(str(to))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner", many: int = 1024, parts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: str, how: str = "inner", many: int = 1024, parts: int = 64, hot: list | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``key`` where few keys may hold much of ``left``.
 
     ``left`` is a written table. Its most frequent keys, at most a thousand, are dealt into ``parts``
     by a hash of ``salt``, and their rows of ``right`` repeated for each part; a key that is not
-    among these holds less than a thousandth of the rows.
+    among these holds less than a thousandth of the rows. Who has counted already names them as ``hot``.
     """
-    counts = left.groupBy(key).count().where(F.col("count") > many).orderBy(F.desc("count")).limit(1000)
-    hot = [r[key] for r in counts.collect()]
+    if hot is None:
+        counts = left.groupBy(key).count().where(F.col("count") > many).orderBy(F.desc("count")).limit(1000)
+        hot = [r[key] for r in counts.collect() if r[key] is not None]
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import ann, bytebpe, licences, maxscore, packing, quality, shards, simhash, toxicity, urlfilter
+from strata.llm import ann, bytebpe, dialogue, licences, maxscore, minhash, packing, periods, quality, shards, simhash, toxicity, urlfilter
 from strata.llm.common import ship_package, table
 from strata.llm.labelled import held_out
 
@@ -85,6 +85,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of faults, cheapest edits and digest of every damaged conversation's repair."""
+    rows = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.digests(dialogue.repair(rows, F.col("there")))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and its component of similar sets."""
+    found = minhash.similar_sets(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, its longest one, and digests of all runs and of the text without repeats."""
+    docs = table(spark, sf_dir, "documents")
+    return periods.digests(periods.periodic_runs(docs.select("doc_id", periods.damaged(docs).alias("text"))))
+
+
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +113,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_packing, op2_simhash, op3_permutation_index, op4_licences, op5_maxscore, op6_toxicity, op7_shards, op8_urlfilter, op9_quality, op10_byte_bpe)
+    every = (op1_packing, op2_simhash, op3_permutation_index, op4_licences, op5_maxscore, op6_toxicity, op7_shards, op8_urlfilter, op9_quality, op10_byte_bpe, op11_dialogue_repair, op12_minhash, op13_periodic_runs)
     return {f.__name__: _ready(f) for f in every}
 
 

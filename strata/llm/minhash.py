@@ -8,10 +8,11 @@ half bands of two give 120 keys of four minhashes from 32 minhashes instead of
 ``(1-p)^16 + 16 p (1-p)^15`` never do, with ``p = s^2``: 2e-6 at 0.8, under 1e-8 from
 0.87 on.
 
-Equal sets are one class from the start. Of each class the table with which it
-shares most keys comes first: the least class of its lists, its centre. What is not
+Equal sets are one class from the start. Each class is first compared with a few
+centres of its lists: the least class of a list under several orders. What is not
 joined then is compared with all of its lists, in blocks, whatever their length:
-no cap. A candidate goes three ways out: by sizes; by parities, 1,024 bits that
+no cap. Two classes meet in each list that they share and are a candidate in the
+first of these alone. A candidate goes three ways out: by sizes; by parities, 1,024 bits that
 each say whether an even number of elements fell on it (every element that is not
 shared flips one bit, so two texts differ in at least as many elements as bits);
 and by the whole sets, which decide.
@@ -76,7 +77,20 @@ def table_keys(halves: np.ndarray) -> np.ndarray:
     i, j = (np.array(x) for x in zip(*combinations(range(halves.shape[1]), 2), strict=True))
     salt = np.arange(1, len(i) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     mixed = ((halves[:, i] ^ salt) * np.uint64(0xBF58476D1CE4E5B9) ^ halves[:, j]) * np.uint64(0x94D049BB133111EB)
-    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+    mixed ^= mixed >> np.uint64(29)
+    return ((mixed & ~np.uint64(0x7F)) | np.arange(len(i), dtype=np.uint64)).view(np.int64)  # the table's number ends the key
+
+
+def first_table(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of the first table in which two rows of half bands meet (they do in one at least)."""
+    n = x.shape[1]
+    numbers = np.zeros((n, n), np.int64)
+    for k, (i, j) in enumerate(combinations(range(n), 2)):
+        numbers[i, j] = k
+    same = x == y
+    a = same.argmax(1)
+    same[np.arange(len(same)), a] = False
+    return numbers[a, same.argmax(1)]
 
 
 def most_apart(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray:
@@ -94,10 +108,22 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
 
 
+#: Orders of classes: their numbers, with some bits turned.
+ORDERS = [0, *(int(x) for x in np.random.default_rng(8).integers(0, 1 << 62, 7))]
+
+
 def _stars(met: DataFrame) -> DataFrame:
-    """(a, b): each class with the centre with which it shares most keys."""
-    shared = met.where("cid <> centre").groupBy("cid", "centre").agg(F.count("*").alias("n"))
-    return shared.groupBy("cid").agg(F.min(F.struct(-F.col("n"), "centre").alias("f")).alias("f")).select(F.col("cid").alias("a"), F.col("f.centre").alias("b"))
+    """(a, b): each class with the least class of its lists under each order, and with the one that is least in most of them."""
+    orders = [F.col("cid").bitwiseXOR(F.lit(m)) for m in ORDERS]
+    lists = met.groupBy("key").agg(*(F.min(o).alias(f"c{k}") for k, o in enumerate(orders)), F.count("*").alias("n"))
+    lists = written(lists, "centres")
+    hot = [r["key"] for r in lists.where("n > 1024").orderBy(F.desc("n")).limit(1000).collect()]
+    near = written(spread_join(met, lists.drop("n"), "key", "cid", hot=hot), "near")
+    least = near.groupBy("cid").agg(*(F.min(f"c{k}").alias(f"c{k}") for k in range(len(ORDERS))))
+    each = least.select(F.col("cid").alias("a"), F.explode(F.array(*(F.col(f"c{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(ORDERS)))).alias("b"))
+    shared = near.groupBy("cid", "c0").agg(F.count("*").alias("n")).where("cid <> c0")
+    most = shared.groupBy("cid").agg(F.min(F.struct(-F.col("n"), "c0")).alias("f")).select(F.col("cid").alias("a"), F.col("f.c0").alias("b"))
+    return each.where("a <> b").unionByName(most).distinct()
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -105,7 +131,7 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest(met: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): all pairs of a list that are not joined yet and may link.
+    """(a, b): all pairs of a list that are not joined yet and may link, in the first list that they share.
 
     Of a list's largest component no two are paired: the others, in blocks, meet all, in blocks.
     """
@@ -113,24 +139,26 @@ def _rest(met: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, bl
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     lists = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     lists = lists.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("all") / block).alias("many"))
-    wide = rows.join(lists, "key").join(classes.select("cid", "n", "parity"), "cid")
+    wide = rows.join(lists, "key").join(classes.select("cid", "n", "parity", "bands"), "cid")
     open_rows = written(wide, "open")
     minor = open_rows.where("root <> top").withColumns({"x": F.expr("pmod(xxhash64(cid), few)"), "y": F.explode(F.expr("sequence(0L, many - 1)")), "minor": F.lit(True)})
     whole = open_rows.withColumns({"x": F.explode(F.expr("sequence(0L, few - 1)")), "y": F.expr("pmod(xxhash64(cid, 1), many)"), "minor": F.lit(False)})
-    dealt = minor.unionByName(whole).groupBy("key", "x", "y").agg(F.collect_list(F.struct("cid", "root", "n", "parity", "minor")).alias("rows")).select("rows")
+    dealt = minor.unionByName(whole).groupBy("key", "x", "y").agg(F.collect_list(F.struct("cid", "root", "n", "parity", "bands", "minor")).alias("rows")).select("rows", "key")
 
     def meet(batches):
         for b in batches:
-            for at in range(b.num_rows):  # a block of two times `block` rows or so at a time
-                cid, root, n, bits, is_minor = b.column(0)[at].values.flatten()
+            for at, key in enumerate(b.column("key").to_pylist()):  # a block of two times `block` rows or so at a time
+                cid, root, n, bits, bands, is_minor = b.column("rows")[at].values.flatten()
                 cid, root, n, is_minor, bits = cid.to_numpy(), root.to_numpy(), n.to_numpy(), is_minor.to_numpy(zero_copy_only=False), _bits(bits)
+                bands = np.frombuffer(b"".join(bands.to_pylist()), np.uint64).reshape(len(cid), -1)
                 left, right = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
                 for lo in range(0, len(left), 128):
                     i = left[lo : lo + 128, None]
-                    ok = (root[i] != root[right]) & _may_link(n[i], bits[i], n[right], bits[right], percent)
-                    p, q = np.nonzero(ok)
-                    if len(p):
-                        x, y = cid[i[p, 0]], cid[right[q]]
+                    p, q = np.nonzero((root[i] != root[right]) & _may_link(n[i], bits[i], n[right], bits[right], percent))
+                    p, q = i[p, 0], right[q]
+                    here = first_table(bands[p], bands[q]) == key & 0x7F
+                    if here.any():
+                        x, y = cid[p[here]], cid[q[here]]
                         yield pa.record_batch([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
     return dealt.mapInArrow(meet, "a long, b long").distinct()
@@ -212,9 +240,9 @@ def similar_sets(docs: DataFrame, words: int = 2, percent: int = 80, halves: int
                 yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cid").to_numpy(), keys.shape[1]))], names=["key", "cid"])
 
     posted = classes.select("cid", "bands").mapInArrow(post, "key long, cid long")
-    lists = written(posted.groupBy("key").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1"), "lists")
+    lists = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     hot = [r["key"] for r in lists.where("n > 1024").orderBy(F.desc("n")).limit(1000).collect()]
-    met = written(spread_join(posted, lists.select("key", "centre"), "key", "cid", hot=hot), "met")
+    met = written(spread_join(posted, lists.select("key"), "key", "cid", hot=hot), "met")
 
     linked = roots = None
     for candidates in (lambda: _stars(met), lambda: _rest(met, classes, roots, percent, block)):

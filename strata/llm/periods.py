@@ -26,7 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -191,15 +191,16 @@ def periodic_runs(docs: DataFrame, least: int = 12, id_col: str = "doc_id", text
     return found.select(F.col("id").alias(id_col), "n_words", "runs", "collapsed")
 
 
-def damaged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """The text, in a tenth of the documents made periodic from some word on: chosen by crc32 of the id's decimal text."""
-    words = F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def damaged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text): in a tenth of the documents, by crc32 of the id's decimal text, the words are made periodic from some word on."""
     h = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.size(words).cast("long")
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), h.alias("h"))
+    # columns of their own, so that a text is split once and not again for each of its words
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    rows = rows.withColumns({"g": F.floor(F.col("h") / 10), "n": F.size("words").cast("long")}).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

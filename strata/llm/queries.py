@@ -99,8 +99,7 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, its longest one, and digests of all runs and of the text without repeats."""
-    docs = table(spark, sf_dir, "documents")
-    return periods.digests(periods.periodic_runs(docs.select("doc_id", periods.damaged(docs).alias("text"))))
+    return periods.digests(periods.periodic_runs(periods.damaged(table(spark, sf_dir, "documents"))))
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

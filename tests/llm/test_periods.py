@@ -56,8 +56,7 @@ def test_runs_of_random_words_against_all_periods(rng):
 
 def test_documents(spark, documents, rng):
     texts = [*ODD_TEXTS, "a " * 11, "a " * 12, *(repetitive(rng) for _ in range(80)), *(prose(rng, 60) for _ in range(80))]
-    docs = documents(texts)
-    found = periods.digests(periods.periodic_runs(docs.select("doc_id", periods.damaged(docs).alias("text")), group=200)).collect()
+    found = periods.digests(periods.periodic_runs(periods.damaged(documents(texts)), group=200)).collect()
     assert {r[0]: tuple(r[1:]) for r in found} == {i: expected(i, t) for i, t in enumerate(texts)}
 
 

@@ -40,13 +40,42 @@ def json_value(json: str, key: str, field: str, kind: str = "string", strict: bo
     entries = F.filter(F.from_json(json, _ENTRIES), lambda e: e["key"] == key)
     listed = F.get(entries, F.lit(0))["value"][field]
     found = F.when(F.startswith(F.ltrim(json), F.lit("[")), listed).otherwise(direct)
+    return _typed(found, kind, strict)
+
+
+def _typed(found: Column, kind: str, strict: bool) -> Column:
     return found if kind == "string" else found.cast(kind) if strict else found.try_cast(kind)
 
 
+def parsed(json: str, keys: list[str]) -> Column:
+    """A document as a struct of ``keys``, each a map of its fields' texts: one parse, of the form that the document has.
+
+    A document in the array form is parsed as such and its first entry of each key taken; one in the object
+    form gives its keys' objects. A field is as text, as :func:`json_value` gives it.
+    """
+    listed = F.from_json(F.when(F.startswith(F.ltrim(json), F.lit("[")), F.col(json)), _ENTRIES)
+    direct = F.from_json(F.when(~F.startswith(F.ltrim(json), F.lit("[")), F.col(json)), "struct<" + ",".join(f"`{k}`:map<string,string>" for k in keys) + ">")
+    return F.struct(listed.alias("listed"), direct.alias("direct"))
+
+
 def flatten(events: DataFrame, params: str = "event_params", user: str = "user_properties", strict: bool = False) -> DataFrame:
-    columns = {name: json_value(params, key, field, kind, strict) for name, key, field, kind in PARAMETERS}
-    columns |= {name: json_value(user, key, field, kind, strict) for name, key, field, kind in USER_PROPERTIES}
-    return events.withColumns(columns)
+    """Events with a column for each parameter and user property; either document is parsed once."""
+    made = {}
+    for json, wanted in ((params, PARAMETERS), (user, USER_PROPERTIES)):
+        made[json] = parsed(json, sorted({key for _, key, _, _ in wanted}))
+    slots = {json: f"_parsed_{i}" for i, json in enumerate(made)}
+    while set(slots.values()) & set(events.columns):
+        slots = {json: f"_{slot}" for json, slot in slots.items()}
+    # Spark doesn't repeat an expression as dear as a parse in the columns that read it
+    rows = events.withColumns({slots[json]: column for json, column in made.items()})
+
+    def value(slot: str, key: str, field: str) -> Column:
+        entry = F.get(F.filter(F.col(f"{slot}.listed"), lambda e: e["key"] == key), F.lit(0))["value"][field]
+        return F.coalesce(F.col(f"{slot}.direct.{key}")[field], entry)
+
+    columns = {name: _typed(value(slots[params], key, field), kind, strict) for name, key, field, kind in PARAMETERS}
+    columns |= {name: _typed(value(slots[user], key, field), kind, strict) for name, key, field, kind in USER_PROPERTIES}
+    return rows.withColumns(columns).drop(*slots.values())
 
 
 def rolling(events: DataFrame, as_of: str, days: int = 90, date: str = "event_date", user: str = "user_id") -> DataFrame:

@@ -81,21 +81,20 @@ def _of_volumes(spark, volumes: list[tuple], factor: float, reason: str) -> Data
 
 
 def _of_groups(df: DataFrame, spec: DimensionSpec | SnapshotSpec) -> DataFrame:
-    """:func:`duplicate_keys`, :func:`null_keys` and (of a dimension) :func:`several_current` from one aggregation, by surrogate key and by natural key."""
+    """:func:`duplicate_keys` and (of a dimension) :func:`several_current` from one aggregation, by surrogate key and by natural key; :func:`null_keys` from a filter.
+
+    A group gives one failure at most, however many rows it has; rows with a null key are told one by one by the
+    task that reads them.
+    """
     dimension = isinstance(spec, DimensionSpec)
     keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(spec.natural_key)]
     names = [f"k{i}" for i in range(len(keys))]
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (spec.surrogate_key, spec.date_column, *spec.natural_key)])
     now = F.col("is_current") == 1 if dimension else F.lit(False)
-    rows = df.select(F.col(spec.surrogate_key).alias("sk"), *keys, missing.cast("int").alias("missing"), now.cast("int").alias("now"))
-    sets = rows.groupingSets([["sk"], names], "sk", *names).agg(F.grouping("sk").alias("by_key"), F.count("*").alias("n"), F.sum("missing").alias("missing"), F.sum("now").alias("now"))
-    found = F.when(F.col("by_key") == 0, F.when(F.col("n") > 1, F.array(_failure(spec, "duplicate", F.col("sk"))))).otherwise(
-        F.concat(
-            F.array_repeat(_failure(spec, "null", key_display(names)), F.col("missing").cast("int")),
-            F.when(F.col("now") > 1, F.array(_failure(spec, "current", key_display(names)))).otherwise(F.array_repeat(_failure(spec, "current", F.lit(None)), F.lit(0))),
-        )
-    )
-    return sets.select(F.explode(found).alias("f")).select("f.failure_reason", "f.offending_key")
+    rows = df.select(F.col(spec.surrogate_key).alias("sk"), *keys, now.cast("int").alias("now"))
+    sets = [["sk"], names] if dimension else [["sk"]]
+    groups = rows.groupingSets(sets, "sk", *names).agg(F.grouping("sk").alias("by_key"), F.count("*").alias("n"), F.sum("now").alias("now"))
+    found = F.when((F.col("by_key") == 0) & (F.col("n") > 1), _failure(spec, "duplicate", F.col("sk"))).when((F.col("by_key") == 1) & (F.col("now") > 1), _failure(spec, "current", key_display(names)))
+    return groups.select(found.alias("f")).where("f is not null").select("f.failure_reason", "f.offending_key").unionByName(null_keys(df, spec))
 
 
 def _failure(spec: DimensionSpec | SnapshotSpec, what: str, key):
@@ -116,7 +115,7 @@ def _on_date(df: DataFrame, column: str, volumes: list[tuple]) -> DataFrame:
 def dimension_gates(source: DataFrame, versions: DataFrame, spec: DimensionSpec) -> DataFrame:
     """All checks of a dimension; ``versions`` is its candidate view.
 
-    ``versions`` is read twice (give a written table), the source once for its volumes, which
+    ``versions`` is read three times in few columns (give a written table), the source once for its volumes, which
     also name its latest date, and once for that date's rows.
     """
     volumes = recent_volumes(source, spec.source_date, spec.volume_window)

@@ -58,12 +58,13 @@ def _stamped(rows: DataFrame, spec: DimensionSpec | SnapshotSpec, own: list[str]
     return rows.select(key, *spec.natural_key, spec.date_column, *own, *(F.col(f"`{a}`") for a in attributes), F.lit(batch_id).alias("_batch_id"), at)
 
 
-def changed_versions(source: DataFrame, spec: DimensionSpec, batch_id: str, loaded_at: datetime | str, history: DataFrame | None = None, since: date | None = None) -> DataFrame:
+def changed_versions(source: DataFrame, spec: DimensionSpec, batch_id: str, loaded_at: datetime | str, history: DataFrame | None = None, since: date | None = None, latest: DataFrame | None = None) -> DataFrame:
     """Versions to append: rows past the global high-water mark whose hash differs from the one before.
 
     ``history`` are the approved rows; None on a first run. The hash before is that of the
     key's previous date in this batch, else that of its latest stored version, so a null
-    hash is kept on a new key and dropped on a known one.
+    hash is kept on a new key and dropped on a known one. With ``latest`` (keys and hash of each
+    key's latest version, a row a key) and ``since`` (the mark) no row of history is read.
     """
     keys, stored_hash = list(spec.natural_key), "_stored_hash"
     rows, attributes = _source_rows(source, spec, history, [spec.hash_column])
@@ -73,7 +74,10 @@ def changed_versions(source: DataFrame, spec: DimensionSpec, batch_id: str, load
     if history is None:
         rows = rows.withColumn("_before", before)
     else:
-        latest = history.groupBy(*keys).agg(F.max_by(spec.hash_column, spec.date_column).alias(stored_hash))
+        if latest is None:
+            latest = history.groupBy(*keys).agg(F.max_by(spec.hash_column, spec.date_column).alias(stored_hash))
+        else:
+            latest = latest.select(*keys, F.col(spec.hash_column).alias(stored_hash))
         rows = rows.join(latest, keys, "left").withColumn("_before", F.coalesce(before, F.col(stored_hash)))
     changed = rows.where(F.col("_before").isNull() | (F.col("_before") != F.col(spec.hash_column)))
     return _stamped(changed, spec, [spec.hash_column], attributes, batch_id, loaded_at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,25 @@ def current(versions: DataFrame) -> DataFrame:
 
 
 def join_as_of(facts: DataFrame, versions: DataFrame, keys: list[str], day: str, columns: list[str], how: str = "left") -> DataFrame:
-    """Facts with the version of their key on their day: an equi-join on the keys, the interval as its residue."""
-    v = versions.select(*(F.col(k).alias(f"_v_{k}") for k in keys), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *columns)
-    on = [F.col(k) == F.col(f"_v_{k}") for k in keys] + [F.col(day) >= F.col("_from"), F.col(day) < F.col("_to")]
-    return facts.join(v, on, how).drop(*(f"_v_{k}" for k in keys), "_from", "_to")
+    """Facts with the version of their key on their day (a date, or an instant of it).
+
+    The days on which a key has facts and its versions are sorted together once, and the last version is carried
+    forward over the days; facts then get their day's. So a key costs its facts plus its versions, not
+    their product. However many facts a key has, its sort holds its days and versions only, and the join
+    by key and day may divide a day's facts. A key's versions don't overlap (the gates see to that); where
+    they do, the one with the latest start counts, of one start that with the latest end. ``how``: left or inner.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("how is left or inner")
+    names = [f"_k{i}" for i in range(len(keys))]
+    of = lambda df: [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]
+    known = lambda df, date: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*names, date)]))
+    held = F.struct(F.col("valid_to").alias("_to"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)))
+    v = known(versions.select(*of(versions), F.col("valid_from").cast("date").alias("_day"), held.alias("_version")), "_day")
+    days = known(facts.select(*of(facts), F.col(f"`{day}`").cast("date").alias("_day")), "_day").distinct()
+    both = v.withColumn("_asked", F.lit(False)).unionByName(days.withColumns({"_version": F.lit(None), "_asked": F.lit(True)}))
+    carried = F.last("_version", ignorenulls=True).over(Window.partitionBy(*names).orderBy("_day", "_asked", F.col("_version._to")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_version", carried).where(F.col("_asked") & (F.col("_day") < F.col("_version._to")))
+    found = found.select(*names, F.col("_day").alias("_on"), *(F.col(f"_version._c{i}").alias(f"_c{i}") for i in range(len(columns))))
+    joined = facts.join(found, [*(F.col(f"`{k}`") == F.col(n) for k, n in zip(keys, names, strict=True)), F.col(f"`{day}`").cast("date") == F.col("_on")], how)
+    return joined.select(*(F.col(f"`{c}`") for c in facts.columns), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)))

@@ -6,7 +6,9 @@ import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.sources.files import Folder
 from strata.spec import Registry
 
 RUN_RESULTS = "run_id string, invocation_id string, node_id string, node_name string, resource_type string, node_status string, execution_time double, thread_id string, message string, failed_at timestamp, completed_at timestamp"
@@ -16,6 +18,22 @@ EDGES = "invocation_id string, parent_id string, parent_name string, parent_type
 MESSAGE_LENGTH, DEPENDS_LENGTH = 2000, 4000
 
 
+def upsert(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Put an invocation's records beside those of others: its own rows of the same keys give way, its other rows stay.
+
+    The invocation is a partition that Spark writes over as one commit; its records are as few as its nodes.
+    """
+    spark = rows.sparkSession
+    invocation = rows.select("invocation_id").first()
+    if invocation is None:
+        return
+    if Folder(spark, path).exists():
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("invocation_id") == invocation[0])
+        kept = old.join(rows.select(*keys), keys, "left_anti").select(rows.columns).collect()  # before its partition is written over
+        rows = rows.unionByName(spark.createDataFrame(kept, rows.schema))
+    rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("invocation_id").parquet(path)
+
+
 def graph(registry: Registry) -> dict[str, dict]:
     """Nodes by id: sources, each spec's nodes, and exposures."""
     nodes: dict[str, dict] = {}

@@ -8,11 +8,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators import checks, gates, views
 from strata.operators.history import changed_versions, snapshot_rows
 from strata.plans import artifacts, rollback
 from strata.plans.publish import refresh
+from strata.sources.latest import LatestState
 from strata.sources.ledger import Ledger, RollbackLog
 from strata.sources.scratch import discard, written
 from strata.sources.store import BatchStore, VersionedTable
@@ -38,6 +40,7 @@ class State:
         kind = "dimensions" if isinstance(self.spec, DimensionSpec) else "snapshots"
         self.store = BatchStore(self.spark, f"{self.root}/{self.spec.name}/history")
         self.table = VersionedTable(self.spark, f"{self.root}/{self.spec.name}/published")
+        self.latest = LatestState(self.spark, f"{self.root}/{self.spec.name}/latest", self.spec)
         self.failures = f"{self.root}/audit/{self.spec.name}__gates"
         # ledgers of their own for each kind, a log for each spec
         self.ledger = Ledger(self.spark, f"{self.root}/audit/{kind}_approved/{self.spec.name}")
@@ -61,7 +64,14 @@ class State:
         return views.documented(make(self.store.read(), self.ledger.frame(), self.spec), self.spec)
 
     def refresh(self) -> dict:
-        return refresh(self.table, self.view(), self.spec.dist_column, self.fault) if self.store.schema() is not None else {"ok": True, "row_count": 0}
+        return refresh(self, self.fault) if self.store.schema() is not None else {"ok": True, "row_count": 0}
+
+
+def source_digest(source: DataFrame, spec: DimensionSpec | SnapshotSpec) -> str:
+    """Count and sum of hashes of what a batch is made of, in any order of rows: key, date and hash of a dimension's source, all columns of a fact's."""
+    names = [*spec.natural_key, spec.source_date, spec.hash_column] if isinstance(spec, DimensionSpec) else [f.name for f in source.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    found = source.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in names)).cast("decimal(38,0)")).alias("sum")).first()
+    return f"{found['n']} rows {found['sum'] or 0}"
 
 
 def status_of(results: list[dict], name: str) -> str | None:
@@ -100,15 +110,24 @@ class Pipeline:
         self._states[name].fault = fault
         return self._states[name]
 
-    def build(self, name: str, source: DataFrame, batch_id: str, loaded_at: datetime) -> bool:
-        """Purge what isn't approved, then append the batch. An approved batch is left as it is (False)."""
+    def build(self, name: str, source: DataFrame, batch_id: str, loaded_at: datetime, digest: str | None = None) -> bool:
+        """Claim the batch, purge what isn't approved, then append it. An approved batch is left as it is (False).
+
+        ``digest`` tells the source's rows (:func:`source_digest` unless given); a batch that was approved with
+        others raises ``ReusedBatch``.
+        """
         s = self.state(name)
-        approved = s.approved()
-        if batch_id in approved:
+        if not s.ledger.claim(s.spec.model, batch_id, digest or source_digest(source, s.spec)):
             return False
-        s.store.purge(approved)
-        make = changed_versions if isinstance(s.spec, DimensionSpec) else snapshot_rows
-        s.store.append(make(source, s.spec, batch_id, loaded_at, s.store.read()), batch_id, approved)
+        batches = s.ledger.identities(s.spec.model)
+        s.store.purge(set(batches))
+        history = s.store.read()
+        if isinstance(s.spec, DimensionSpec) and history is not None:
+            latest, mark = s.latest.read(s.store, batches)
+            rows = changed_versions(source, s.spec, batch_id, loaded_at, history, mark, latest)
+        else:
+            rows = (changed_versions if isinstance(s.spec, DimensionSpec) else snapshot_rows)(source, s.spec, batch_id, loaded_at, history)
+        s.store.append(rows, batch_id, set(batches))
         return True
 
     def check(self, name: str, source: DataFrame, batch_id: str, at: datetime | None = None) -> list[dict]:
@@ -144,7 +163,7 @@ class Pipeline:
         if reason:
             return {"approved": False, "reason": reason}
         if not before:
-            s.ledger.approve(s.spec.model, batch_id, at)
+            s.ledger.approve(s.spec.model, batch_id, at, claimed=True)
         done = s.refresh()
         if not done["ok"]:
             if not before:
@@ -152,15 +171,17 @@ class Pipeline:
             raise RunError(f"{name}: batch {batch_id} was not published{'' if before else ' and its approval is taken back'}: {done['error']}")
         return {"approved": True} | done
 
-    def run(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: datetime, names: list[str] | None = None, record: bool = True, publish: bool = True) -> list[dict]:
+    def run(self, sources: dict[str, DataFrame], batch_id: str, loaded_at: datetime, names: list[str] | None = None, record: bool = True, publish: bool = True, digests: dict[str, str] | None = None, invocation_id: str | None = None) -> list[dict]:
         """One night: every named spec (all if none are named) in turn. Results, also kept as run records.
 
-        Without ``publish``, batches are built and checked, and stay pending.
+        Without ``publish``, batches are built and checked, and stay pending. ``digests`` tell sources' rows, where
+        they are known. Records are kept by invocation (the batch's id unless given) and node: a repeated run
+        replaces its own.
         """
         results = []
         for name in names or list(self.registry.specs):
             s = self.registry[name]
-            fresh = self.build(name, sources[s.source], batch_id, loaded_at)
+            fresh = self.build(name, sources[s.source], batch_id, loaded_at, (digests or {}).get(s.source))
             results.append({"resource_type": "model", "name": s.model, "status": "success", "message": "" if fresh else "approved before", "completed_at": loaded_at})
             if fresh:
                 results += self.check(name, sources[s.source], batch_id, loaded_at)
@@ -168,14 +189,15 @@ class Pipeline:
                 done = self.approve(name, batch_id, loaded_at, status_of(results, name), tests_of(results, name))
                 results.append({"resource_type": "table", "name": name, "status": "success" if done["approved"] else "skipped", "message": done.get("reason", ""), "completed_at": loaded_at, "row_count": done.get("row_count")})
         if record:
-            self.record(results, batch_id)
+            self.record(results, batch_id, invocation_id or batch_id)
         return results
 
-    def record(self, results: list[dict], batch_id: str) -> None:
-        at = f"{self.root}/operations"
-        artifacts.result_frame(self.spark, results, batch_id, batch_id).write.mode("append").parquet(f"{at}/run_results")
-        artifacts.node_frame(self.spark, self.registry, batch_id).write.mode("append").parquet(f"{at}/nodes")
-        artifacts.edge_frame(self.spark, self.registry, batch_id).write.mode("append").parquet(f"{at}/edges")
+    def record(self, results: list[dict], batch_id: str, invocation_id: str | None = None) -> None:
+        """Keep a run's records: of an invocation one row a node, and one an edge."""
+        invocation, at = invocation_id or batch_id, f"{self.root}/operations"
+        artifacts.upsert(artifacts.result_frame(self.spark, results, batch_id, invocation), f"{at}/run_results", ["node_id"])
+        artifacts.upsert(artifacts.node_frame(self.spark, self.registry, invocation), f"{at}/nodes", ["node_id"])
+        artifacts.upsert(artifacts.edge_frame(self.spark, self.registry, invocation), f"{at}/edges", ["parent_id", "child_id"])
 
     def read(self, name: str) -> DataFrame | None:
         """The consumption table as it is now."""

@@ -1,4 +1,4 @@
-"""History as batch folders with a schema manifest, and published tables as versions with a pointer."""
+"""History as batch folders with a schema manifest, and published tables as versions of ranges."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,12 +66,12 @@ class BatchStore:
         self._remove(batch_id)
         rows.drop("_batch_id").write.mode("error").parquet(f"{self.data}/v=0/_batch_id={batch_id}")
 
-    def read(self) -> DataFrame | None:
-        """All batches under the manifest's schema (columns that an old batch lacks are null); None before the first."""
+    def read(self, batches: set[str] | None = None) -> DataFrame | None:
+        """All batches, or those named, under the manifest's schema (columns that an old batch lacks are null); None before the first."""
         schema = self.schema()
         if schema is None:
             return None
-        places = self.places()
+        places = {b: v for b, v in self.places().items() if batches is None or b in batches}
         if not places:
             return self.spark.createDataFrame([], schema)
         paths = [f"{self.data}/{v}/_batch_id={b}" for b, v in places.items()]
@@ -105,43 +105,75 @@ class BatchStore:
 
 
 class VersionedTable:
-    """A published table: ``v=<n>`` folders, and a marker for each version that is complete. Readers take the last marker."""
+    """A published table whose rows lie in ranges of a key's hash; a version names the folders of each range.
+
+    ``v=<n>/_range=<k>`` holds what version ``n`` wrote of range ``k``; ranges that it didn't touch stay where
+    an older version put them. The file ``_current/<n>`` is the version's manifest and makes it the one that
+    readers take: folders, row counts, batches and schema. A range is about ``range_rows`` rows; more of one
+    key are one range, which Spark writes as several files.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
-        self.spark, self.folder, self.keep = spark, Folder(spark, root), keep
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, range_rows: int = 1_000_000, parts: int = 32):
+        self.spark, self.folder, self.keep, self.range_rows, self.parts = spark, Folder(spark, root), keep, range_rows, parts
+        self._known: dict[int, dict] = {}
 
     def versions(self) -> list[int]:
         return [int(n) for n in self.folder.names("_current") if n.isdigit()]
 
-    def current_path(self) -> str | None:
+    def manifest(self, version: int | None = None) -> dict | None:
+        """That of a version, the current one unless named."""
         found = self.versions()
-        return self.folder.at(f"v={found[-1]:08d}") if found else None
+        if version is None and not found:
+            return None
+        n = found[-1] if version is None else version
+        if n not in self._known:
+            self._known[n] = json.loads(self.folder.read(f"_current/{n:08d}"))
+        return self._known[n]
+
+    def rows_of(self, manifest: dict, ranges: set[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its ranges."""
+        schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+        paths = [self.folder.at(f) for k, folders in sorted(manifest["ranges"].items(), key=lambda x: int(x[0])) if ranges is None or int(k) in ranges for f in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame | None:
-        path = self.current_path()
-        return self.spark.read.parquet(path) if path else None
+        manifest = self.manifest()
+        return self.rows_of(manifest) if manifest else None
+
+    @staticmethod
+    def range_of(columns: list[str], n: int) -> Column:
+        """The range of a row, by the hash of its key."""
+        return F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in columns)), F.lit(n)).cast("int")
 
-    def write_version(self, df: DataFrame, dist_column: str | None = None) -> tuple[int, int]:
-        """Write a version that nobody reads yet; its number, and the rows that were written, counted on the way.
+    def write_version(self, df: DataFrame, columns: list[str], n: int) -> tuple[int, int]:
+        """Write rows, dealt into ``n`` ranges, as a version that nobody reads yet; its number, and the rows, counted on the way.
 
-        Rows of one value of ``dist_column`` lie together; Spark divides values that are too frequent for one task.
+        Rows of one range lie together; Spark divides ranges that are too large for one task.
         """
-        n = max([0, *self.versions(), *(int(x[2:]) for x in self.folder.names() if x.startswith("v="))]) + 1
-        if dist_column in df.columns:
-            df = df.hint("rebalance", F.col(f"`{dist_column}`"))
+        v = max([0, *self.versions(), *(int(x[2:]) for x in self.folder.names() if x.startswith("v="))]) + 1
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(self.folder.at(f"v={n:08d}"))
-        return n, seen.get["n"]
-
-    def count(self, version: int) -> int:
-        return self.spark.read.parquet(self.folder.at(f"v={version:08d}")).count()
-
-    def switch(self, version: int) -> None:
+        rows = df.withColumn("_range", self.range_of(columns, n)).hint("rebalance", F.col("_range"))
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").partitionBy("_range").parquet(self.folder.at(f"v={v:08d}"))
+        return v, seen.get["n"]
+
+    def written(self, version: int) -> dict[int, int]:
+        """Rows that a version wrote, by range, as they lie there."""
+        ranges = [n.removeprefix("_range=") for n in self.folder.names(f"v={version:08d}") if n.startswith("_range=")]
+        if not ranges:
+            return {}
+        counts = self.spark.read.parquet(self.folder.at(f"v={version:08d}")).groupBy("_range").count()
+        return {r["_range"]: r["count"] for r in counts.collect()}  # a number a range
+
+    def folder_of(self, version: int, k: int) -> str:
+        return f"v={version:08d}/_range={k}"
+
+    def switch(self, version: int, manifest: dict) -> None:
         """Readers see the version from now on: one small file is made."""
-        self.folder.write(f"_current/{version:08d}", "")
+        self.folder.write(f"_current/{version:08d}", json.dumps(manifest))
 
     def withdraw(self, version: int) -> None:
         """Readers see the version before again."""
+        self._known.pop(version, None)
         self.folder.delete(f"_current/{version:08d}")
 
     def drop(self, version: int) -> None:
@@ -149,8 +181,15 @@ class VersionedTable:
         self.folder.delete(f"v={version:08d}")
 
     def tidy(self) -> None:
-        """Keep the last versions; older ones and orphans below the current one go."""
+        """Keep the last versions and the folders that they name; older versions and orphans below the current one go."""
         found = self.versions()
-        for n in {int(x[2:]) for x in self.folder.names() if x.startswith("v=")}:
-            if found and n < found[-1] and n not in found[-self.keep :]:
-                self.drop(n)
+        for n in found[: -self.keep]:
+            self.withdraw(n)
+        named = {f for n in found[-self.keep :] for folders in self.manifest(n)["ranges"].values() for f in folders}
+        for v in [x for x in self.folder.names() if x.startswith("v=") and found and int(x[2:]) < found[-1]]:
+            inside = [f"{v}/{x}" for x in self.folder.names(v) if x.startswith("_range=")]
+            if not named & set(inside):
+                self.folder.delete(v)
+            for f in inside:
+                if f not in named:
+                    self.folder.delete(f)

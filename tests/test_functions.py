@@ -114,6 +114,20 @@ def test_json_forms(spark):
         df.select(events.json_value("j", "n", "int_value", "int", strict=True)).collect()
 
 
+def test_flatten_parses_a_document_once_and_equals_single_values(spark):
+    docs = [
+        '{"page_title":{"string_value":"a b"},"value":{"string_value":"1.50","double_value":1.50},"session_number":{"int_value":7}}',
+        '[{"key":"page_title","value":{"string_value":"x"}},{"key":"page_title","value":{"string_value":"second"}},{"key":"session_number","value":{"int_value":"8"}}]',
+        '  [{"key":"value","value":{"double_value":2.25}}]', '{"page_title":"no object","session_number":{"int_value":"many"}}', "not json", "", None, "[]", "{}", '{"items":{"string_value":[1,{"a":2}]}}',
+    ]
+    df = spark.createDataFrame([(d, d) for d in docs], "event_params string, user_properties string")
+    flat = events.flatten(df)
+    single = df.withColumns({n: events.json_value("event_params", k, f, t) for n, k, f, t in events.PARAMETERS} | {n: events.json_value("user_properties", k, f, t) for n, k, f, t in events.USER_PROPERTIES})
+    assert flat.collect() == single.collect() and flat.columns == single.columns
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 4 and "get_json_object" not in plan  # a form each of two documents
+
+
 def test_staging(spark):
     rows = [("2024-01-30", 1_706_600_000_000_000, "u", "s", '{"value":{"double_value":1.5}}'), ("2024-01-30", 1_706_600_000_000_001, "u", "s", "{}"), ("2023-01-01", 0, "u", "s", "{}"), ("2024-01-30", 5, None, "s", "{}")]
     df = spark.createDataFrame(rows, "event_date string, event_timestamp long, user_id string, session_id string, event_params string").withColumn("user_properties", F.lit("{}"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strata.plans.__main__ import main
 from strata.plans.pipeline import Pipeline, RunError, blocked_reason
 from strata.plans.rollback import RollbackError, affected, cutoff
-from strata.sources.ledger import Ledger
+from strata.sources.ledger import Fenced, Ledger, LedgerError, ReusedBatch
 from strata.sources.seeds import load_seed
 from strata.sources.store import BatchStore
 from strata.spec import ColumnTest, DimensionSpec, ExposureSpec, Registry, SnapshotSpec, SpecError
@@ -110,8 +110,11 @@ def test_an_approved_batch_is_never_written_again(spark, tmp_path):
     s = p.state("dim")
     whole = lambda: (content(s.store.read()), s.ledger.entries(), content(p.read("dim")), content(p.read("fact")))
     before = whole()
-    again = p.run({"stg": extract(spark, *NIGHT3)}, "n1", T0 + timedelta(1), record=False)
+    again = p.run(sources, "n1", T0 + timedelta(1), record=False)
     assert [r["status"] for r in again] == ["success"] * 4 and whole() == before
+    with pytest.raises(ReusedBatch):  # the same id with other rows
+        p.run({"stg": extract(spark, *NIGHT3)}, "n1", T0 + timedelta(1), record=False)
+    assert whole() == before
     with pytest.raises(ValueError):
         s.store.append(s.store.read(), "n1", s.approved())
     # a pending batch gives way to its retry

@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 
 from strata.sources.scratch import discard, scratch_path, shared_dir, written
 
-__all__ = ["crc_mod", "discard", "few", "scratch_path", "shared_dir", "ship_package", "spread_join", "table", "written"]
+__all__ = ["crc_mod", "discard", "few", "named", "quoted", "scratch_path", "shared_dir", "ship_package", "spread_join", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, whatever is in it."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def named(names: list[str]) -> list[Column]:
+    """Columns by their plain names."""
+    return [F.col(quoted(c)).alias(c) for c in names]
+
+
 _shipped: set[str] = set()
 
 

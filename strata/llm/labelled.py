@@ -1,11 +1,17 @@
-"""Labelled samples of a bounded size, and thresholds: what the two classifiers share."""
+"""Labelled samples of a bounded size, and scored rows: what the two classifiers share.
+
+Defined results: labels other than 0 and 1, null ids and ids without a document
+give no sample row; without labels the sample is empty; kept columns may have any
+name and type; an empty table gives none.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.llm.common import crc_mod
+from strata.llm.common import crc_mod, named, quoted
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int, seed: int = 11) -> DataFrame:
@@ -22,15 +28,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     return one.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(10)).cast("int"))
 
 
-def with_row(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
-    """(_row, text): the kept columns as one struct, so that no name of theirs meets one of ours; and the struct's type."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.col("text").cast("string").alias("text"))
-    return rows, rows.schema["_row"].dataType.simpleString()
+def with_row(docs: DataFrame, keep: list[str], field: T.StructField) -> tuple[DataFrame, T.StructType]:
+    """(_row, text): the kept columns as one struct, so that no name of theirs meets one of ours; and the type of (_row, field)."""
+    rows = docs.select(F.struct(*named(keep)).alias("_row"), F.col("text").cast("string").alias("text"))
+    return rows, T.StructType([T.StructField("_row", rows.schema["_row"].dataType), field])
 
 
 def kept(scored: DataFrame, keep: list[str], score: Column, name: str) -> DataFrame:
     """The kept columns again, and a score."""
-    return scored.select(*(F.col(f"_row.`{c}`") for c in keep), score.alias(name))
+    return scored.select(*(F.col(f"_row.{quoted(c)}").alias(c) for c in keep), score.alias(name))
 
 
 def held_out(modulus: int, remainder: int) -> Column:

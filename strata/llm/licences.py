@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.bytebpe import text_of
 from strata.llm.common import written
 
 #: Usual statements of well-known licenses.
@@ -180,7 +181,7 @@ def scan(files: DataFrame, templates: dict | None = None, threshold: float = 0.6
     def run(batches):
         m = Matcher(templates, frequency, n, threshold)
         for b in batches:
-            found = [m.scan(t.as_py() or "") or (None,) * 6 for t in b.column("text")]
+            found = [m.scan(text_of(t)) or (None,) * 6 for t in b.column("text")]
             kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.record_batch([b.column(0), b.column("path"), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True) if found else ((),) * 6, kinds, strict=True))], names=[id_col, "path", "stated", "cosine", "line", "edge", "edge_stated", "edge_cosine"])
 

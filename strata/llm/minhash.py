@@ -27,6 +27,7 @@ table gives none; further columns are not read.
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -34,13 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.bytebpe import text_of
 from strata.llm.common import discard, few, spread_join, written
 from strata.llm.components import connected_components
-from strata.llm.simhash import row_digest, shingle_set, words_of
+from strata.llm.shingles import row_digest, shingle_set, words_of
 
 PARITIES = 1024
+HALVES, ROWS = 16, 2
 
 
+@functools.cache
 def constants(n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Masks and odd factors of ``n`` hash functions on 64-bit shingles."""
     made = np.random.default_rng(seed).integers(0, 1 << 64, (2, n), np.uint64)
@@ -66,6 +70,11 @@ def half_bands(minhashes: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def bands_of(elements: np.ndarray) -> bytes:
+    """A set's half bands."""
+    return half_bands(signature(elements, *constants(HALVES * ROWS)), ROWS).tobytes()
+
+
 def parity(elements: np.ndarray) -> np.ndarray:
     """Bits that say on which of the places an odd number of elements falls, as bytes."""
     odd = np.bincount((elements >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1
@@ -126,7 +135,7 @@ def _stars(met: DataFrame) -> DataFrame:
     return each.where("a <> b").unionByName(most).distinct()
 
 
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
@@ -135,7 +144,7 @@ def _rest(met: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, bl
 
     Of a list's largest component no two are paired: the others, in blocks, meet all, in blocks.
     """
-    rows = written(_rooted(met.select("key", "cid"), roots), "rooted")
+    rows = written(rooted(met.select("key", "cid"), roots), "rooted")
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     lists = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
     lists = lists.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("all") / block).alias("many"))
@@ -202,63 +211,72 @@ def _sets(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int) -
     def run(batches):
         for b in batches:
             for cid, t in zip(b.column("cid").to_pylist(), b.column("text"), strict=True):
-                yield pa.record_batch([pa.array([cid], pa.int64()), pa.array([shingle_set(words_of(t.as_py()), words).tobytes()], pa.binary())], names=["cid", "set"])
+                yield pa.record_batch([pa.array([cid], pa.int64()), pa.array([shingle_set(words_of(text_of(t)), words).tobytes()], pa.binary())], names=["cid", "set"])
 
     texts = source.withColumn("row", row_digest()).join(rows, ["id", "row"]).select("cid", "text")
     return written(texts.mapInArrow(run, "cid long, set binary").dropDuplicates(["cid"]), "sets")
 
 
-def similar_sets(docs: DataFrame, words: int = 2, percent: int = 80, halves: int = 16, rows: int = 2, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: components of texts whose sets' Jaccard similarity is at least ``percent`` hundredths."""
-    everything = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
-    kind = everything.schema["id"].dataType.simpleString()
-    masks, factors = constants(halves * rows)
-
-    def describe(batches):
-        from xxhash import xxh3_128_digest
-
-        for b in batches:
-            digests, sizes, bands, bits = [], [], [], []
-            for t in b.column("text"):
-                own = shingle_set(words_of(t.as_py()), words)
-                digests.append(xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sizes.append(len(own))
-                bands.append(half_bands(signature(own, masks, factors), rows).tobytes())
-                bits.append(parity(own).tobytes())
-            yield pa.record_batch([b.column("id"), b.column("row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary()), pa.array(bits, pa.binary())], names=["id", "row", "class", "n", "bands", "parity"])
+def joined(classes: DataFrame, source: DataFrame, words: int, percent: int, block: int, more: DataFrame | None = None) -> DataFrame:
+    """(node, root) of each class that links with another: ``classes`` (cid, n, bands, parity, least) is a written table, ``source`` has the texts (id, text).
 
-    described = everything.withColumn("row", row_digest()).mapInArrow(describe, f"id {kind}, row binary, class binary, n long, bands binary, parity binary")
-    described = written(described, "described")
-    classes = described.where("class is not null and id is not null").groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"), *(F.any_value(c).alias(c) for c in ("n", "bands", "parity")))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    ``more`` are further candidates (a, b), which join the first turn.
+    """
 
     def post(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                keys = table_keys(np.frombuffer(b"".join(part.column("bands").to_pylist()), np.uint64).reshape(part.num_rows, halves))
+                keys = table_keys(np.frombuffer(b"".join(part.column("bands").to_pylist()), np.uint64).reshape(part.num_rows, HALVES))
                 yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cid").to_numpy(), keys.shape[1]))], names=["key", "cid"])
 
-    posted = classes.select("cid", "bands").mapInArrow(post, "key long, cid long")
+    posted = classes.where("n > 0").select("cid", "bands").mapInArrow(post, "key long, cid long")
     lists = written(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     hot = [r["key"] for r in lists.where("n > 1024").orderBy(F.desc("n")).limit(1000).collect()]
     met = written(spread_join(posted, lists.select("key"), "key", "cid", hot=hot), "met")
+    discard(lists)
 
     linked = roots = None
-    for candidates in (lambda: _stars(met), lambda: _rest(met, classes, roots, percent, block)):
+    for candidates in (lambda: _stars(met) if more is None else _stars(met).union(more).distinct(), lambda: _rest(met, classes, roots, percent, block)):
         asked = written(candidates(), "asked")
         pairs = written(_possible(asked, classes, percent), "pairs")
-        sets = _sets(pairs, classes, everything, words)
+        sets = _sets(pairs, classes, source, words)
         found = written(linked_sets(pairs, sets, percent), "linked")
         discard(asked, sets, pairs)
         linked = found if linked is None else linked.union(found)
         roots = connected_components(linked)
-    discard(met, lists)
+    discard(met)
+    return roots
+
 
-    component = written(_rooted(classes.select("cid", "class", F.col("least.id").alias("least")), roots), "rooted")
+def similar_sets(docs: DataFrame, words: int = 2, percent: int = 80, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: components of texts whose sets' Jaccard similarity is at least ``percent`` hundredths."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+
+    def describe(batches):
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            digests, sizes, bands, bits = [], [], [], []
+            for t in b.column("text"):
+                own = shingle_set(words_of(text_of(t)), words)
+                digests.append(xxh3_128_digest(own.tobytes()) if len(own) else None)
+                sizes.append(len(own))
+                bands.append(bands_of(own))
+                bits.append(parity(own).tobytes())
+            yield pa.record_batch([b.column("id"), b.column("row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary()), pa.array(bits, pa.binary())], names=["id", "row", "class", "n", "bands", "parity"])
+
+    described = source.withColumn("row", row_digest()).mapInArrow(describe, f"id {kind}, row binary, class binary, n long, bands binary, parity binary")
+    described = written(described, "described")
+    told = F.col("class").isNotNull() & F.col("id").isNotNull()
+    classes = described.where(told).groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"), *(F.any_value(c).alias(c) for c in ("n", "bands", "parity")))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    roots = joined(classes, source, words, percent, block)
+
+    component = written(rooted(classes.select("cid", "class", F.col("least.id").alias("least")), roots), "rooted")
     first = component.groupBy("root").agg(F.min("least").alias("first"))
     component = spread_join(component, first, "root", "cid").select("class", "first")
-    told = F.col("class").isNotNull() & F.col("id").isNotNull()
     out = spread_join(described.where(told).select("id", "n", "class"), component, "class", "id").select("id", "n", "first")
     out = out.unionByName(described.where(~told).select("id", "n", F.col("id").alias("first")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))

@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.llm.bytebpe import text_of
+from strata.llm.common import named
 from strata.llm.labelled import kept, training_sample, with_row
 
 _CHUNK = 1 << 20
@@ -149,7 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
     rows = sample.mapInArrow(featurise, "key long, label double, part int, slots binary").toArrow().sort_by("key")
     known = np.where(rows["label"].to_numpy() > 0, 1, -1)
     if len(set(known.tolist())) < 2 or min((known > 0).sum(), (known < 0).sum()) < 2:
-        return docs.select(*keep, F.lit(float((known > 0).mean()) if len(known) else 1.0).alias(column))
+        return docs.select(*named(keep), F.lit(float((known > 0).mean()) if len(known) else 1.0).alias(column))
     found = rows["slots"].to_pylist()
     part = rows["part"].to_numpy()
     fitted = part < 8
@@ -168,5 +170,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
             score = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
             yield pa.record_batch([batch.column("_row"), pa.array(score, pa.float64())], names=["_row", "score"])
 
-    source, kind = with_row(docs, keep)
-    return kept(source.mapInArrow(run, f"_row {kind}, score double"), keep, F.col("score"), column)
+    source, schema = with_row(docs, keep, T.StructField("score", T.DoubleType()))
+    return kept(source.mapInArrow(run, schema), keep, F.col("score"), column)

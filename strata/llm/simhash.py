@@ -20,38 +20,40 @@ forest of its links leaves, not all pairs: the components are the same.
 Components are joined by stars on Spark.
 
 :func:`near_duplicates` links fingerprints. :func:`similar_documents` takes what the
-same index links as its first candidates, then what shares a shingle of a prefix,
-which leaves out no pair, and compares shingle sets exactly.
+same index links as candidates, then what meets in tensored tables of minhashes, and
+compares shingle sets exactly.
 
 Defined results: null text counts as empty; texts without words have
 fingerprint zero and link like any other; fewer than ``words`` words make one
-shingle; repeated rows are repeated in the result; null ids get the component of
-their fingerprint; an empty table gives no rows; extra columns are not read.
+shingle; text that isn't UTF-8 has its wrong bytes replaced; repeated rows are
+repeated in the result; null ids get the component of their fingerprint (of
+:func:`similar_documents` they are no rows); an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import discard, few, spread_join, written
+from strata.llm import minhash
+from strata.llm.bytebpe import text_of
+from strata.llm.common import spread_join, written
 from strata.llm.components import connected_components
+from strata.llm.shingles import class_of, row_digest, shingle_set, shingles, words_of
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+__all__ = ["class_of", "fingerprint", "fingerprints", "links", "near_duplicates", "row_digest", "shingle_set", "shingles", "similar_documents", "words_of"]
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42, chunk: int = 65536) -> int:
     """64-bit SimHash of one text over shingles of ``words`` words, repeats counted."""
     from xxhash import xxh64_intdigest
 
-    found = _WORD.findall((text or "").encode().translate(_LOWER))
+    found = words_of(text)
     if not found:
         return 0
     n = max(1, len(found) - words + 1)
@@ -67,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
+            found = np.array([fingerprint(text_of(t), words) for t in b.column(1)], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -198,29 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str
     return spread_join(prints, of_class, "fp", id_col).select(id_col, "fp", "component_id")
 
 
-# ---------------------------------------------------------------- shingle sets
-def shingles(words: list[bytes], n: int) -> np.ndarray:
-    """A 64-bit hash of each shingle of ``n`` words in order (fewer words: the whole sequence): the words' hashes, folded."""
-    from xxhash import xxh64_intdigest
-
-    hashes = np.array(list(map(xxh64_intdigest, words)), np.uint64)
-    width = min(n, len(words))
-    if not width:
-        return hashes
-    count = len(words) - width + 1
-    out = np.full(count, width, np.uint64)
-    for k in range(width):
-        out = (out ^ hashes[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
-
-
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct shingles."""
-    return np.unique(shingles(words, n))
-
-
+# ---------------------------------------------------------------- similar texts
 def majority(hashes: np.ndarray, chunk: int = 65536) -> int:
     """64-bit SimHash of hashes, repeats counted; zero of none."""
     ones = np.zeros(64, np.int64)
@@ -229,196 +209,44 @@ def majority(hashes: np.ndarray, chunk: int = 65536) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").encode().translate(_LOWER))
-
-
-def class_of(words: list[bytes]) -> bytes:
-    """Digest of a text's words in their order."""
-    from xxhash import xxh3_128_digest
-
-    return xxh3_128_digest(b" ".join(words))
-
-
-def row_digest(text_col: str = "text") -> Column:
-    """Digest of a text as it stands: with its id it names a row."""
-    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    """Of two sets in one global order whose Jaccard similarity is ``threshold`` or more, the first so many of each share an element."""
-    return n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
-
-
-def _in_order(found: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Shingles in the global order: those not known as common by their hashes, then the common ones, the commonest last."""
-    if not len(common):
-        return found
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    return found[np.argsort(np.where(common[at] == found, places[at] + 1, 0), kind="stable")]
-
-
-def common_shingles(source: DataFrame, words: int, rows: int = 16_000, least: int = 2, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in ``least`` or more of about ``rows`` sampled texts, sorted, and their places by frequency.
-
-    They only order the shingles. Every order gives the same links; this one keeps lists short.
-    """
-    every = max(1, source.count() // rows)
-    sample = source.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0).select("text")
-
-    def run(batches):
-        for b in batches:
-            for t in b.column(0):
-                yield pa.record_batch([pa.array(shingle_set(words_of(t.as_py()), words).view(np.int64))], names=["u"])
-
-    counts = sample.mapInArrow(run, "u long").groupBy("u").count().where(F.col("count") >= least)
-    found = counts.orderBy(F.desc("count"), "u").limit(most).toArrow()
-    hashes = found["u"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], (len(hashes) - 1 - np.arange(len(hashes)))[order].astype(np.int64)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of (a, b) pairs, a written table, those whose sets reach the threshold. ``b`` may be in many pairs."""
-    of = lambda c, x: sets.select(F.col("cid").alias(c), F.col("set").alias(x))
-    both = spread_join(pairs, of("b", "y"), "b", "a").join(of("a", "x"), "a").select("a", "b", "x", "y")
-
-    def compare(batches):
-        for b in batches:
-            near = []
-            for at in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[at].as_buffer() or b"", np.uint64) for c in "xy")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared >= threshold * (len(x) + len(y) - shared):
-                    near.append(at)
-            yield b.select(["a", "b"]).take(pa.array(near, pa.int64()))
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``percent`` hundredths.
 
-    return both.mapInArrow(compare, "a long, b long")
-
-
-def _sets(pairs: DataFrame, classes: DataFrame, source: DataFrame, words: int) -> DataFrame:
-    """(cid, set) of every class that is in a pair, from a text of it. A written table."""
-    wanted = few(written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), "wanted"))
-    rows = few(written(classes.select("cid", F.col("least.id").alias("id"), F.col("least.row").alias("row")).join(wanted, "cid", "left_semi"), "rows"))
-
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([b.column("cid"), pa.array([shingle_set(words_of(t.as_py()), words).tobytes() for t in b.column("text")], pa.binary())], names=["cid", "set"])
-
-    texts = source.withColumn("row", row_digest()).join(rows, ["id", "row"]).select("cid", "text")
-    return written(texts.mapInArrow(run, "cid long, set binary").dropDuplicates(["cid"]), "sets")
-
-
-def _possible(threshold: float, size: str, rest: str, size_b: str, rest_b: str) -> Column:
-    """Whether two texts that share a shingle may be similar: sizes near enough, enough left behind the shingle."""
-    small, large, both = F.least(size, size_b), F.greatest(size, size_b), F.col(size) + F.col(size_b)
-    return (small >= threshold * large - 1e-9) & (1 + F.least(rest, rest_b) >= threshold / (1 + threshold) * both - 1e-9)
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows with the root of their ``cid``: itself where it has no link yet."""
-    return rows.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
-
-def _star_pairs(met: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): each row of a list with the list's most central text, b, where these may be similar.
-
-    The most central text of a list is the one with the fewest rarer shingles before that of the list.
-    """
-    centre = met.groupBy("key").agg(F.min(F.struct("place", "cid", "size", "rest")).alias("c"))
-    centre = centre.select("key", F.col("c.cid").alias("b"), F.col("c.size").alias("size_b"), F.col("c.rest").alias("rest_b"))
-    near = spread_join(met, centre, "key", "cid").where((F.col("cid") != F.col("b")) & _possible(threshold, "size", "rest", "size_b", "rest_b"))
-    return near.select(F.col("cid").alias("a"), "b")
-
-
-def _rest_pairs(met: DataFrame, roots: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): all pairs of a list that are not joined yet and may be similar.
-
-    The rows of a list's largest component are not paired among themselves: only the others, in
-    blocks, meet all rows, in blocks. A list whose texts are all joined by now has no pairs.
-    """
-    rows = written(_rooted(met, roots), "rooted")
-    parts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    lists = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    lists = lists.select("key", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("all") / block).alias("many"))
-    open_rows = written(spread_join(rows, lists, "key", "cid"), "open")
-    minor = open_rows.where("root <> top").withColumns({"x": F.expr("pmod(xxhash64(cid), few)"), "y": F.explode(F.expr("sequence(0L, many - 1)")), "minor": F.lit(True)})
-    whole = open_rows.withColumns({"x": F.explode(F.expr("sequence(0L, few - 1)")), "y": F.expr("pmod(xxhash64(cid, 1), many)"), "minor": F.lit(False)})
-    dealt = minor.unionByName(whole).groupBy("key", "x", "y").agg(F.collect_list(F.struct("cid", "root", "size", "rest", "minor")).alias("rows")).select("rows")
-
-    def meet(batches):
-        for b in batches:
-            found = set()
-            flat, ends = b.column(0).flatten(), np.cumsum(b.column(0).value_lengths().to_numpy())
-            cid, root, size, rest, is_minor = (c.to_numpy(zero_copy_only=False) for c in flat.flatten())
-            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if b.num_rows else ():
-                left, right = lo + np.flatnonzero(is_minor[lo:hi]), lo + np.flatnonzero(~is_minor[lo:hi])
-                for at in range(0, len(left), 256):
-                    i = left[at : at + 256, None]
-                    small, large = np.minimum(size[i], size[right]), np.maximum(size[i], size[right])
-                    ok = (root[i] != root[right]) & (small >= threshold * large - 1e-9)
-                    ok &= 1 + np.minimum(rest[i], rest[right]) >= threshold / (1 + threshold) * (small + large) - 1e-9
-                    p, q = np.nonzero(ok)
-                    x, y = cid[i[p, 0]], cid[right[q]]
-                    found.update(zip(np.maximum(x, y).tolist(), np.minimum(x, y).tolist(), strict=True))
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
-
-
-def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
-    """(id, component_id) of every row with an id: components of texts whose shingles' Jaccard similarity is at least ``threshold``.
-
-    Texts with the same words in the same order are one class from the start. An exact comparison of
-    shingle sets decides on candidates, which come in two turns. First, each class with the least one
-    among those that the byte-position index links to it by their SimHash, and, among classes that share
-    a shingle of their prefixes (:func:`prefix_length`), with the most central one. Then all pairs of the
-    latter that are not joined by now: with these no pair of the threshold is missing.
+    Texts with the same words in the same order are one class from the start. Each class is a candidate with
+    the least one among those that the byte-position index links to it by their SimHash; what a few edited words
+    keep out of four of 64 bits comes from :func:`strata.llm.minhash.joined`. Whole sets decide on all candidates.
 
     ``with_row`` adds ``row`` (:func:`row_digest`), and ``chosen``: whether the row stands for its component.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    common, places = common_shingles(source, words)
 
     def describe(batches):
         for b in batches:
-            digests, prints, sizes, keys = [], [], [], []
+            digests, prints, sizes, bands, bits = [], [], [], [], []
             for text in b.column("text"):  # a text's words at a time
-                found = words_of(text.as_py())
+                found = words_of(text_of(text))
                 hashes = shingles(found, words)
                 own = np.unique(hashes)
                 digests.append(class_of(found))
                 prints.append(majority(hashes))
                 sizes.append(len(own))
-                keys.append(_in_order(own, common, places)[: prefix_length(len(own), threshold)].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.record_batch([b.column("id"), b.column("row"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists], names=["id", "row", "class", "print", "size", "keys"])
+                bands.append(minhash.bands_of(own))
+                bits.append(minhash.parity(own).tobytes())
+            yield pa.record_batch([b.column("id"), b.column("row"), pa.array(digests, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.binary()), pa.array(bits, pa.binary())], names=["id", "row", "class", "print", "n", "bands", "parity"])
 
-    described = source.withColumn("row", row_digest()).mapInArrow(describe, f"id {kind}, row binary, class binary, print long, size long, keys array<long>")
+    described = source.withColumn("row", row_digest()).mapInArrow(describe, f"id {kind}, row binary, class binary, print long, n long, bands binary, parity binary")
     described = written(described, "described")
-    classes = described.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"), *(F.any_value(c).alias(c) for c in ("print", "size", "keys")))
+    classes = described.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"), *(F.any_value(c).alias(c) for c in ("print", "n", "bands", "parity")))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    posted = classes.select("cid", "size", F.posexplode("keys").alias("place", "key")).withColumn("rest", F.col("size") - F.col("place") - 1)
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = written(posted.join(lists, "key"), "met")
-
     near = connected_components(links(classes.select("print").distinct(), "print", position_triples(), 4, 4))
     by_print = written(classes.join(near, classes["print"] == near.node, "left").select("cid", F.coalesce("root", "print").alias("root")), "by_print")
     first = by_print.groupBy("root").agg(F.min("cid").alias("b"))
     by_index = spread_join(by_print, first, "root", "cid").where("cid <> b").select(F.col("cid").alias("a"), "b")
 
-    linked = roots = None
-    for candidates in (lambda: by_index.union(_star_pairs(met, threshold)).distinct(), lambda: _rest_pairs(met, roots, threshold, block)):
-        pairs = written(candidates(), "pairs")
-        sets = _sets(pairs, classes, source, words)
-        found = written(_similar(pairs, sets, threshold), "linked")
-        discard(sets, pairs)
-        linked = found if linked is None else linked.union(found)
-        roots = connected_components(linked)
-
-    component = written(_rooted(classes.select("cid", "class", "least"), roots), "rooted")
+    roots = minhash.joined(classes, source, words, percent, block, by_index)
+    component = written(minhash.rooted(classes.select("cid", "class", "least"), roots), "rooted")
     least = component.groupBy("root").agg(F.min("least").alias("first"))
     component = spread_join(component, least, "root", "cid").select("class", "first")
     out = spread_join(described.select("id", "row", "class"), component, "class", "id")

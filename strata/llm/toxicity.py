@@ -30,9 +30,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.llm.bytebpe import text_of
-from strata.llm.common import discard, written
+from strata.llm.common import discard, named, written
 from strata.llm.labelled import kept, training_sample, with_row
 
 #: Words for a second person, in the four languages of the corpus.
@@ -95,7 +96,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 
 def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """``_row`` with the ``keep`` columns, and a dense feature vector of each text. No shuffle."""
-    source, kind = with_row(docs, keep)
+    source, schema = with_row(docs, keep, T.StructField("features", T.ArrayType(T.DoubleType())))
 
     def run(batches):
         for b in batches:
@@ -103,7 +104,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(FEATURES)), pa.int32()), pa.array(values.ravel()))
             yield pa.record_batch([b.column("_row"), lists], names=["_row", "features"])
 
-    return source.mapInArrow(run, f"_row {kind}, features array<double>").withColumn("features", array_to_vector("features"))
+    return source.mapInArrow(run, schema).withColumn("features", array_to_vector("features"))
 
 
 def learn_lexicon(sample: DataFrame, odds_least: float = 20.0, surprise: float = 24.0, size: int = 500) -> Lexicon:
@@ -170,7 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, keep: li
     known = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(known) < 2 or min(known.values()) < 2:
         share = known.get(1.0, 0) / max(1, sum(known.values()))
-        return docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(share)).alias(column))
+        return docs.select(*named(keep), F.lit(float(share)).alias(column))
     model = fit(sample, trees, depth)
     discard(sample)
     return kept(model.score(with_features(docs, model.lexicon, keep)), keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "toxicity")), column)

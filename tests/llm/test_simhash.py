@@ -5,7 +5,7 @@ from itertools import combinations
 
 import xxhash
 
-from strata.llm import simhash
+from strata.llm import minhash, simhash
 from strata.llm.components import connected_components
 from tests.llm.conftest import ODD_TEXTS, prose
 
@@ -107,8 +107,8 @@ def test_a_hot_group_of_near_copies_needs_few_pairs(documents, rng, monkeypatch)
     """A third of all rows are near copies of one text: candidate pairs grow with the rows, not with their square."""
     base = prose(rng, 400)
     texts = [prose(rng, 60) for _ in range(400)] + [edited(rng, base, rng.randrange(1, 4)) for _ in range(200)]
-    asked, real = [], simhash._similar
-    monkeypatch.setattr(simhash, "_similar", lambda pairs, sets, threshold: asked.append(pairs.count()) or real(pairs, sets, threshold))
+    asked, real = [], minhash.linked_sets
+    monkeypatch.setattr(minhash, "linked_sets", lambda pairs, sets, percent: asked.append(pairs.count()) or real(pairs, sets, percent))
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(texts)).collect()}
     assert {got[i] for i in range(400, 600)} == {400} and sum(asked) < 4 * len(texts)
 
@@ -148,3 +148,10 @@ def test_similar_documents_finds_appended_cut_and_short_texts(documents, rng):
         least.setdefault(near.root(i), i)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(texts)).collect()}
     assert got == {i: least[near.root(i)] for i in range(len(texts))}
+
+
+def test_text_that_is_not_utf8(spark):
+    docs = spark.sql("select 1L doc_id, cast(x'4F6BFF2E' as string) text union all select 2L, 'ok\ufffd.'")
+    rows = simhash.near_duplicates(docs).collect()
+    assert len({r.fp for r in rows}) == 1 and {r.component_id for r in rows} == {1}
+    assert {r.component_id for r in simhash.similar_documents(docs).collect()} == {1}

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import packing, quality, simhash, toxicity
-from strata.llm.common import ship_package, table, written
+from strata.llm.common import few, named, ship_package, table, written
 
 #: Learned models, tokenizers and components: SQL can't express them; the stages are tested against brute force.
 ORACLE_SQL = None
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` doesn't have."""
     taken = {c.lower() for c in docs.columns}
@@ -33,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     score = _free(docs, "score")
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=score)
-    return scored.where(F.col(score) < 0.7).select(docs.columns)
+    return scored.where(F.col(score) < 0.7).select(*named(docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship_package(spark)
     score = _free(docs, "score")
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns, column=score)
-    return scored.where(F.col(score) >= 0.3).select(docs.columns)
+    return scored.where(F.col(score) >= 0.3).select(*named(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +57,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     ship_package(spark)
     row = _free(docs, "row")
-    found = written(simhash.similar_documents(docs, words=5, threshold=0.8, with_row=True), "similar")
-    chosen = found.where("chosen").groupBy("doc_id", F.col("row").alias(row)).count()
-    several = bool(chosen.where("count > 1").limit(1).count())
-    kept = docs.withColumn(row, simhash.row_digest()).join(chosen.select("doc_id", row), ["doc_id", row], "left_semi")
+    found = written(simhash.similar_documents(docs, words=5, percent=80, with_row=True), "similar")
+    several = bool(found.where("chosen").groupBy("doc_id", "row").count().where("count > 1").limit(1).count())
+    gone = few(written(found.where("not chosen").select("doc_id", F.col("row").alias(row)).distinct(), "gone"))
+    kept = docs.where("doc_id is not null").withColumn(row, simhash.row_digest()).join(gone, ["doc_id", row], "left_anti")
     kept = kept.dropDuplicates(["doc_id", row]) if several else kept
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return kept.select(*named(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ Dates leave as ISO text, so that results compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,13 @@ from strata.functions.types import conform_schema
 from strata.operators import checks, conform, events, gates, views
 from strata.operators.history import changed_versions, snapshot_rows
 from strata.plans.artifacts import edge_frame
+from strata.plans.pipeline import Pipeline
 from strata.plans.rollback import affected_batches, restore_orphans
+from strata.sources.latest import LatestState
 from strata.sources.scratch import scratch_path, written
 from strata.sources.store import BatchStore
 from strata.spec import DimensionSpec, ExposureSpec, Registry, SnapshotSpec
+from strata.streaming.ingest import ingest_available
 
 LOADED = "2024-06-01 00:00:00"
 CUT = "2024-01-15"
@@ -246,6 +251,85 @@ def scd2_point_in_time(spark, sf):
     return joined.groupBy("fact_type", "event_type").agg(F.count("*").alias("n"))
 
 
+HOT_USER = "case when event_id % 3 = 0 then 1 else user_id end"
+
+
+def point_in_time_hot_key(spark, sf):
+    """As :func:`scd2_point_in_time`, with a third of all events on one user."""
+    facts = _table(spark, sf, "events").select(F.expr(HOT_USER).alias("user_id"), F.col("ts").alias("at"), F.col("event_type").alias("fact_type"))
+    joined = views.join_as_of(facts, views.candidate(user_versions(spark, sf), USERS), ["user_id"], "at", ["event_type", "valid_from"], "inner")
+    return _plain(joined.groupBy("fact_type", "event_type", "valid_from").agg(F.count("*").alias("n")))
+
+
+def _one_a_day(source: DataFrame) -> DataFrame:
+    """A row of each user and date, the one that history keeps: of several hashes on the latest date the gates would block the batch."""
+    return source.groupBy("user_id", "extract_date").agg(F.min(F.struct("attribute_hash", *(c for c in source.columns if c not in ("user_id", "extract_date", "attribute_hash")))).alias("r")).select("user_id", "extract_date", "r.*").select(source.columns)
+
+
+WEEK = "date_format(extract_date, 'yyyy') || 'w' || cast(floor((dayofmonth(extract_date) - 1) / 7) as string)"
+
+
+def _weekly(spark, spec, source) -> Pipeline:
+    """A pipeline that has taken the source in by weeks of the month: an extract of several files each, by a stream."""
+    p = Pipeline(spark, scratch_path(spark, "warehouse"), Registry([spec]))
+    p.state(spec.name).table.range_rows = 500
+    rows = source.withColumn("_week", F.expr(WEEK)).persist()
+    extracts, loaded = scratch_path(spark, "extracts"), datetime(2024, 6, 1)
+    for i, (week,) in enumerate(sorted(rows.select("_week").distinct().collect())):  # one a week of the month
+        rows.where(F.col("_week") == week).drop("_week").repartition(4).write.parquet(f"{extracts}/{week}")
+        ingest_available(spark, p, spec.name, extracts, source.schema, f"{extracts}-checkpoint", loaded + timedelta(days=i))
+    rows.unpersist()
+    return p
+
+
+def intake_extracts(spark, sf):
+    """The published dimension after a stream of weekly extracts, the last of them rolled back and restored."""
+    p = _weekly(spark, USERS, _one_a_day(user_source(spark, sf)))
+    p.rollback(USERS.name, datetime(2024, 7, 1), to_batch_id=sorted(p.state(USERS.name).approved())[1], dry_run=False)
+    p.restore(USERS.name)
+    return _plain(p.read(USERS.name))
+
+
+def publish_after_rollback(spark, sf):
+    """What is published after all weeks but the first two were rolled back: touched ranges only are written."""
+    p = _weekly(spark, USERS, _one_a_day(user_source(spark, sf)))
+    p.rollback(USERS.name, datetime(2024, 7, 1), to_batch_id=sorted(p.state(USERS.name).approved())[1], dry_run=False)
+    return _plain(p.read(USERS.name))
+
+
+def latest_state(spark, sf):
+    """The stored latest version of every user after weekly batches, some of them folded into a base."""
+    weeks, store = user_weeks(spark, sf).persist(), BatchStore(spark, scratch_path(spark, "history"))
+    state = LatestState(spark, scratch_path(spark, "latest"), USERS, fold=2)
+    batches = {}
+    for (week,) in sorted(weeks.select("_batch_id").distinct().collect()):  # one a week of the month
+        store.append(weeks.where(F.col("_batch_id") == week), week)
+        batches[week] = week
+        found, _ = state.read(store, batches)
+    weeks.unpersist()
+    return _plain(found)
+
+
+def volumes_kept(spark, sf):
+    """Rows of the last seven dates of a fact, as they were kept with its weekly batches."""
+    store = BatchStore(spark, scratch_path(spark, "history"))
+    rows = snapshot_rows(activity_source(spark, sf), ACTIVITY, "b", LOADED).withColumn("_week", F.weekofyear("snapshot_date")).persist()
+    for (week,) in rows.select("_week").distinct().collect():  # one a week
+        store.append(rows.where(F.col("_week") == week).drop("_week"), f"w{week}", date_column="snapshot_date")
+    rows.unpersist()
+    return spark.createDataFrame([(d.isoformat(), n) for d, n in store.volumes(7)], "snapshot_date string, n long")
+
+
+def distributed_join(spark, sf):
+    """Two published tables in buckets of the user, joined without an exchange."""
+    dim = replace(USERS, dist_buckets=4, presentation_exclude=())
+    fact = replace(ACTIVITY, dist_buckets=4, presentation_exclude=())
+    p = Pipeline(spark, scratch_path(spark, "warehouse"), Registry([dim, fact]))
+    p.run({dim.source: _one_a_day(user_source(spark, sf)), fact.source: activity_source(spark, sf)}, "b1", datetime(2024, 6, 1), record=False)
+    left, right = p.distributed(dim.name).where("is_current = 1"), p.distributed(fact.name)
+    return right.join(left.select("user_id", F.col("event_type").alias("now_type")), "user_id").groupBy("event_type", "now_type").agg(F.count("*").alias("n"))
+
+
 def affected_batches_query(spark, sf):
     ledger = spark.createDataFrame([(USERS.model, "2024w0", "2024-06-01 00:00:00"), (USERS.model, "2024w1", "2024-06-02 00:00:00"), (USERS.model, "2024w3", "2024-06-03 00:00:00"), (USERS.model, "2024w9", "2024-06-03 00:00:01")], "model_name string, batch_id string, approved_at string")
     ledger = ledger.withColumn("approved_at", F.col("approved_at").cast("timestamp"))
@@ -342,6 +426,8 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
     )
     published = _validity_sql(f"(select * from {USER_WEEKS} where _batch_id in {_APPROVED_SQL})")
     snap_out = "fact_activity_sk, user_id, strftime(snapshot_date, '%Y-%m-%d') snapshot_date, event_id, event_type, _batch_id"
+    two_weeks = f"(select * from {USER_WEEKS} where _batch_id in (select _batch_id from {USER_WEEKS} group by 1 order by 1 limit 2))"
+    shown = _OUT_VALID.replace(" attribute_hash,", "")
     damaged = lambda f: lambda s, d: f(damaged_users(s, d), USERS)
     part_columns = "p_partkey, p_name, p_brand, p_type, p_size"
     return {
@@ -369,6 +455,19 @@ def _catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], st
             scd2_point_in_time,
             f"select f.event_type fact_type, v.event_type, count(*) n from events f left join {USER_VALID} v on v.user_id = f.user_id and cast(f.ts as date) >= v.valid_from and cast(f.ts as date) < v.valid_to group by all",
         ),
+        "scd2_point_in_time_hot_key": (
+            point_in_time_hot_key,
+            f"""select f.event_type fact_type, v.event_type, strftime(v.valid_from, '%Y-%m-%d') valid_from, count(*) n from (select *, {HOT_USER} u from events) f
+              join {USER_VALID} v on v.user_id = f.u and cast(f.ts as date) >= v.valid_from and cast(f.ts as date) < v.valid_to group by all""",
+        ),
+        "intake_extracts": (intake_extracts, f"select {shown} from {_validity_sql(USER_WEEKS)}"),
+        "publish_after_rollback": (publish_after_rollback, f"select {shown} from {_validity_sql(two_weeks)}"),
+        "latest_state": (latest_state, f"select user_id, strftime(max(valid_from), '%Y-%m-%d') valid_from, arg_max(attribute_hash, valid_from) attribute_hash from {USER_VERSIONS} group by user_id"),
+        "volumes_kept": (volumes_kept, f"select strftime(snapshot_date, '%Y-%m-%d') snapshot_date, count(*) n from {_SNAP} group by snapshot_date order by 1 desc limit 7"),
+        "distributed_join": (
+            distributed_join,
+            f"select f.event_type, v.event_type now_type, count(*) n from {_SNAP} f join {USER_VALID} v on v.user_id = f.user_id and v.is_current = 1 group by all",
+        ),
         "snapshot_history": (lambda s, d: _plain(snapshot_rows(activity_source(s, d), ACTIVITY, "b1", LOADED)), f"select {snap_out} from {_SNAP}"),
         "snapshot_incremental": (
             lambda s, d: _plain(snapshot_rows(activity_source(s, d), ACTIVITY, "b2", LOADED, snapshot_rows(activity_source(s, d).where(f"extract_date <= date'{CUT}'"), ACTIVITY, "b1", LOADED))),

@@ -19,6 +19,13 @@ def _name_key(value: Column, collation: str) -> Column:
     return F.collate(F.trim(value), collation)
 
 
+def _one_a_key(df: DataFrame, message: str) -> DataFrame:
+    """Rows of (key, value), one a key; the query that reads the value of a repeated key fails."""
+    key, value = df.columns
+    held = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.first(value).alias(value))
+    return held.select(key, F.when(F.col("_n") > 1, F.raise_error(F.lit(message))).otherwise(F.col(value)).alias(value))
+
+
 def conform_dimension(
     source: DataFrame, canonical: DataFrame, overrides: DataFrame, entity: str, system: str, match_key: str, source_column: str, code_column: str, name_column: str,
     override_code_column: str = "canonical_code", collation: str = NAME_COLLATION, check_unique: bool = True,
@@ -28,7 +35,8 @@ def conform_dimension(
     ``match_key`` is "code" or "name". Status: override, exact_code, exact_name or unmatched.
     An override without a code falls through to the match; one to a code that the canonical
     table lacks keeps its status and has no name. Repeated overrides or canonical values would
-    multiply rows, so they are refused unless ``check_unique`` is off. Whether a side is
+    multiply rows: either side is reduced to a row a key as part of the join, and the query fails where
+    that meets a repeated one (``check_unique`` off: rows are multiplied). Whether a side is
     broadcast is left to Spark, which knows its size.
     """
     if match_key not in ("code", "name"):
@@ -40,9 +48,9 @@ def conform_dimension(
     wanted = canonical.select(key(F.col(name_column if by_name else code_column)).alias("_match_key"), F.col(code_column).alias("_match_code"))
     names = canonical.select(normalise(F.col(code_column)).alias("_name_key"), F.col(name_column).alias(f"canonical_{entity}_name"))
     if check_unique:
-        for df, column, what in ((mine, "_override_key", "override"), (wanted, "_match_key", f"canonical {match_key}"), (names, "_name_key", "canonical code")):
-            if df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").limit(1).count():
-                raise ValueError(f"{entity}: a repeated {what} would multiply rows")
+        mine = _one_a_key(mine, f"{entity}: a repeated override would multiply rows")
+        wanted = _one_a_key(wanted, f"{entity}: a repeated canonical {match_key} would multiply rows")
+        names = _one_a_key(names, f"{entity}: a repeated canonical code would multiply rows")
     rows = source.withColumn("_key", key(F.col(source_column)))
     rows = rows.join(mine, F.col("_key") == F.col("_override_key"), "left").join(wanted, F.col("_key") == F.col("_match_key"), "left")
     status = F.when(F.col("_override_code").isNotNull(), "override").when(F.col("_match_code").isNotNull(), f"exact_{match_key}").otherwise("unmatched")

@@ -124,9 +124,12 @@ def dimension_gates(source: DataFrame, versions: DataFrame, spec: DimensionSpec)
     return reduce(DataFrame.unionByName, [_of_groups(versions, spec), _failures(stale, NOT_RECONCILED, key_display(spec.natural_key)), _of_volumes(source.sparkSession, volumes, spec.volume_factor, VOLUME)])
 
 
-def snapshot_gates(source: DataFrame, history: DataFrame, spec: SnapshotSpec) -> DataFrame:
-    """All checks of a snapshot fact; the volume guard counts history rows, and either latest date counts for itself."""
-    volumes = recent_volumes(history, spec.date_column, spec.volume_window)
+def snapshot_gates(source: DataFrame, history: DataFrame, spec: SnapshotSpec, volumes: list[tuple] | None = None) -> DataFrame:
+    """All checks of a snapshot fact; the volume guard counts history rows, and either latest date counts for itself.
+
+    ``volumes`` are history's rows of its last dates where they are kept (``BatchStore.volumes``); without them it is scanned.
+    """
+    volumes = recent_volumes(history, spec.date_column, spec.volume_window) if volumes is None else volumes
     have = _on_date(history, spec.date_column, volumes).select(*spec.natural_key)
     missing = latest(source, spec.source_date).join(have, list(spec.natural_key), "left_anti")
     return reduce(DataFrame.unionByName, [_of_groups(history, spec), _failures(missing, INCOMPLETE, key_display(spec.natural_key)), _of_volumes(source.sparkSession, volumes, spec.volume_factor, VOLUME_SNAPSHOT)])

@@ -127,7 +127,7 @@ class Pipeline:
             rows = changed_versions(source, s.spec, batch_id, loaded_at, history, mark, latest)
         else:
             rows = (changed_versions if isinstance(s.spec, DimensionSpec) else snapshot_rows)(source, s.spec, batch_id, loaded_at, history)
-        s.store.append(rows, batch_id, set(batches))
+        s.store.append(rows, batch_id, set(batches), s.spec.date_column)
         return True
 
     def check(self, name: str, source: DataFrame, batch_id: str, at: datetime | None = None) -> list[dict]:
@@ -136,9 +136,12 @@ class Pipeline:
         rows = s.candidate()
         wanted = {c.lower(): c for t in s.spec.tests for c in t.columns} | {c.lower(): c for c in gates.gate_columns(s.spec)}
         rows = written(rows.select(*(F.col(f"`{c}`") for c in wanted.values())), "candidate")  # several checks read it, in few columns
-        make = gates.dimension_gates if isinstance(s.spec, DimensionSpec) else gates.snapshot_gates
+        if isinstance(s.spec, DimensionSpec):
+            failures = gates.dimension_gates(source, rows, s.spec)
+        else:
+            failures = gates.snapshot_gates(source, rows, s.spec, s.store.volumes(s.spec.volume_window))
         results = []
-        for test, found in [(None, make(source, rows, s.spec)), *((t, checks.run_test(rows, t)) for t in s.spec.tests)]:
+        for test, found in [(None, failures), *((t, checks.run_test(rows, t)) for t in s.spec.tests)]:
             test_name, severity = (f"{name}__{test.name}", test.severity) if test else (f"{name}__gates", s.spec.gate_severity)
             folder = f"{s.failures if test is None else f'{self.root}/audit/{test_name}'}/batch={batch_id}"
             found.write.mode("overwrite").parquet(folder)
@@ -203,6 +206,15 @@ class Pipeline:
         """The consumption table as it is now."""
         return self.state(name).table.read()
 
+    def distributed(self, name: str) -> DataFrame | None:
+        """The consumption table in the buckets of its ``dist_column``: it joins with one of equal buckets on that column without an exchange."""
+        return self.state(name).table.distributed()
+
+    def description(self, name: str) -> str:
+        """What the published table says of itself."""
+        manifest = self.state(name).table.manifest()
+        return manifest["comment"] if manifest else ""
+
     def rollback(self, name: str, at: datetime, **anchor) -> dict:
         s = self.state(name)
         return rollback.rollback(s, s.spec.model, at, **anchor)

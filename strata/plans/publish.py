@@ -80,7 +80,7 @@ def plan_change(state) -> Change:
 def unchanged(state) -> int | None:
     """The current version's rows, if it is of the batches that are approved now, in the columns of now."""
     old, there = state.table.manifest(), set(state.store.batches())
-    if old is None or old["schema"] != state.view().schema.json():
+    if old is None or old["schema"] != state.view().schema.json() or old["comment"] != state.spec.description or bool(old.get("buckets")) != bool(state.spec.dist_buckets):
         return None
     return sum(old["rows"].values()) if old["batches"] == {b: i for b, i in state.ledger.identities(state.spec.model).items() if b in there} else None
 
@@ -117,7 +117,10 @@ def refresh(state, fault: Callable[[str], None] | None = None) -> dict:
         for k, n in built.items():
             ranges[str(k)] = [*ranges.get(str(k), []), table.folder_of(version, k)]
             rows[str(k)] = rows.get(str(k), 0) + n
-        manifest = {"n": change.n, "columns": columns, "ranges": ranges, "rows": rows, "batches": change.batches, "schema": state.view().schema.json()}
+        manifest = {"n": change.n, "columns": columns, "ranges": ranges, "rows": rows, "batches": change.batches, "schema": state.view().schema.json(), "comment": state.spec.description}
+        if state.spec.dist_buckets:
+            step("distribute")
+            manifest["buckets"] = table.distribute(manifest, version, state.spec.dist_column, state.spec.dist_buckets)
         step("switch")
         table.switch(version, manifest)
         step("verify")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources.buckets import read_bucketed, write_bucketed
 from strata.sources.files import Folder
 
 _BATCH = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.\-]*$")
@@ -56,15 +59,32 @@ class BatchStore:
     def batches(self) -> list[str]:
         return list(self.places())
 
-    def append(self, rows: DataFrame, batch_id: str, approved: set[str] | frozenset[str] = frozenset()) -> None:
-        """Write one batch. One that is ``approved`` is never written again; one that isn't gives way to the new rows."""
+    def append(self, rows: DataFrame, batch_id: str, approved: set[str] | frozenset[str] = frozenset(), date_column: str | None = None) -> None:
+        """Write one batch. One that is ``approved`` is never written again; one that isn't gives way to the new rows.
+
+        With ``date_column`` its rows a date are kept beside it (:meth:`volumes`).
+        """
         if not _BATCH.match(batch_id):
             raise ValueError(f"{batch_id!r} can't name a batch")
         if batch_id in approved:
             raise ValueError(f"batch {batch_id} is approved and can't be written again")
         self._remember(rows.schema)
         self._remove(batch_id)
-        rows.drop("_batch_id").write.mode("error").parquet(f"{self.data}/v=0/_batch_id={batch_id}")
+        path = f"{self.data}/v=0/_batch_id={batch_id}"
+        rows.drop("_batch_id").write.mode("error").parquet(path)
+        if date_column:
+            counts = self.spark.read.schema(rows.drop("_batch_id").schema).parquet(path).groupBy(F.col(date_column).cast("date").cast("string").alias("d")).count()
+            self.folder.write(f"volumes/{batch_id}", json.dumps([[r["d"], r["count"]] for r in counts.collect()]))  # a number a date
+
+    def volumes(self, window: int) -> list[tuple[date | None, int]] | None:
+        """(date, rows) of the last ``window`` dates over all batches, latest first, from what was kept with them; None if a batch has none."""
+        kept, total = set(self.folder.names("volumes")), Counter()
+        for b in self.batches():
+            if b not in kept or (text := self.folder.read_whole(f"volumes/{b}")) is None:
+                return None
+            total.update({d: n for d, n in json.loads(text)})
+        latest = sorted((d for d in total if d is not None), reverse=True) + [None] * (None in total)
+        return [(date.fromisoformat(d) if d else None, total[d]) for d in latest[:window]]
 
     def read(self, batches: set[str] | None = None) -> DataFrame | None:
         """All batches, or those named, under the manifest's schema (columns that an old batch lacks are null); None before the first."""
@@ -81,6 +101,7 @@ class BatchStore:
         for v in self.folder.names("data"):
             self.folder.delete(f"data/{v}/_batch_id={batch_id}")
         self.folder.delete(f"compacted/{batch_id}")
+        self.folder.delete(f"volumes/{batch_id}")
 
     def purge(self, approved: set[str]) -> list[str]:
         """Remove batches that aren't approved; their ids."""
@@ -167,6 +188,18 @@ class VersionedTable:
     def folder_of(self, version: int, k: int) -> str:
         return f"v={version:08d}/_range={k}"
 
+    def distribute(self, manifest: dict, version: int, column: str, n: int) -> dict:
+        """Write a version's rows in buckets besides; what the manifest says of them."""
+        write_bucketed(self.rows_of(manifest), self.folder.at(f"b={version:08d}"), column, n)
+        return {"folder": f"b={version:08d}", "column": column, "n": n}
+
+    def distributed(self) -> DataFrame | None:
+        """The current version's rows from its buckets; None where it has none."""
+        manifest = self.manifest()
+        if not manifest or not (b := manifest.get("buckets")):
+            return None
+        return read_bucketed(self.spark, self.folder.at(b["folder"]), T.StructType.fromJson(json.loads(manifest["schema"])), b["column"], b["n"])
+
     def switch(self, version: int, manifest: dict) -> None:
         """Readers see the version from now on: one small file is made."""
         self.folder.write(f"_current/{version:08d}", json.dumps(manifest))
@@ -179,12 +212,15 @@ class VersionedTable:
     def drop(self, version: int) -> None:
         self.withdraw(version)
         self.folder.delete(f"v={version:08d}")
+        self.folder.delete(f"b={version:08d}")
 
     def tidy(self) -> None:
         """Keep the last versions and the folders that they name; older versions and orphans below the current one go."""
         found = self.versions()
         for n in found[: -self.keep]:
             self.withdraw(n)
+        for b in [x for x in self.folder.names() if x.startswith("b=") and int(x[2:]) not in found[-self.keep :]]:
+            self.folder.delete(b)
         named = {f for n in found[-self.keep :] for folders in self.manifest(n)["ranges"].values() for f in folders}
         for v in [x for x in self.folder.names() if x.startswith("v=") and found and int(x[2:]) < found[-1]]:
             inside = [f"{v}/{x}" for x in self.folder.names(v) if x.startswith("_range=")]

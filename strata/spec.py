@@ -56,7 +56,8 @@ class DimensionSpec:
 
     ``tests`` are column tests that run with the gates; one of severity "error" that fails blocks the
     batch. ``gate_severity`` "warn" reports failed gates as warn, which blocks too but fails no run.
-    ``column_docs`` and ``description`` are stored with the published table.
+    ``column_docs`` and ``description`` are stored with the published table. With ``dist_buckets`` every
+    version is written in so many buckets of ``dist_column`` besides, which joins use (``Pipeline.distributed``).
     """
 
     name: str
@@ -76,6 +77,7 @@ class DimensionSpec:
     tests: tuple[ColumnTest, ...] = ()
     gate_severity: str = "error"
     column_docs: dict = field(default_factory=dict, hash=False)
+    dist_buckets: int = 0
 
     date_column = "valid_from"
 
@@ -116,6 +118,7 @@ class SnapshotSpec:
     tests: tuple[ColumnTest, ...] = ()
     gate_severity: str = "error"
     column_docs: dict = field(default_factory=dict, hash=False)
+    dist_buckets: int = 0
 
     date_column = "snapshot_date"
 
@@ -143,6 +146,8 @@ def _settle(spec, dedupe: tuple[str, ...]) -> None:
     object.__setattr__(spec, "dist_column", spec.dist_column or spec.natural_key[0])
     object.__setattr__(spec, "dedupe", tuple(dedupe))
     object.__setattr__(spec, "tests", tuple(t if isinstance(t, ColumnTest) else ColumnTest(**t) for t in spec.tests))
+    if spec.dist_buckets < 0:
+        raise SpecError(f"{spec.name}: buckets are a number, or 0 for none")
     if spec.gate_severity not in SEVERITIES:
         raise SpecError(f"{spec.name}: a severity is one of {', '.join(SEVERITIES)}")
 

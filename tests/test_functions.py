@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,8 +98,10 @@ def test_conformance_truth_table(spark):
     assert got["Korea"] == ("KR", "Korea", "exact_name")  # an override without a code falls through
     assert got["Atlantis"] == got[None] == (None, None, "unmatched")
     assert conformed(spark, [" gb "], match_key="code")[" gb "] == ("GB", "United Kingdom", "exact_code")
-    with pytest.raises(ValueError):
+    with pytest.raises(PySparkException, match="a repeated canonical name"):  # as the query runs, in its own job
         conformed(spark, ["x"], canon=[*CANON, ("K2", "korea")])
+    with pytest.raises(PySparkException, match="a repeated override"):
+        conformed(spark, ["x"], over=[*OVER, OVER[0]])
     with pytest.raises(ValueError):
         conformed(spark, ["x"], match_key="id")
 

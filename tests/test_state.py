@@ -222,3 +222,38 @@ def test_null_keys_are_told_without_a_group(spark):
     found = gates._of_groups(rows, spec)
     assert {r.failure_reason: r["count"] for r in found.groupBy("failure_reason").count().collect()} == {gates.NULL_KEY: 50_000, gates.DUPLICATE_KEY: 1, gates.SEVERAL_CURRENT: 1}
     assert "array_repeat" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+# ------------------------------------------------------------------ buckets, volumes, descriptions
+def test_two_tables_of_equal_buckets_join_without_an_exchange(spark, tmp_path):
+    dim = DimensionSpec("dim", "stg", ("k",), "d", dist_buckets=3, description="all about k")
+    fact = SnapshotSpec("fact", "stg", ("k",), "d", dedupe=("attribute_hash",), dist_buckets=3)
+    p = Pipeline(spark, f"{tmp_path}/it's", Registry([dim, fact]))
+    for day in (1, 2, 3):
+        p.run({"stg": extract(spark, *[(f"k{i}", day, f"{i % day}") for i in range(50)])}, f"n{day}", T0 + timedelta(day), record=False)
+        for name in ("dim", "fact"):
+            assert content(p.distributed(name)) == content(p.read(name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = p.distributed("fact").join(p.distributed("dim").where("is_current = 1").select("k", "valid_from"), "k")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert p.description("dim") == "all about k" and len([x for x in (tmp_path / "it's" / "dim" / "published").iterdir() if x.name.startswith("b=")]) == 2
+    plain = Pipeline(spark, f"{tmp_path}/plain", Registry([DIM]))
+    assert plain.distributed("dim") is None and plain.description("dim") == ""
+
+
+def test_kept_volumes_equal_the_scan_and_go_with_their_batch(spark, tmp_path):
+    spec = SnapshotSpec("fact", "stg", ("k",), "d", dedupe=("attribute_hash",), volume_window=3)
+    p = Pipeline(spark, str(tmp_path), Registry([spec]))
+    s = p.state("fact")
+    for day in range(1, 6):
+        got = p.run({"stg": extract(spark, *[(f"k{i}", day, "A") for i in range(10 if day < 5 else 2)])}, f"n{day}", T0 + timedelta(day), record=False)
+        assert s.store.volumes(3) == gates.recent_volumes(s.store.read(), "snapshot_date", 3)
+    assert got[-1]["status"] == "skipped"  # the fifth is below half of the mean
+    s.store.purge(s.approved())
+    assert s.store.volumes(1) == [(date(2024, 1, 4), 10)]
+    s.store.folder.delete("volumes/n2")
+    assert s.store.volumes(3) is None  # a batch without them: the guard scans

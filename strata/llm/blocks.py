@@ -6,6 +6,10 @@ for each block. A task builds the index of its block and then takes the queries
 as they stream by, a batch at a time, so it holds one block and one batch. It
 gives its best k of every query, and a window merges the blocks. Nothing is
 broadcast.
+
+Defined results: null, empty and non-finite vectors and null ids take no part; of a
+repeated id the smallest vector counts; ties go to the smaller id; vectors of unlike
+lengths don't meet; an empty table, or one without queries, gives none.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ def search(
     own = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block")
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
     both = rows.select("vec_id", "vector", dim, own, F.lit(False).alias("asks")).union(queries.select("vec_id", "vector", dim, every, F.lit(True)))
-    dealt = both.repartition(n_blocks, "block", "dim").sortWithinPartitions("block", "dim", "asks")
+    dealt = both.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "dim", "asks")  # a partition a block
     number = np.float64 if score_type == "double" else np.int64
 
     def run(batches):

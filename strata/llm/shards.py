@@ -11,7 +11,7 @@ stride``, so readers go through a shard in order and resume at any slot.
 Shards are written by Spark's text sink, a sequence's bytes a line: the stride is
 those bytes and the line end. So they lie in any store that Spark writes, under
 its commit protocol: a lost task or a second attempt leaves nothing that readers
-see. Texts are tokenised in both passes rather than kept as ids a third time.
+see. Texts are tokenised once: sequences are kept until their number is known.
 
 Defined results: null text counts as empty, so such a document is its end id;
 repeated rows are written as often as they stand there; an empty table gives no

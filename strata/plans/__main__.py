@@ -6,9 +6,11 @@ python -m strata.plans CONFIG gate NAME --batch ID
 python -m strata.plans CONFIG publish NAME --batch ID --at TIME                          (gate, approve, publish)
 python -m strata.plans CONFIG rollback NAME (--to-batch ID | --to-datetime TIME) [--execute] [--purge]
 python -m strata.plans CONFIG restore NAME [--rollback-id ID]
+python -m strata.plans CONFIG intake NAME --path PATH --checkpoint PATH --at TIME [--hold] (takes in extracts that are there)
+python -m strata.plans CONFIG resume NAME --path PATH --at TIME                          (takes in what is held)
 python -m strata.plans CONFIG show NAME
 
-The config has "root", "sources" (name to Parquet path), "dimensions" and "snapshots" (lists of spec fields).
+The config has "root", "sources" (name to Parquet path, whose schema extracts have), "dimensions" and "snapshots" (lists of spec fields).
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import SparkSession
 
 from strata.plans.pipeline import Pipeline, status_of, tests_of
 from strata.spec import DimensionSpec, Registry, SnapshotSpec
+from strata.streaming.ingest import Intake
 
 
 def registry_of(config: dict) -> Registry:
@@ -52,6 +55,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     again = sub.add_parser("restore")
     again.add_argument("name")
     again.add_argument("--rollback-id")
+    for what in ("intake", "resume"):
+        one = sub.add_parser(what)
+        one.add_argument("name")
+        one.add_argument("--path", required=True)
+        one.add_argument("--at", required=True)
+        if what == "intake":
+            one.add_argument("--checkpoint", required=True)
+            one.add_argument("--hold", action="store_true")
     sub.add_parser("show").add_argument("name")
     a = p.parse_args(args)
     with open(a.config) as f:
@@ -66,6 +77,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         out = pipeline.check(a.name, sources()[pipeline.registry[a.name].source], a.batch)
         if a.what == "publish":
             out = pipeline.approve(a.name, a.batch, datetime.fromisoformat(a.at), status_of(out, a.name), tests_of(out, a.name))
+    elif a.what in ("intake", "resume"):
+        schema = sources()[pipeline.registry[a.name].source].schema
+        intake = Intake(spark, pipeline, a.name, a.path, schema)
+        at = datetime.fromisoformat(a.at)
+        out = intake.take_available(a.checkpoint, at, "hold" if a.hold else "stop") if a.what == "intake" else intake.resume(at)
     elif a.what == "rollback":
         out = pipeline.rollback(a.name, datetime.now(UTC).replace(tzinfo=None, microsecond=0), to_batch_id=a.to_batch, to_datetime=a.to_datetime, dry_run=not a.execute, purge=a.purge)
     elif a.what == "restore":

@@ -85,48 +85,55 @@ def unchanged(state) -> int | None:
     return sum(old["rows"].values()) if old["batches"] == {b: i for b, i in state.ledger.identities(state.spec.model).items() if b in there} else None
 
 
-def refresh(state, fault: Callable[[str], None] | None = None) -> dict:
+def refresh(state, fault: Callable[[str], None] | None = None, tries: int = 3) -> dict:
     """``{"ok": True, "row_count": n, "written": rows}`` or ``{"ok": False, "error": …}``; readers see the old version or the new.
 
     Rows are counted while they are written. Whatever fails after the switch and before the new version is
-    verified withdraws it again, so a version whose approval is taken back is never the current one. Old
-    versions that couldn't be removed stay for the next time. ``fault`` is called with the name of each step
-    before it, for tests of failures between steps.
+    verified withdraws it again, so a version whose approval is taken back is never the current one. Where another
+    publication was faster, the change is planned anew from its version. Old versions that couldn't be removed stay
+    for the next time. ``fault`` is called with the name of each step before it, for tests of failures between steps.
     """
     table: VersionedTable = state.table
-    step, version, before = fault or (lambda _: None), None, table.versions()
+    step, folder, switched = fault or (lambda _: None), None, None
 
     def undo() -> None:
-        if version is not None:
-            table.drop(version)
-        if table.versions() != before:
-            raise RuntimeError(f"versions {table.versions()} are marked, not {before}")
+        if switched is not None:
+            table.withdraw(switched)
+            if switched in table.versions():
+                raise RuntimeError(f"version {switched} is still marked")
+        if folder is not None:
+            table.discard(folder)
 
     try:
         step("write")
         if (same := unchanged(state)) is not None:
             return {"ok": True, "row_count": same, "written": 0}
+        version = max([0, *table.versions()]) + 1
         change = plan_change(state)
         columns = [c for c in range_columns(state.spec) if c in change.rows.columns] or list(state.spec.natural_key)
-        version, expected = table.write_version(change.rows, columns, change.n)
+        folder, expected = table.write_version(change.rows, columns, change.n)
         step("count")
-        built = table.written(version)
+        built = table.written(folder)
         if expected != sum(built.values()):
             raise ValueError(f"the view has {expected} rows, the new version {sum(built.values())}")
         ranges, rows = dict(change.kept), dict(change.kept_rows)
         for k, n in built.items():
-            ranges[str(k)] = [*ranges.get(str(k), []), table.folder_of(version, k)]
+            ranges[str(k)] = [*ranges.get(str(k), []), f"{folder}/_range={k}"]
             rows[str(k)] = rows.get(str(k), 0) + n
         manifest = {"n": change.n, "columns": columns, "ranges": ranges, "rows": rows, "batches": change.batches, "schema": state.view().schema.json(), "comment": state.spec.description}
         if state.spec.dist_buckets:
             step("distribute")
-            manifest["buckets"] = table.distribute(manifest, version, state.spec.dist_column, state.spec.dist_buckets)
+            manifest["buckets"] = table.distribute(manifest, folder, state.spec.dist_column, state.spec.dist_buckets)
         step("switch")
         table.switch(version, manifest)
+        switched = version
         step("verify")
-        live, total = table.read(), sum(rows.values())
-        if live is None or (n := live.count()) != total:
-            raise ValueError(f"after the switch there are {n if live is not None else 'no'} rows, not {total}")
+        total, n = sum(rows.values()), table.rows_of(table.manifest(version)).count()
+        if n != total:
+            raise ValueError(f"after the switch there are {n} rows, not {total}")
+    except FileExistsError as e:
+        undo()
+        return refresh(state, fault, tries - 1) if tries > 1 else {"ok": False, "error": f"other publications were faster: {e}"}
     except Exception as e:
         undo()
         return {"ok": False, "error": f"{type(e).__name__}: {e}"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from datetime import date
@@ -128,28 +129,23 @@ class BatchStore:
 class VersionedTable:
     """A published table whose rows lie in ranges of a key's hash; a version names the folders of each range.
 
-    ``v=<n>/_range=<k>`` holds what version ``n`` wrote of range ``k``; ranges that it didn't touch stay where
-    an older version put them. The file ``_current/<n>`` is the version's manifest and makes it the one that
-    readers take: folders, row counts, batches and schema. A range is about ``range_rows`` rows; more of one
+    ``v=<n>-<token>/_range=<k>`` holds what version ``n`` wrote of range ``k``; ranges that it didn't touch stay
+    where an older version put them. The file ``_current/<n>`` is the version's manifest and makes it the one that
+    readers take: folders, row counts, batches and schema. It is made at once and only where there is none, so of
+    two publications from one version one succeeds. A range is about ``range_rows`` rows; more of one
     key are one range, which Spark writes as several files.
     """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2, range_rows: int = 1_000_000, parts: int = 32):
         self.spark, self.folder, self.keep, self.range_rows, self.parts = spark, Folder(spark, root), keep, range_rows, parts
-        self._known: dict[int, dict] = {}
 
     def versions(self) -> list[int]:
         return [int(n) for n in self.folder.names("_current") if n.isdigit()]
 
     def manifest(self, version: int | None = None) -> dict | None:
         """That of a version, the current one unless named."""
-        found = self.versions()
-        if version is None and not found:
-            return None
-        n = found[-1] if version is None else version
-        if n not in self._known:
-            self._known[n] = json.loads(self.folder.read(f"_current/{n:08d}"))
-        return self._known[n]
+        found = self.versions() if version is None else [version]
+        return json.loads(self.folder.read(f"_current/{found[-1]:08d}")) if found else None
 
     def rows_of(self, manifest: dict, ranges: set[int] | None = None) -> DataFrame:
         """The rows of a version, or of some of its ranges."""
@@ -166,32 +162,29 @@ class VersionedTable:
         """The range of a row, by the hash of its key."""
         return F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in columns)), F.lit(n)).cast("int")
 
-    def write_version(self, df: DataFrame, columns: list[str], n: int) -> tuple[int, int]:
-        """Write rows, dealt into ``n`` ranges, as a version that nobody reads yet; its number, and the rows, counted on the way.
+    def write_version(self, df: DataFrame, columns: list[str], n: int) -> tuple[str, int]:
+        """Write rows, dealt into ``n`` ranges, that nobody reads yet; their folder, and their number, counted on the way.
 
         Rows of one range lie together; Spark divides ranges that are too large for one task.
         """
-        v = max([0, *self.versions(), *(int(x[2:]) for x in self.folder.names() if x.startswith("v="))]) + 1
+        folder = f"v={max([0, *self.versions()]) + 1:08d}-{uuid.uuid4().hex[:12]}"
         seen = Observation()
         rows = df.withColumn("_range", self.range_of(columns, n)).hint("rebalance", F.col("_range"))
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").partitionBy("_range").parquet(self.folder.at(f"v={v:08d}"))
-        return v, seen.get["n"]
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").partitionBy("_range").parquet(self.folder.at(folder))
+        return folder, seen.get["n"]
 
-    def written(self, version: int) -> dict[int, int]:
-        """Rows that a version wrote, by range, as they lie there."""
-        ranges = [n.removeprefix("_range=") for n in self.folder.names(f"v={version:08d}") if n.startswith("_range=")]
-        if not ranges:
+    def written(self, folder: str) -> dict[int, int]:
+        """Rows in a version's folder, by range, as they lie there."""
+        if not any(n.startswith("_range=") for n in self.folder.names(folder)):
             return {}
-        counts = self.spark.read.parquet(self.folder.at(f"v={version:08d}")).groupBy("_range").count()
+        counts = self.spark.read.parquet(self.folder.at(folder)).groupBy("_range").count()
         return {r["_range"]: r["count"] for r in counts.collect()}  # a number a range
 
-    def folder_of(self, version: int, k: int) -> str:
-        return f"v={version:08d}/_range={k}"
-
-    def distribute(self, manifest: dict, version: int, column: str, n: int) -> dict:
+    def distribute(self, manifest: dict, folder: str, column: str, n: int) -> dict:
         """Write a version's rows in buckets besides; what the manifest says of them."""
-        write_bucketed(self.rows_of(manifest), self.folder.at(f"b={version:08d}"), column, n)
-        return {"folder": f"b={version:08d}", "column": column, "n": n}
+        to = f"b={folder.removeprefix('v=')}"
+        write_bucketed(self.rows_of(manifest), self.folder.at(to), column, n)
+        return {"folder": to, "column": column, "n": n}
 
     def distributed(self) -> DataFrame | None:
         """The current version's rows from its buckets; None where it has none."""
@@ -201,30 +194,28 @@ class VersionedTable:
         return read_bucketed(self.spark, self.folder.at(b["folder"]), T.StructType.fromJson(json.loads(manifest["schema"])), b["column"], b["n"])
 
     def switch(self, version: int, manifest: dict) -> None:
-        """Readers see the version from now on: one small file is made."""
+        """Readers see the version from now on: one small file is made. ``FileExistsError`` if another publication was faster."""
         self.folder.write(f"_current/{version:08d}", json.dumps(manifest))
 
     def withdraw(self, version: int) -> None:
         """Readers see the version before again."""
-        self._known.pop(version, None)
         self.folder.delete(f"_current/{version:08d}")
 
-    def drop(self, version: int) -> None:
-        self.withdraw(version)
-        self.folder.delete(f"v={version:08d}")
-        self.folder.delete(f"b={version:08d}")
+    def discard(self, folder: str) -> None:
+        """Remove what was written for a version that isn't one."""
+        self.folder.delete(folder)
+        self.folder.delete(f"b={folder.removeprefix('v=')}")
 
     def tidy(self) -> None:
-        """Keep the last versions and the folders that they name; older versions and orphans below the current one go."""
+        """Keep the last versions and the folders that they name; what older ones wrote goes, unless a later one names it."""
         found = self.versions()
         for n in found[: -self.keep]:
             self.withdraw(n)
-        for b in [x for x in self.folder.names() if x.startswith("b=") and int(x[2:]) not in found[-self.keep :]]:
-            self.folder.delete(b)
-        named = {f for n in found[-self.keep :] for folders in self.manifest(n)["ranges"].values() for f in folders}
-        for v in [x for x in self.folder.names() if x.startswith("v=") and found and int(x[2:]) < found[-1]]:
+        kept = [self.manifest(n) for n in found[-self.keep :]]
+        named = {f for m in kept for folders in m["ranges"].values() for f in folders} | {m["buckets"]["folder"] for m in kept if m.get("buckets")}
+        for v in [x for x in self.folder.names() if x[:2] in ("v=", "b=") and found and int(x[2:10]) < found[-1]]:
             inside = [f"{v}/{x}" for x in self.folder.names(v) if x.startswith("_range=")]
-            if not named & set(inside):
+            if v not in named and not named & set(inside):
                 self.folder.delete(v)
             for f in inside:
                 if f not in named:

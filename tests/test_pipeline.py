@@ -283,3 +283,21 @@ def test_command_line(spark, tmp_path):
     assert main([at, "rollback", "dim", "--to-datetime", "2024-05-01", "--execute"], spark)["refresh"]["row_count"] == 0
     assert main([at, "restore", "dim"], spark)["refresh"]["row_count"] == 2
     assert len(main([at, "show", "dim"], spark)) == 5
+    extract(spark, ("z", 9, "Z")).write.parquet(f"{tmp_path}/in/e1")
+    assert main([at, "intake", "dim", "--path", f"{tmp_path}/in", "--checkpoint", f"{tmp_path}/ck", "--at", "2024-06-09T06:00:00", "--hold"], spark)[-1]["row_count"] == 3
+    assert main([at, "resume", "dim", "--path", f"{tmp_path}/in", "--at", "2024-06-09T06:00:00"], spark) == []
+
+
+def test_of_two_publications_from_one_version_the_slower_plans_anew(spark, tmp_path):
+    p, q = (Pipeline(spark, str(tmp_path), Registry([DIM])) for _ in range(2))
+    p.run({"stg": extract(spark, *NIGHT1)}, "n1", T0, record=False)
+    p.run({"stg": extract(spark, *NIGHT3)}, "n2", T0 + timedelta(1), record=False)
+    p.state("dim").ledger.unapprove("dim__history", "n2")
+
+    def overtaken(step):
+        if step == "switch" and len(q.read("dim").collect()) == 3:
+            q.state("dim").refresh()  # the same change, by another process
+
+    s = p.state("dim", overtaken)
+    assert s.refresh()["ok"] and len(content(p.read("dim"))) == 2 == len(content(s.view())) and s.table.versions()[-1] == 3
+    assert {f.split("/")[0] for folders in s.table.manifest()["ranges"].values() for f in folders} <= set(s.table.folder.names())

@@ -7,6 +7,7 @@ name and type; an empty table gives none.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +30,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
 
 
 def with_row(docs: DataFrame, keep: list[str], field: T.StructField) -> tuple[DataFrame, T.StructType]:
-    """(_row, text): the kept columns as one struct, so that no name of theirs meets one of ours; and the type of (_row, field)."""
-    rows = docs.select(F.struct(*named(keep)).alias("_row"), F.col("text").cast("string").alias("text"))
+    """(_row, text): the kept columns as one struct, so that no name of theirs meets one of ours; and the type of (_row, field).
+
+    Where the text is kept anyway it is in the struct alone (:func:`text_in`), so that a batch holds it once.
+    """
+    there = "text" in keep and isinstance(docs.schema["text"].dataType, T.StringType)
+    rows = docs.select(F.struct(*named(keep)).alias("_row"), *([] if there else [F.col("text").cast("string").alias("text")]))
     return rows, T.StructType([T.StructField("_row", rows.schema["_row"].dataType), field])
 
 
+def text_in(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of :func:`with_row`."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("_row").field(batch.schema.field("_row").type.get_field_index("text"))
+
+
 def kept(scored: DataFrame, keep: list[str], score: Column, name: str) -> DataFrame:
     """The kept columns again, and a score."""
     return scored.select(*(F.col(f"_row.{quoted(c)}").alias(c) for c in keep), score.alias(name))

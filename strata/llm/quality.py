@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from strata.llm.bytebpe import text_of
 from strata.llm.common import named
-from strata.llm.labelled import kept, training_sample, with_row
+from strata.llm.labelled import kept, text_in, training_sample, with_row
 
 _CHUNK = 1 << 20
 
@@ -166,7 +166,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, allowed: Column, keep: lis
 
     def run(batches):
         for batch in batches:
-            m = np.array([margin(slots(t, bits), weights, bias) for t in map(text_of, batch.column("text"))])
+            m = np.array([margin(slots(t, bits), weights, bias) for t in map(text_of, text_in(batch))])
             score = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
             yield pa.record_batch([batch.column("_row"), pa.array(score, pa.float64())], names=["_row", "score"])
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from strata.llm.bytebpe import text_of
 from strata.llm.common import discard, named, written
-from strata.llm.labelled import kept, training_sample, with_row
+from strata.llm.labelled import kept, text_in, training_sample, with_row
 
 #: Words for a second person, in the four languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -100,7 +100,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
 
     def run(batches):
         for b in batches:
-            values = np.array([features(t, lexicon) for t in map(text_of, b.column("text"))], np.float64).reshape(-1, len(FEATURES))
+            values = np.array([features(t, lexicon) for t in map(text_of, text_in(b))], np.float64).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, len(FEATURES)), pa.int32()), pa.array(values.ravel()))
             yield pa.record_batch([b.column("_row"), lists], names=["_row", "features"])
 

@@ -5,9 +5,10 @@ Each line of a file, and each window of a form's term count over the whole text
 cosine of TF-IDF vectors: its template, usual headers and the opening of its full
 text. SPDX tags state a license by their identifier, with cosine 1. Document frequencies are counted over all files for every term of a
 template; terms outside the templates weigh as if no file had them and enter a
-line's length only. Lines and windows without an anchor term are left out before that, and
-no match is lost: anchors are the heaviest terms of each template, so many that
-by Cauchy-Schwarz the rest alone cannot reach the threshold. A file's license
+line's length only. Forms that a file's or a line's terms can't reach are left out before that, and
+no match is lost: by Cauchy-Schwarz a cosine is at most the length of the form's vector over
+the terms that are present. Anchors, the heaviest terms of each form, so many that
+the rest alone cannot reach the threshold, tell most files apart at once. A file's license
 is that of its best line or window. Files that state one at their head or foot, the first or
 last line that has text, are licence files of their directory with that license,
 whatever a better line says of the file itself; files that state none take over that
@@ -104,12 +105,22 @@ class Matcher:
             self.vectors.append((name, v, len(terms(text)), anchors))
         self.anchors = tuple(sorted({a for *_, anchors in self.vectors for a in anchors}))
 
+    def possible(self, present: set[str], among: list | None = None) -> list:
+        """Forms that a text of these terms may reach."""
+        least = self.threshold**2 - 1e-9
+        some = [f for f in (self.vectors if among is None else among) if not f[3].isdisjoint(present)]
+        return [f for f in some if sum(x * x for t, x in f[1].items() if t in present) >= least]
+
     def best(self, line: str) -> tuple[str, float] | None:
         """The nearest template of at least the threshold."""
-        counts = Counter(terms(line))
-        scores = [(self._cosine(counts, v), name) for name, v, _, anchors in self.vectors if not anchors.isdisjoint(counts)]
-        if not scores:
+        found = terms(line)
+        return self._best(found, self.possible(set(found)))
+
+    def _best(self, found: list[str], near: list) -> tuple[str, float] | None:
+        if not near:
             return None
+        counts = Counter(found)
+        scores = [(self._cosine(counts, v), name) for name, v, *_ in near]
         score, name = max(scores, key=lambda s: (s[0], [-ord(c) for c in s[1]]))
         return (name, score) if score >= self.threshold else None
 
@@ -117,14 +128,11 @@ class Matcher:
         norm = math.sqrt(sum((k * self.idf.get(t, self.unknown)) ** 2 for t, k in counts.items())) or 1.0
         return sum(counts[t] * self.idf[t] * x for t, x in v.items() if t in counts) / norm
 
-    def windows(self, found: list[str]) -> Iterator[tuple[str, float, int, int]]:
+    def windows(self, found: list[str], near: list) -> Iterator[tuple[str, float, int, int]]:
         """License, cosine, first and last term of the form in every window of a form's term count that reaches the threshold."""
-        present = set(found)
         idf = [self.idf.get(t, self.unknown) for t in found]
         squares = np.cumsum([0.0, *(x * x for x in idf)])
-        for name, v, n, anchors in self.vectors:
-            if anchors.isdisjoint(present):
-                continue
+        for name, v, n, _ in near:
             n = min(n, len(found))
             dot = np.cumsum([0.0, *(x * v.get(t, 0.0) for t, x in zip(found, idf, strict=True))])
             # a repeated term makes a window longer than the sum of its squares, so this cosine is no less than the true one
@@ -141,17 +149,20 @@ class Matcher:
         if not tagged and not any(a in lower for a in self.anchors):
             return None
         lines = lower.split("\n")
-        full = [i for i, line in enumerate(lines) if line.strip()]
         of_line = [terms(line) for line in lines]
         found = [t for x in of_line for t in x]
+        near = self.possible(set(found))
+        if not tagged and not near:
+            return None
+        full = [i for i, line in enumerate(lines) if line.strip()]
         line_of = [i for i, x in enumerate(of_line) for _ in x]
         stated = []  # license, cosine, first and last line
         for i, line in enumerate(lines):
-            if b := self.best(line):
+            if b := self._best(of_line[i], self.possible(set(of_line[i]), near)):
                 stated.append((*b, i, i))
             if tagged:
                 stated += [(self.spdx[t], 1.0, i, i) for t in _SPDX.findall(line) if t in self.spdx]
-        stated += [(name, c, line_of[i], line_of[j]) for name, c, i, j in self.windows(found)]
+        stated += [(name, c, line_of[i], line_of[j]) for name, c, i, j in (self.windows(found, near) if near else ())]
         if not stated:
             return None
         order = lambda x: (-x[1], x[2], x[0])
@@ -168,8 +179,9 @@ def document_frequencies(files: DataFrame, templates: dict, text_col: str = "tex
     """Files that hold each term of the templates, and files: as many numbers as the templates have terms."""
     known = sorted({t for _, x in forms(templates) for t in terms(x)})
     held = F.array_intersect(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(TERM), F.lit(0)), F.array(*map(F.lit, known)))
-    rows = files.select(F.explode(held).alias("t")).groupBy("t").count().collect()
-    return {r["t"]: r["count"] for r in rows}, files.count()
+    every = F.concat(held, F.array(F.lit("")))  # each file counts once, by an empty term
+    found = {r["t"]: r["count"] for r in files.select(F.explode(every).alias("t")).groupBy("t").count().collect()}
+    return found, found.pop("", 0)
 
 
 def scan(files: DataFrame, templates: dict | None = None, threshold: float = 0.6, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:

@@ -199,3 +199,20 @@ def test_licences_against_plain_tf_idf(spark, rng):
     for i, w in want.items():
         assert (got[i].how == "none") if w is None else (round(got[i].cosine, 9) == w[0] and got[i].licence in w[1]), (i, texts[i], got[i], w)
     assert sum(w is not None for w in want.values()) >= 2 * len(every)
+
+
+def test_forms_left_out_by_their_terms_lose_no_match(rng):
+    every = {name: (x, *licences.FORMS[name]) for name, x in licences.TEMPLATES.items()}
+    m = licences.Matcher(every, {"license": 40, "the": 90, "version": 30, "copy": 25}, 100, 0.6)
+    every_form = [(name, v) for name, v, *_ in m.vectors]
+    words = sorted({t for _, v in every_form for t in v}) + ["plain", "words"]
+    matched = 0
+    for _ in range(400):
+        form = licences.terms(rng.choice(licences.forms(every))[1])
+        found = [rng.choice(words) if rng.random() < 0.45 else t for t in form if rng.random() < 0.8] or ["plain"]
+        want = {name for name, v in every_form if m._cosine(licences.Counter(found), v) >= 0.6}
+        assert want <= {name for name, *_ in m.possible(set(found))}
+        best = m.best(" ".join(found))
+        assert bool(want) == bool(best) and (not best or best[0] in want)
+        matched += bool(want)
+    assert 50 < matched < 350

@@ -100,6 +100,20 @@ def test_written_rows_follow_the_batch(spark, tmp_path):
     assert p.state("dim").refresh() == {"ok": True, "row_count": 1002, "written": 0}  # nothing to do
 
 
+def test_ranges_do_not_follow_the_rows(spark, tmp_path):
+    """Folders of a version are bounded, however many rows there are to a range; touched ranges alone are written."""
+    spec = DimensionSpec("dim", "stg", ("k",), "d")
+    p = Pipeline(spark, str(tmp_path), Registry([spec]))
+    p.state("dim").table.range_rows = 1
+    p.run({"stg": spark.range(3000).selectExpr("concat('k', id) as k", "date'2024-01-01' as d", "'A' as attribute_hash")}, "n1", T0, record=False)
+    first = p.state("dim").table.manifest()
+    assert first["n"] == 256 and set(first["ranges"]) == set(map(str, range(256))) and sum(first["rows"].values()) == 3000
+    results = p.run({"stg": extract(spark, ("k5", 2, "B"), ("k6", 2, "B"))}, "n2", T0 + timedelta(1), record=False)
+    second = p.state("dim").table.manifest()
+    assert results[-1]["row_count"] == 3002 and 1 <= sum(second["ranges"][k] != first["ranges"][k] for k in first["ranges"]) <= 2
+    assert content(p.read("dim")) == content(p.state("dim").view())
+
+
 def test_snapshots_append_to_their_ranges(spark, tmp_path):
     spec = SnapshotSpec("fact", "stg", ("k",), "d", dedupe=("attribute_hash",))
     p = Pipeline(spark, str(tmp_path), Registry([spec]))

@@ -54,12 +54,13 @@ def blocks_of(rows: int, widest: int) -> int:
 
 
 def search(
-    rows: DataFrame, queries: DataFrame, index: Callable[[np.ndarray, np.ndarray], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]], k: int, score_type: str, ascending: bool, n_blocks: int | None = None,
+    rows: DataFrame, queries: DataFrame, index: Callable[[np.ndarray, np.ndarray], Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]], k: int, score_type: str, ascending: bool, n_blocks: int | None = None, together: bool = False,
 ) -> DataFrame:
     """The k best of each query: (query_id, rank, vec_id, score).
 
     ``index(ids, vectors)`` of a block gives a function from a query's id and vector to its best row ids and
-    scores there. Vectors of another length than a query's are no candidates of it.
+    scores there. Vectors of another length than a query's are no candidates of it. With ``together`` it takes the ids
+    and vectors of several queries, and gives query ids, row ids and scores.
     """
     if n_blocks is None:
         size = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
@@ -87,9 +88,13 @@ def search(
                 if ids and ask is None:
                     ask = index(np.concatenate(ids), np.concatenate(vectors))
                     ids, vectors = [None], []
-                found = [(q, *ask(q, v)) for q, v in zip(own_ids.tolist(), own_vectors, strict=True)] if ask else []
-                join = lambda x, t: pa.array(np.concatenate([np.zeros(0, t), *x]).astype(t))
-                yield pa.record_batch([join([np.full(len(i), q) for q, i, _ in found], np.int64), join([i for _, i, _ in found], np.int64), join([s for _, _, s in found], number)], names=["query_id", "vec_id", "score"])
+                join = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
+                if together and ask:
+                    q, i, s = ask(own_ids, own_vectors)
+                else:
+                    found = [(q, *ask(q, v)) for q, v in zip(own_ids.tolist(), own_vectors, strict=True)] if ask else []
+                    q, i, s = join([np.full(len(i), q) for q, i, _ in found], np.int64), join([i for _, i, _ in found], np.int64), join([s for _, _, s in found], number)
+                yield pa.record_batch([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = [F.asc("score") if ascending else F.desc("score"), F.asc("vec_id")]

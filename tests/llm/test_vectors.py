@@ -113,6 +113,24 @@ def test_maxscore_shard_by_shard(points):
                 assert ids.tolist() == want and score.tolist() == [-s[i] for i in want]
 
 
+def test_maxscore_of_several_queries_at_once():
+    """A batch traverses each list once: stretches, ties, copies, lists of one value and every number type, against brute force."""
+    rng = np.random.default_rng(11)
+    v = np.floor(64 * rng.normal(size=(9_500, 24)) / 5).astype(np.int64)
+    v[rng.permutation(9_500)[:200]] = v[7]
+    v[:, 3] = 5
+    ids, asked = rng.permutation(9_500), np.array([0, 7, 8, 5_000, 9_499])
+    for rows in (30, 1_025, 9_500):
+        some = asked[asked < rows]
+        for kind in (np.float32, np.float64, np.int64):
+            post = np.ascontiguousarray(v[:rows].T.astype(kind))
+            at, found, score = maxscore.maxscores(ids[:rows], post, v[some].astype(kind), ids[some], 20, post.min(1), post.max(1))
+            for i, q in enumerate(some):
+                s = v[:rows] @ v[q]
+                want = [r for r in np.lexsort((ids[:rows], -s)) if r != q][:20]
+                assert found[at == i].tolist() == ids[want].tolist() and score[at == i].tolist() == s[want].tolist()
+
+
 def test_what_takes_no_part(spark):
     vectors = [[1, 0], [0.5, 0], None, [], [None, 1], [NAN, 1], [INF, 1], [0, 0], [1, 0], [1, 2, 3]]
     near = found(ann.search_table(frame(spark, vectors), "vec_id = 0"))

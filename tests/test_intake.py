@@ -37,6 +37,22 @@ def test_extracts_of_four_files_lose_no_row(spark, tmp_path, flat):
     assert p.read("dim").count() == 30
 
 
+def test_folders_that_an_intake_publishes_do_not_follow_its_rows(spark, tmp_path):
+    """Two extracts of 1,000 keys at a row a range, the second rolled back and restored."""
+    p, it = intake(spark, tmp_path)
+    p.state("dim").table.range_rows = 1
+    for day in (1, 2):
+        rows_of(spark, day, n=1000).write.parquet(f"{tmp_path}/in/{day}")
+        it.take_available(f"{tmp_path}/ck", T0 + timedelta(day))
+        manifest = p.state("dim").table.manifest()
+        assert sum(map(len, manifest["ranges"].values())) <= 256 and sum(manifest["rows"].values()) == 1000 * day
+    both = content(p.read("dim"))
+    p.rollback("dim", T0 + timedelta(3), to_batch_id="1", dry_run=False)
+    assert p.read("dim").count() == 1000
+    p.restore("dim")
+    assert content(p.read("dim")) == both == content(p.state("dim").view())
+
+
 def test_a_new_checkpoint_takes_nothing_twice_and_loses_nothing(spark, tmp_path):
     p, it = intake(spark, tmp_path)
     rows_of(spark, 1).write.parquet(f"{tmp_path}/in/a")

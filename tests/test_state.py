@@ -114,6 +114,18 @@ def test_ranges_do_not_follow_the_rows(spark, tmp_path):
     assert content(p.read("dim")) == content(p.state("dim").view())
 
 
+def test_approval_shuffles_no_batch(spark, tmp_path):
+    """What is published is told by its batch where it is read; a shuffle by batch would put all rows of one into one task."""
+    spec = DimensionSpec("dim", "stg", ("k",), "d")
+    p = Pipeline(spark, str(tmp_path), Registry([spec]))
+    for day, n in ((1, 20), (2, 30)):
+        p.run({"stg": extract(spark, *[(f"k{i}", day, f"A{day}") for i in range(n)])}, f"n{day}", T0 + timedelta(day), record=False)
+    p.rollback("dim", T0 + timedelta(3), to_batch_id="n1", dry_run=False)
+    for found in (p.state("dim").view(), p.state("dim").history(approved=True)):
+        assert {(r["_batch_id"], r["count"]) for r in found.groupBy("_batch_id").count().collect()} == {("n1", 20)}
+        assert "hashpartitioning(_batch_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_snapshots_append_to_their_ranges(spark, tmp_path):
     spec = SnapshotSpec("fact", "stg", ("k",), "d", dedupe=("attribute_hash",))
     p = Pipeline(spark, str(tmp_path), Registry([spec]))
